@@ -30,7 +30,7 @@ def search(queries: DataFrame, index: DataFrame, k: int, query_id: str, index_id
     shards = max(1, -(-x.count() // SHARD_ROWS))
     blocks = max(1, -(-q.count() // block))
     left = q.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = x.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    right = x.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     schema = pa.schema([("query", pa.int64()), ("item", pa.int64()), ("score", pa.float64())])
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
