@@ -33,6 +33,8 @@ class Counter:
         #: Whether boundaries before space marks are proven, and the model adds a mark in front and keeps all spaces.
         self.stable = not any(MARK in p.lstrip(MARK) for p in pieces) and self.model.encode_as_pieces("a  b ")[0].startswith(MARK) and "".join(self.model.encode_as_pieces("a  b ")) == f"{MARK}a{MARK}{MARK}b{MARK}"
         self.byte = {p for i, p in enumerate(pieces) if self.model.is_byte(i)}
+        #: Tokens of a space mark alone, which the model puts in front of no text: seen at the end of one.
+        self.lone = len(self.model.encode("a ")) - len(self.model.encode("a"))
         self.units = re.compile(f"{MARK}+[^{MARK}]*")
         self.chunk, self.overlap = chunk, overlap
         outer = self
@@ -41,14 +43,14 @@ class Counter:
             def __missing__(self, unit: str) -> int:
                 if len(self) >= CACHE_SIZE:
                     self.clear()
-                out = self[unit] = len(outer.model.encode(unit[1:]))
+                out = self[unit] = len(outer.model.encode(unit[1:])) if len(unit) > 1 else outer.lone
                 return out
 
         self.known = Known()
 
     def boundaries(self, marked: str, at: int) -> tuple[list[str], list[int]]:
         """Pieces of a chunk and the character offset at which each begins (inside a character for its later bytes: -1)."""
-        pieces = self.model.encode_as_pieces(marked[1:])
+        pieces = self.model.encode_as_pieces(marked[1:]) if len(marked) > 1 else [MARK] * self.lone
         starts, pos, left = [], at, 0
         for p in pieces:
             if p in self.byte:
