@@ -93,16 +93,16 @@ SPARSE_NODES = 20_000
 
 def score(events: DataFrame, positives: DataFrame, cfg: Config = Config(), evaluate: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(id, gene1, gene2, driver_score) of the events, and ranking metrics if asked for."""
-    known = numbered(aligned(positives, "positive"), out="n")
+    known = numbered(aligned(positives, "positive"), ["id", "gene1", "gene2"], "n")
     test = []
     if evaluate:
         test = split_holdout(known.count(), cfg.holdout, cfg.seed)[1]
         known = known.withColumn("source", F.when((F.col("n") - 1).isin(test), "holdout").otherwise("positive")) if test else known
-    table = numbered(known.drop("n").unionByName(aligned(events, "event")), out="row")
+    table = numbered(known.drop("n").unionByName(aligned(events, "event")), ["source", "id", "gene1", "gene2"], "row").persist()
     n = table.count()
     k = max(1, min(cfg.neighbours, n - 1))
     feats = features(table, cfg)
-    edges = neighbours(feats, table, k) if n <= SPARSE_NODES else graph.knn_graph(dense(feats, table), k)
+    edges = (neighbours(feats, table, k) if n <= SPARSE_NODES else graph.knn_graph(dense(feats, table), k)).persist()
     seeds = table.select(F.col("row").alias("node"), (F.col("source") == "positive").cast("double").alias("y"))
     found = graph.rescale(graph.diffuse(graph.row_stochastic(edges), seeds, cfg.alpha, cfg.max_iterations, cfg.tolerance))
     scored = table.join(found.select(F.col("node").alias("row"), "score"), "row", "left").withColumn("driver_score", F.coalesce("score", F.lit(0.0)).cast("float"))
