@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from chimerant.llm.common import blocks_for, cut
 
 ORDER = 2
-BLOCK = 24 << 20
+BLOCK = 8 << 20
 #: Bytes of text per key range: ranges grow in number with the data, so that each stays small.
-RANGE = 8 << 20
+RANGE = 4 << 20
 FOLDS, HELD_OUT = 7, 2
 END, BEGIN = b"\n", b"\t"  # no word holds white space
 
@@ -138,6 +138,19 @@ _SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("kind", pa.int3
 _SENT_DDL = "part int, block int, kind int, keys binary, counts binary"
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in 4 bytes each where that is enough."""
+    return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.int64).tobytes()
+
+
+def _unpacked(keys: bytes, counts: bytes, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, their other halves (words only) and counts."""
+    raw = np.frombuffer(keys, np.uint64)
+    n = len(raw) // 2 if kind == 1 else len(raw)
+    found = np.ones(n, np.int64) if not counts else np.frombuffer(counts, np.uint32 if len(counts) == 4 * n else np.int64).astype(np.int64)
+    return raw[:n], raw[n:], found
+
+
 def _send(block: Block, number: int, parts: int) -> Iterator[pa.RecordBatch]:
     """The block's counts by key range, packed: kind k is order k, words with both halves of their keys."""
     for kind in range(1, len(block.keys) + 1):
@@ -147,8 +160,10 @@ def _send(block: Block, number: int, parts: int) -> Iterator[pa.RecordBatch]:
         here, begins = np.unique(part[order], return_index=True)
         rows = []
         for i, own in zip(here.tolist(), np.split(order, begins[1:]), strict=True):
-            packed = keys[own].tobytes() + (block.high[own].tobytes() if kind == 1 else b"")
-            rows.append((i, number, kind, packed, counts[own].astype(np.int64).tobytes()))
+            once = counts[own] == 1
+            for some, sent in ((own[once], b""), (own[~once], _packed(counts[own[~once]]))):  # no counts: all are 1
+                if len(some):
+                    rows.append((i, number, kind, keys[some].tobytes() + (block.high[some].tobytes() if kind == 1 else b""), sent))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
@@ -158,11 +173,10 @@ def _add_up(table: pa.Table) -> pa.Table:
     part, kind = table.column("part")[0].as_py(), table.column("kind")[0].as_py()
     blocks, keys, highs, counts = [], [], [], []
     for b, k, c in zip(table.column("block").to_pylist(), table.column("keys"), table.column("counts"), strict=True):
-        n = np.frombuffer(c.as_py(), np.int64)
-        raw = np.frombuffer(k.as_py(), np.uint64)
+        own, high, n = _unpacked(k.as_py(), c.as_py(), kind)
         blocks.append(np.full(len(n), b, np.int32))
-        keys.append(raw[: len(n)])
-        highs.append(raw[len(n) :])
+        keys.append(own)
+        highs.append(high)
         counts.append(n)
     block, key, count = np.concatenate(blocks), np.concatenate(keys), np.concatenate(counts)
     if kind == 1:
@@ -182,7 +196,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     ends = np.searchsorted(block[differs], np.unique(block[differs]), side="right")
     for own in np.split(differs, ends[:-1]) if len(differs) else []:
         packed = key[own].tobytes() + (high[own].tobytes() if kind == 1 else b"")
-        rows.append((part, int(block[own[0]]), kind, packed, total[own].tobytes()))
+        rows.append((part, int(block[own[0]]), kind, packed, _packed(total[own])))
     bins = np.bincount(np.log2(sums[sums > 0]).astype(int), weights=sums[sums > 0], minlength=64)
     rows.append((part, -1, kind, np.array([sums.sum(), (sums > 0).sum(), (sums == 1).sum()], np.int64).tobytes(), bins.tobytes()))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
@@ -191,11 +205,11 @@ def _add_up(table: pa.Table) -> pa.Table:
 def _take_in(block: Block, rows: list[tuple[int, bytes, bytes]]) -> None:
     """Put the corpus's counts in the place of the block's own."""
     for kind in range(1, len(block.keys) + 1):
-        got = [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)) for x, k, c in rows if x == kind]
+        got = [_unpacked(k, c, kind) for x, k, c in rows if x == kind]
         if not got:
             continue
-        keys = np.concatenate([k[: len(c)] for k, c in got])
-        counts = np.concatenate([c for _, c in got])
+        keys = np.concatenate([k for k, _, _ in got])
+        counts = np.concatenate([c for _, _, c in got])
         own = block.keys[kind - 1]
         order = np.argsort(own, kind="stable")
         place = np.searchsorted(own[order], keys)
