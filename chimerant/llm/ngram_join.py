@@ -9,7 +9,7 @@
    coordinate; boxes of coordinate maxima). The overlap of two points is at most the sum of coordinate minima, so boxes and
    pairs below t / (1 + t) * (|A| + |B|) are cut off. What remains are candidate pairs; where a shingle's classes are
    so dense that pairs outnumber them DENSE times, they are one candidate group instead.
-4. Candidates are connected into clusters. A cluster is verified on the real shingle sets in parts of PART classes,
+4. Candidates are connected into clusters. A cluster is verified on the real shingle sets in parts of PART shingles,
    each together with the cluster's first class; inside a part, pairs that links already connect are skipped. Parts of
    one cluster that are not connected then meet in pairs of parts, until all their pairs are linked, cut off or verified.
 5. Components over links between classes give the components of documents.
@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chimerant.llm.common import blocks_for, components, cut
+from chimerant.llm.common import blocks_for, components, cut, drop_table
 
 SHINGLE, PERCENT = 5, 80
 GROUPS = 64
 RANGE = 8 << 20
 SAMPLE_DOCS, SAMPLE_SEEN = 4_000, 3
 LEAF, FANOUT = 16, 8
-DENSE, PART, CROWD = 4, 256, 4_096
+DENSE, PART, CROWD = 4, 1_500_000, 4_096
 CACHE_SIZE = 400_000
 _NO_ID = -(1 << 63)
 
@@ -170,37 +170,59 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int = SHINGLE, perc
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n long, cls long, points binary, prefix binary")
 
 
-def _deal(classes: DataFrame, parts: int) -> DataFrame:
-    """Prefix shingles by range: part, keys, classes, sizes, packed."""
+def _deal(sigs: DataFrame, parts: int) -> DataFrame:
+    """Prefix shingles by range: part, keys, classes, sizes, packed in 13 bytes a shingle.
+
+    A key is cut to 32 bits, since it only has to tell shingles of one range apart: two that fall together make more
+    candidates, never fewer. A size becomes its octave in steps of a sixteenth. Of a class, a task deals out one copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            keys = [np.frombuffer(p.as_py(), np.uint64) for p in batch.column(2)]
+            classes, sizes, keys = [], [], []
+            for c, n, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if c in seen:
+                    continue
+                if len(seen) >= CACHE_SIZE:
+                    seen.clear()
+                seen.add(c)
+                classes.append(c)
+                sizes.append(n)
+                keys.append(np.frombuffer(p.as_py(), np.uint64))
             lengths = [len(k) for k in keys]
-            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            cls = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths)
-            size = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), lengths)
-            part = (_mix(key + _MUL[0]) % np.uint64(parts)).astype(np.int64)
+            key = _mix((np.concatenate(keys) if keys else np.zeros(0, np.uint64)) + _MUL[0])
+            cls = np.repeat(np.array(classes, np.int64), lengths)
+            size = np.repeat(_octaves(np.array(sizes, np.int64)), lengths)
+            part = (key % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             here, begins = np.unique(part[order], return_index=True)
             split = np.split(order, begins[1:]) if len(order) else []
-            yield pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), *(pa.array([v[o].tobytes() for o in split], pa.binary()) for v in (key, cls, size))], ["part", "keys", "classes", "sizes"])
+            short = (key >> np.uint64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), *(pa.array([v[o].tobytes() for o in split], pa.binary()) for v in (short, cls, size))], ["part", "keys", "classes", "sizes"])
+
+    return sigs.select("cls", "n", "prefix").mapInArrow(run, "part int, keys binary, classes binary, sizes binary")
+
 
-    return classes.select("cls", "n", "prefix").mapInArrow(run, "part int, keys binary, classes binary, sizes binary")
+def _octaves(n: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.floor(8 * np.log2(np.maximum(n, 1)))).astype(np.uint8)
 
 
 def _meet(percent: int):
     """Classes that share a prefix shingle with another of like size: (grp, cls, crowd)."""
 
+    reach = int(np.ceil(8 * np.log2(100 / percent))) + 1
+
     def run(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
-        key, cls, size = join("keys", np.uint64), join("classes", np.int64), join("sizes", np.int64)
-        order = np.lexsort((size, key))
+        key, cls, size = join("keys", np.uint32).astype(np.uint64), join("classes", np.int64), join("sizes", np.uint8).astype(np.int64)
+        order = np.lexsort((cls, size, key))
         key, cls, size = key[order], cls[order], size[order]
+        first = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])][: len(key)]  # copies of a class from several tasks
+        key, cls, size = key[first] | np.uint64(table.column("part")[0].as_py()) << np.uint64(32), cls[first], size[first]
         # Of the classes of a key, those stay that have a neighbour by size near enough; runs of such are groups of their own.
         if not len(key):
             return pa.table([[], [], []], schema=pa.schema([("grp", pa.int64()), ("cls", pa.int64()), ("crowd", pa.bool_())]))
-        near = (key[1:] == key[:-1]) & (100 * size[:-1] >= percent * size[1:])
+        near = (key[1:] == key[:-1]) & (size[1:] - size[:-1] <= reach)
         group = np.cumsum(np.r_[True, ~near])
         keep = np.r_[near, False] | np.r_[False, near]
         name = _mix(key + group.astype(np.uint64)).view(np.int64)
@@ -295,19 +317,23 @@ def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = blocks_for(plain, "text", RANGE, 8)
     sigs = cut(signatures(plain, _frequent(plain), width, percent), "join-signatures")
-    full = sigs.filter("n > 0")
     # One row of each class stands for it; a row is told by doc_id and the hash of its text, as doc_id may repeat.
-    chosen = cut(full.groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n"), F.first("points").alias("points"), F.first("prefix").alias("prefix")).select("cls", "r.doc_id", "r.th", "n", "points", "prefix"), "join-classes")
-    met = cut(_deal(chosen, parts).groupBy("part").applyInArrow(_meet(percent), "grp long, cls long, crowd boolean"), "join-met")
+    chosen = cut(sigs.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n"), F.first("points").alias("points")).select("cls", "r.doc_id", "r.th", "n", "points"), "join-classes")
+    met = cut(_deal(sigs.filter("n > 0"), parts).groupBy("part").applyInArrow(_meet(percent), "grp long, cls long, crowd boolean"), "join-met")
+    wide, sigs = sigs, cut(sigs.select("doc_id", "n", "cls"), "join-rows")
+    drop_table(wide)
+    full = sigs.filter("n > 0")
     dealt = met.filter("NOT crowd").join(chosen.select("cls", "n", "points"), "cls").withColumn("part", F.pmod("grp", F.lit(parts)))
     edges = dealt.groupBy("part").applyInArrow(_candidates(percent), "a long, b long").union(met.filter("crowd AND grp <> cls").select("grp", "cls")).distinct()
+    edges = cut(edges, "join-candidates")
+    drop_table(met)
 
     clusters = components(edges, "join-clusters").select(F.col("node").alias("cls"), F.col("comp").alias("cluster"))
-    # Places inside a cluster by size: a window over ids only, no texts; a piece holds PART classes of like size.
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "cls")) - 1
-    numbered = clusters.join(chosen.select("cls", "doc_id", "th", "n"), "cls").withColumn("piece", (place / PART).cast("int")).withColumn("d", F.coalesce("doc_id", F.lit(_NO_ID))).drop("doc_id")
+    # Places inside a cluster by size: a window over ids only, no texts; a piece holds PART shingles of classes of like size.
+    place = F.sum("n").over(Window.partitionBy("cluster").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    numbered = clusters.join(chosen.select("cls", "doc_id", "th", "n"), "cls").withColumn("piece", F.floor(place / PART).cast("int")).withColumn("d", F.coalesce("doc_id", F.lit(_NO_ID))).drop("doc_id")
     texts = plain.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
-    found = numbered.join(texts, ["d", "th"])
+    found = numbered.hint("merge").join(texts, ["d", "th"])
     members = cut((found.dropDuplicates(["cls"]) if _repeats(plain) else found).select("cls", "cluster", "piece", "n", "text"), "join-members")
     larger = members.filter("piece > 0").select("cluster", "piece").distinct()
     own = members.select("cluster", "piece", "cls", F.col("cls").alias("comp"), F.lit(0).alias("side"), "text")
