@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chimerant.llm.common import cut
+from chimerant.llm.common import cut, drop_table
 
 MIN_WORDS = 10
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -114,7 +114,7 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["doc", "row", "line", "words"])
 
-    return docs.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(run, "doc long, row int, line int, words string")
+    return docs.join(wanted.hint("merge"), ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(run, "doc long, row int, line int, words string")
 
 
 def _variant_rows(lines: DataFrame) -> DataFrame:
@@ -130,8 +130,8 @@ def _variant_rows(lines: DataFrame) -> DataFrame:
     return lines.select("doc", "row", "line", "words").mapInArrow(run, "doc long, row int, line int, at int, key long")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, row, line, near) of the lines to be removed; docs has doc (not null), row and text."""
+def removed_lines(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc, row, line, near) of the lines to be removed, and the tables that this reads; docs has doc (not null), row and text."""
     lines = cut(_lines(docs), "lines")
     place = F.struct("doc", "row", "line")
     first = cut(lines.groupBy("hash").agg(F.min(place).alias("p"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("copies")), "lines-first")
@@ -164,7 +164,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     near = both.mapInArrow(verify, "doc long, row int, line int, near boolean").distinct()
     # All copies of a near duplicate go: its first one here, the others as equal lines.
-    return equal.union(near)
+    return equal.union(near), [lines, first, texts, keys]
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
@@ -175,9 +175,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     keyed = marked.withColumn("doc", F.col(d).cast("long"))
     repeats = keyed.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     numbered = keyed.withColumn("row", F.lit(0)) if repeats.isEmpty() else keyed.withColumn("row", (F.row_number().over(Window.partitionBy("doc").orderBy(t)) - 1).cast("int"))
-    gone = removed_lines(numbered.filter("doc IS NOT NULL").select("doc", "row", F.col(t).cast("string").alias("text")))
-    gone = gone.groupBy("doc", "row").agg(F.collect_set("line").alias("gone"), F.count_if("near").alias("n_near"))
-    return numbered.join(gone, ["doc", "row"], "left"), names
+    removed, tables = removed_lines(numbered.filter("doc IS NOT NULL").select("doc", "row", F.col(t).cast("string").alias("text")))
+    gone = cut(removed.groupBy("doc", "row").agg(F.collect_set("line").alias("gone"), F.count_if("near").alias("n_near")), "lines-gone")
+    for table in tables:
+        drop_table(table)
+    return numbered.join(gone.hint("merge"), ["doc", "row"], "left"), names
 
 
 def _without(rows: DataFrame, names: list[str], text: str, n_chars: str) -> DataFrame:
