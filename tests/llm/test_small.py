@@ -165,3 +165,12 @@ def test_warc(spark):
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (7, 8), (8, 8)], "a long, b long")
     assert {(r.node, r.comp) for r in common.components(e).collect()} == {(3, 3), (4, 3), (5, 3), (9, 3), (7, 7), (8, 7)}
+
+
+def test_decontamination_of_a_common_item(spark):
+    item = "alpha beta gamma delta eps zeta eta theta iota kappa. The answer is mu."
+    own = lambda k, a, b: " ".join(f"d{k}x{i}" for i in range(a, b))
+    rows = [(k, f"{own(k, 0, 25)} {item} {own(k, 25, 50)}" if k % 3 == 0 else own(k, 0, 50)) for k in range(300)]
+    rows.append((300, f"{own(300, 0, 25)} {item.replace('beta', 'x').replace('zeta', 'y z').replace('iota', 'w')} {own(300, 25, 50)}"))
+    got = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.contaminated} == {k for k in range(301) if k % 3 == 0}
