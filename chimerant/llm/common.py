@@ -50,6 +50,17 @@ def blocks_for(df: DataFrame, text: str, chars: int, least: int = 1) -> int:
     return max(least, math.ceil(total / chars))
 
 
+def join_hot(rows: DataFrame, keys: DataFrame, on: str, count: str) -> DataFrame:
+    """rows joined with keys, a stored table with one row for each value of `on` and the rows that it has in `count`.
+
+    Keys of over `least` rows, fewer than a million whatever the data, are broadcast, so no task gets all rows of one."""
+    least = max(100_000, (keys.agg(F.sum(count)).first()[0] or 0) // 1_000_000)
+    hot, others = keys.filter(F.col(count) > least), keys.filter(F.col(count) <= least)
+    if hot.isEmpty():
+        return rows.join(others, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(others, on))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): returns (node, comp), comp being the smallest node of the component.
 

@@ -174,3 +174,14 @@ def test_decontamination_of_a_common_item(spark):
     rows.append((300, f"{own(300, 0, 25)} {item.replace('beta', 'x').replace('zeta', 'y z').replace('iota', 'w')} {own(300, 25, 50)}"))
     got = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert {r.doc_id for r in got if r.contaminated} == {k for k in range(301) if k % 3 == 0}
+
+
+def test_html_repeats_of_a_large_host(spark):
+    pad = "<script>" + "x" * 200_000 + "</script>"
+    foot = lambda k: " ".join(f"foot{k}w{i}" for i in range(12))
+    pages = [(i, f"http://h.x/{i}", f"<body>{pad}<p>own text {i}</p><div>{foot(i // 2)}</div>") for i in range(60)]
+    copy = f"<body>{pad}<p>{foot('copy')}</p><p>more of it</p>"
+    pages += [(100 + i, f"http://h.x/c{i}", copy) for i in range(6)]
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all((got[i].text, got[i].n_dropped) == (f"own text {i}", 1) for i in range(60))
+    assert all((got[100 + i].text, got[100 + i].n_dropped) == (f"{foot('copy')}\n\nmore of it", 0) for i in range(6))
