@@ -4,12 +4,14 @@ Base spans are the leftmost matches, without overlap, of one pattern per kind. T
 ones do, written so that the engine neither recurses nor scans a run of characters again from each of its places.
 Places come from the pieces between matches, so they count code points.
 
-Information-theoretic part: an entity is a base span's kind and value; a term is a word within WINDOW words beside one.
-Over all documents, df(t) counts those that hold the term, n(t, e) those that hold it beside the entity. A term
-discloses an entity if P(e | t) = n(t, e) / df(t) reaches MIN_DISCLOSURE and the pointwise mutual information
-log2(n(t, e) * N / (df(t) * df(e))) reaches MIN_BITS, with n(t, e) of MIN_SUPPORT at least. Its occurrences beside that
-entity become spans of the kind "term"; documents without base spans are never touched. sanitise() puts placeholders in
-the place of base spans, generalises terms that disclose several entities and removes those that disclose one.
+Information-theoretic part: an entity is a base span's kind and value; a term is a word, anywhere in a text. Over all
+documents, df(t) counts those that hold the term, n(t, e) those that hold the entity too (so also those that hold the
+term beside it). A term discloses an entity if P(e | t) = n(t, e) / df(t) reaches MIN_DISCLOSURE and the pointwise mutual
+information log2(n(t, e) * N / (df(t) * df(e))) reaches MIN_BITS, with n(t, e) of MIN_SUPPORT at least. All its
+occurrences in all documents become spans of the kind "term". sanitise() puts placeholders in the place of base spans,
+generalises terms that disclose several entities and removes those that disclose one.
+
+Since n(t, e) is at most df(t) and at most df(e), pairs that can't reach the thresholds are never counted.
 
 Defined results: a null or empty text has no spans (base_sha256 is that of the empty string); repeated rows give
 repeated results and count as documents of their own; an empty table gives an empty table; other columns are not
@@ -18,12 +20,11 @@ looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chimerant.llm.common import cut
+from chimerant.llm.common import cut, join_hot
 
-WINDOW, REACH = 4, 64
 MIN_SUPPORT, MIN_DISCLOSURE, MIN_BITS = 2, 0.5, 4.0
 
 # The kinds in their order, and their patterns.
@@ -35,7 +36,7 @@ PATTERNS = {
     "card": r"[0-9](?=[ -]?[0-9])[0-9 -]*?(?<=[0-9])(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -85,21 +86,6 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(needed, F.filter(find(text, PATTERNS[kind]), lambda s: _valid(kind, s))).otherwise(F.array().cast(SPAN))
 
 
-def _beside(text: Column, spans: Column) -> Column:
-    """(entity, term, start, end) of the words within WINDOW words of each span; words cut by the reach are left out.
-
-    Each step is a transform of its own, so that nothing is computed twice for a span."""
-    low = lambda s: F.greatest(F.lit(0), s["start"] - REACH)
-    cuts = F.transform(spans, lambda s: F.struct(entity_of(s).alias("entity"), low(s).alias("low"), s["end"].alias("end"), F.substring(text, low(s) + 1, s["start"] - low(s)).alias("left"), F.substring(text, s["end"] + 1, F.lit(REACH)).alias("right")))
-    words = F.transform(cuts, lambda c: F.struct(c["entity"].alias("entity"), c["low"].alias("low"), c["end"].alias("end"), F.length(c["left"]).alias("n"), F.length(c["right"]).alias("m"), find(c["left"], WORD).alias("before"), find(c["right"], WORD).alias("after")))
-    whole = F.transform(words, lambda c: F.struct(c["entity"].alias("entity"), c["low"].alias("low"), c["end"].alias("end"), F.reverse(F.filter(c["before"], lambda w: ((c["low"] == 0) | (w["start"] > 0)) & (w["end"] < c["n"]))).alias("before"), F.filter(c["after"], lambda w: (w["start"] > 0) & ((c["m"] < REACH) | (w["end"] < REACH))).alias("after")))
-
-    def placed(c: Column, side: str, by: str) -> Column:
-        return F.transform(F.slice(c[side], 1, WINDOW), lambda w: F.struct(c["entity"].alias("entity"), term_of(w["value"]).alias("term"), (w["start"] + c[by]).alias("start"), (w["end"] + c[by]).alias("end")))
-
-    return F.flatten(F.transform(whole, lambda c: F.concat(placed(c, "before", "low"), placed(c, "after", "end"))))
-
-
 def entity_of(s: Column) -> Column:
     """A base span's kind and value."""
     value = F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(_digits(s["value"]))
@@ -117,27 +103,47 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _located(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, base array<kind number, start, end>, beside array<entity, term, start, end> of each row."""
+    """uid, doc_id, text, base array<start, kind number, end, value> of each row."""
     rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.select("*", *(base_spans(F.col("text"), k).alias(k) for k in KINDS[:4]))
     numbered = lambda i: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), s["value"].alias("value"))
     spans = F.concat(*(F.transform(k, numbered(i)) for i, k in enumerate(KINDS[:4])))
-    rows = rows.select("uid", "doc_id", "text", F.array_sort(spans).alias("base"))
-    beside = _beside(F.col("text"), F.col("base"))
-    usable = F.filter(beside, lambda b: (F.length(b["term"]) > 1) & ~b["term"].rlike("[0-9@]"))
-    return rows.select("uid", "doc_id", "base", F.when(F.size("base") > 0, usable).otherwise(F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")).alias("beside"))
+    return rows.select("uid", "doc_id", "text", F.array_sort(spans).alias("base"))
+
+
+def _terms(located: DataFrame) -> DataFrame:
+    """(uid, term) of the words of whole texts that may be terms, each once for a row."""
+    words = F.array_distinct(F.transform(F.split("text", SPACE), term_of))
+    return located.select("uid", F.explode(words).alias("term")).filter((F.length("term") > 1) & ~F.col("term").rlike("[0-9@]"))
+
+
+def disclosing(located: DataFrame, support: int = MIN_SUPPORT, disclosure: float = MIN_DISCLOSURE, bits: float = MIN_BITS) -> DataFrame:
+    """(entity, term, n_t, p, pmi): the pairs that exceed the thresholds, from _located()."""
+    held = located.filter(F.size("base") > 0).select("uid", F.explode("base").alias("s")).select("uid", entity_of(F.col("s")).alias("entity")).distinct()
+    entities = cut(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support), "pii-entities")
+    held = cut(join_hot(held, entities, "entity", "n_e").select("uid", "entity", "n_e"), "pii-held")
+    n, most = located.count(), held.agg(F.max("n_e")).first()[0] or 0
+    pmi = lambda n_te: F.log2(n_te * F.lit(n) / (F.col("n_t") * F.col("n_e")))
+    df = cut(_terms(located).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter(F.col("n_t").between(support, most / disclosure if disclosure > 0 else n)), "pii-df")
+    near = _terms(located.join(held.select("uid").distinct(), "uid", "left_semi"))
+    can = F.least("n_t", "n_e")
+    pairs = join_hot(near, df, "term", "n_t").join(held, "uid").filter((can >= support) & (can / F.col("n_t") >= disclosure) & (pmi(can) >= bits))
+    counted = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    scored = counted.filter(F.col("n_te") >= support).withColumns({"p": F.col("n_te") / F.col("n_t"), "pmi": pmi(F.col("n_te"))})
+    return scored.filter((F.col("p") >= disclosure) & (F.col("pmi") >= bits)).select("entity", "term", "n_t", "p", "pmi")
+
 
+def _occurrences(located: DataFrame, found: DataFrame) -> DataFrame:
+    """(uid, terms array<start, kind number, end, entities>): all places of the terms (term, n_t, entities) in whole texts.
 
-def disclosing(located: DataFrame, docs: DataFrame, support: int = MIN_SUPPORT, disclosure: float = MIN_DISCLOSURE, bits: float = MIN_BITS) -> DataFrame:
-    """(entity, term, p, pmi, entities): the pairs that exceed the thresholds; `entities` counts those the term discloses."""
-    pairs = located.select("uid", F.explode("beside").alias("b")).select("uid", "b.entity", "b.term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
-    entities = located.select("uid", F.explode("base").alias("s")).select("uid", entity_of(F.col("s")).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.split(F.lower(F.col("text").cast("string")), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", "")))).alias("term"))
-    df = words.filter(F.length("term") > 1).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = located.agg(F.count(F.lit(1)).alias("n"))  # one row
-    scored = pairs.join(df, "term").join(entities, "entity").crossJoin(F.broadcast(n)).withColumn("p", F.col("n_te") / F.greatest("n_t", "n_te")).withColumn("pmi", F.log2(F.col("n_te") * F.col("n") / (F.greatest("n_t", "n_te") * F.col("n_e"))))
-    found = scored.filter((F.col("p") >= disclosure) & (F.col("pmi") >= bits)).select("entity", "term", "p", "pmi")
-    return found.join(found.groupBy("term").agg(F.count(F.lit(1)).alias("entities")), "term")
+    Rows that hold none are left out before places are counted."""
+    held = cut(join_hot(_terms(located), found, "term", "n_t").select("uid", "term", "entities"), "pii-places")
+    rows = located.select("uid", "text").join(held.select("uid").distinct(), "uid", "left_semi")
+    words = rows.select("uid", F.posexplode(F.split("text", SPACE)).alias("place", "word")).select("uid", "place", F.length("word").alias("n"), term_of(F.col("word")).alias("term"))
+    end = F.sum(F.col("n") + 1).over(Window.partitionBy("uid").orderBy("place")).cast("int") - 1
+    placed = words.withColumn("end", end).join(held, ["uid", "term"])
+    span = F.struct((F.col("end") - F.col("n")).alias("start"), F.lit(4).alias("kind"), "end", "entities")
+    return placed.groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame, support: int = MIN_SUPPORT, disclosure: float = MIN_DISCLOSURE, bits: float = MIN_BITS, keyed: bool = False) -> DataFrame:
@@ -145,9 +151,9 @@ def find_personal_data(docs: DataFrame, support: int = MIN_SUPPORT, disclosure:
 
     keyed: docs already has uid, a key."""
     located = cut(_located(docs if keyed else _keyed(docs)), "pii")
-    found = disclosing(located, docs, support, disclosure, bits)
-    beside = located.select("uid", F.explode("beside").alias("b")).select("uid", "b.*")
-    terms = beside.join(found, ["entity", "term"]).groupBy("uid", "start", "end").agg(F.max("entities").alias("entities")).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "entities"))).alias("terms"))
+    pairs = disclosing(located, support, disclosure, bits)
+    found = cut(pairs.groupBy("term").agg(F.first("n_t").alias("n_t"), F.count(F.lit(1)).alias("entities")), "pii-terms")
+    terms = _occurrences(located, found)
     return located.select("uid", "doc_id", "base").join(terms, "uid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,entities:bigint>>")))
 
 

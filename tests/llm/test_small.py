@@ -185,3 +185,17 @@ def test_html_repeats_of_a_large_host(spark):
     got = {r.page_id: r for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert all((got[i].text, got[i].n_dropped) == (f"own text {i}", 1) for i in range(60))
     assert all((got[100 + i].text, got[100 + i].n_dropped) == (f"{foot('copy')}\n\nmore of it", 0) for i in range(6))
+
+
+def test_pii_terms_in_whole_texts(spark):
+    far = " ".join(f"filler{chr(97 + i % 26)}" for i in range(40))
+    rows = [(k, f"Write to bob@mail.example.com now. {far} Zanzibar, {far} zanzibar") for k in range(3)] + [(3, f"{far}\n only  (Zanzibar) here")]
+    rows += [(10 + k, far) for k in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in pii.report(pii.find_personal_data(table)).collect()}
+    texts = dict(rows)
+    for i in range(4):
+        want = [m.span() for m in re.finditer(r"Zanzibar,|zanzibar|\(Zanzibar\)", texts[i])]
+        assert [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("term") and texts[i][slice(*map(int, s.split(":")[1:]))].strip(",()").lower() == "zanzibar"] == want
+    assert all(got[10 + k].n_term == 0 for k in range(100))
+    assert not any("anzibar" in r.text for r in pii.sanitise(table).collect())
