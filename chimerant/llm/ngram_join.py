@@ -5,14 +5,18 @@
 2. Two sets A and B of Jaccard t or more share one of the first |A| - ceil(t|A|) + 1 shingles of A and of B, in any order
    common to all (prefix filter); the order is by hash, with shingles last that are frequent in a bounded sample, which
    shapes the work but not the result. Prefix shingles are dealt by hash into ranges in packed arrays.
-3. In a range, classes under one shingle are indexed by a count-vector R-tree (packed by size, then by the mean of a
-   coordinate; boxes of coordinate maxima). The overlap of two points is at most the sum of coordinate minima, so boxes and
-   pairs below t / (1 + t) * (|A| + |B|) are cut off. What remains are candidate pairs; where a shingle's classes are
-   so dense that pairs outnumber them DENSE times, they are one candidate group instead.
-4. Candidates are connected into clusters. A cluster is verified on the real shingle sets in parts of PART shingles,
-   each together with the cluster's first class; inside a part, pairs that links already connect are skipped. Parts of
-   one cluster that are not connected then meet in pairs of parts, until all their pairs are linked, cut off or verified.
-5. Components over links between classes give the components of documents.
+3. In a range, the classes of like size under one shingle form a star around the smallest of them, the pivot: an edge
+   (pivot, class). Copies share most of their shingles, so their stars are mostly the same edges, and of these each is
+   kept once. Every pair that may be a link lies in the star of one pivot.
+4. Edges that the points don't rule out are verified on the sets (the overlap of two points is at most the sum of
+   coordinate minima). Verified links connect classes to components. Of two linked classes of a star, at least one is
+   then not connected with the pivot, or they are already connected with each other.
+5. So only stars of several components are looked at again: their classes are indexed by a count-vector R-tree (packed
+   by size, then by a coordinate; boxes of coordinate maxima) and searched with the classes not connected with the
+   pivot. Surviving pairs of two components are verified, and each link found spares the pairs that it connects.
+   Only links that connect are made, never the pairs of a group. Stars are dealt in pieces of PART shingles or CROWD
+   classes, whatever their size.
+6. Components over links between classes give the components of documents.
 
 The R-tree alone can't deal the work to many machines (count vectors of long texts all lie near each other, so boxes
 would all meet), hence the prefix filter in front of it; together they lose nothing.
@@ -29,17 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chimerant.llm.common import blocks_for, components, cut, drop_table
+from chimerant.llm.common import blocks_for, components, cut, drop_table, join_hot
 
 SHINGLE, PERCENT = 5, 80
 GROUPS = 64
 RANGE = 8 << 20
 SAMPLE_DOCS, SAMPLE_SEEN = 4_000, 3
 LEAF, FANOUT = 16, 8
-DENSE, PART, CROWD = 4, 1_500_000, 4_096
+PART, CROWD = 1_500_000, 8_192
 CACHE_SIZE = 400_000
 _NO_ID = -(1 << 63)
 
@@ -103,34 +107,22 @@ class RTree:
             self.levels.append((tops, low, high, span))
             span = FANOUT
 
-    def _may(self, i: int, tops: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        n = self.sizes[i]
-        fits = (100 * high >= self.percent * n) & (100 * n >= self.percent * low)
-        return fits & (np.minimum(tops, self.points[i]).sum(1) >= least_overlap(n, np.maximum(low, -(-self.percent * n // 100)), self.percent))
-
-    def pairs(self, most: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """Places (a, b), a before b in the tree's order, of the points that may be linked; None if there are more than `most`."""
-        left, right, total = [], [], 0
-        for i in range(len(self.sizes)):
-            if self.levels:
-                tops, low, high, _ = self.levels[-1]
-                boxes = np.arange(len(tops))
-                for depth in range(len(self.levels) - 1, -1, -1):
-                    tops, low, high, span = self.levels[depth]
-                    boxes = boxes[self._may(i, tops[boxes], low[boxes], high[boxes])]
-                    below = len(self.sizes) if depth == 0 else len(self.levels[depth - 1][0])
-                    boxes = (boxes[:, None] * span + np.arange(span)).ravel()
-                    boxes = boxes[boxes < below]
-                boxes = boxes[boxes > i]
-                boxes = boxes[self._may(i, self.points[boxes], self.sizes[boxes], self.sizes[boxes])]
-                left.append(np.full(len(boxes), i))
-                right.append(boxes)
-                total += len(boxes)
-                if total > most:
-                    return None
-        none = np.zeros(0, np.int64)
-        a, b = np.concatenate(left or [none]), np.concatenate(right or [none])
-        return self.order[a], self.order[b]
+    def near(self, n: int, one: np.ndarray) -> np.ndarray:
+        """The places, in ascending order, of the points that may be linked with a set of n shingles and this point."""
+        boxes = np.arange(len(self.levels[-1][0]) if self.levels else len(self.sizes))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            tops, low, high, span = self.levels[depth]
+            boxes = boxes[_may(n, one, tops[boxes], low[boxes], high[boxes], self.percent)]
+            boxes = (boxes[:, None] * span + np.arange(span)).ravel()
+            boxes = boxes[boxes < (len(self.sizes) if depth == 0 else len(self.levels[depth - 1][0]))]
+        boxes = boxes[_may(n, one, self.points[boxes], self.sizes[boxes], self.sizes[boxes], self.percent)]
+        return np.sort(self.order[boxes])
+
+
+def _may(n, one: np.ndarray, tops: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """Which boxes may hold a set linked with one of n shingles: by sizes, and by the sum of the smaller coordinates."""
+    fits = (100 * high >= percent * n) & (100 * n >= percent * low)
+    return fits & (np.minimum(tops, one).sum(1, dtype=np.int64) >= least_overlap(n, np.maximum(low, -(-percent * n // 100)), percent))
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -208,110 +200,206 @@ def _octaves(n: np.ndarray) -> np.ndarray:
 
 
 def _meet(percent: int):
-    """Classes that share a prefix shingle with another of like size: (grp, cls, crowd)."""
+    """Classes that share a prefix shingle with another of like size: (p, x), p being the smallest of those that share it."""
 
     reach = int(np.ceil(8 * np.log2(100 / percent))) + 1
 
     def run(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
-        key, cls, size = join("keys", np.uint32).astype(np.uint64), join("classes", np.int64), join("sizes", np.uint8).astype(np.int64)
-        order = np.lexsort((cls, size, key))
-        key, cls, size = key[order], cls[order], size[order]
-        first = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])][: len(key)]  # copies of a class from several tasks
-        key, cls, size = key[first] | np.uint64(table.column("part")[0].as_py()) << np.uint64(32), cls[first], size[first]
-        # Of the classes of a key, those stay that have a neighbour by size near enough; runs of such are groups of their own.
+        key, cls, size = join("keys", np.uint32), join("classes", np.int64), join("sizes", np.uint8).astype(np.int64)
         if not len(key):
-            return pa.table([[], [], []], schema=pa.schema([("grp", pa.int64()), ("cls", pa.int64()), ("crowd", pa.bool_())]))
-        near = (key[1:] == key[:-1]) & (size[1:] - size[:-1] <= reach)
-        group = np.cumsum(np.r_[True, ~near])
-        keep = np.r_[near, False] | np.r_[False, near]
-        name = _mix(key + group.astype(np.uint64)).view(np.int64)
-        # Crowds become stars at once: (first class, class); the clusters they make are verified in parts.
-        begins = np.flatnonzero(np.r_[True, ~near])
-        crowd = np.repeat(np.diff(np.r_[begins, len(key)]) > CROWD, np.diff(np.r_[begins, len(key)]))
-        name[crowd] = np.repeat(cls[begins], np.diff(np.r_[begins, len(key)]))[crowd]
-        return pa.table([name[keep], cls[keep], crowd[keep]], schema=pa.schema([("grp", pa.int64()), ("cls", pa.int64()), ("crowd", pa.bool_())]))
+            return _PAIRS.empty_table()
+        order = np.lexsort((size, key))
+        key, cls, size = key[order], cls[order], size[order]
+        # Of the classes of a key, runs without a gap in size wider than a link can bridge are groups of their own.
+        begins = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (size[1:] - size[:-1] > reach)])
+        pivot = np.repeat(np.minimum.reduceat(cls, begins), np.diff(np.r_[begins, len(key)]))
+        other = pivot != cls
+        pairs = np.stack([pivot[other], cls[other]], 1)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs = pairs[order]
+        fresh = np.r_[True, (pairs[1:] != pairs[:-1]).any(1)][: len(pairs)]
+        return pa.table([pairs[fresh, 0], pairs[fresh, 1]], schema=_PAIRS)
 
     return run
 
 
+_PAIRS = pa.schema([("p", pa.int64()), ("x", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _candidates(percent: int):
-    """For the groups of a part: candidate pairs by the R-tree, or a star where pairs are dense."""
+def _unpack(column: pa.ChunkedArray | pa.Array, kind) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_py(), kind) for v in column]
+
+
+def _bounded(percent: int):
+    """Rows whose two points (columns n, points, pn, ppoints) don't rule a link out, without the points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, pn = batch.column("n").to_numpy(), batch.column("pn").to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS) for c in ("points", "ppoints"))
+            good = np.minimum(a, b).sum(1, dtype=np.int64) >= least_overlap(n, pn, percent)
+            yield batch.select(["p", "x", "n"]).filter(pa.array(good))
+
+    return run
+
+
+def _groups(table: pa.Table, names: list[str]) -> Iterator[np.ndarray]:
+    """Places of the rows of each group of equal values."""
+    keys = [table.column(c).to_numpy() for c in names]
+    order = np.lexsort(keys[::-1])
+    changes = np.zeros(max(0, len(order) - 1), bool)
+    for k in keys:
+        changes |= k[order][1:] != k[order][:-1]
+    yield from np.split(order, np.flatnonzero(changes) + 1) if len(order) else ()
+
+
+def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of the other sets, none empty, shares with one."""
+    every = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0] + [len(o) for o in others[:-1]]))
+
+
+def _verify_stars(percent: int):
+    """Of the pivot (side 0) and the classes (side 1) of each piece of a star, the verified links."""
 
     def run(table: pa.Table) -> pa.Table:
-        grp = table.column("grp").to_numpy()
-        cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
-        points = np.frombuffer(b"".join(table.column("points").to_pylist()), np.uint32).reshape(-1, GROUPS)
-        order = np.argsort(grp, kind="stable")
-        begins = np.flatnonzero(np.r_[True, grp[order][1:] != grp[order][:-1]])
+        cls, side, sets = table.column("cls").to_numpy(), table.column("side").to_numpy(), table.column("set")
         out_a, out_b = [], []
-        for own in np.split(order, begins[1:]):
-            if len(own) == 2:
-                i, j = own
-                if np.minimum(points[i], points[j]).sum() < least_overlap(n[i], n[j], percent):
-                    continue
-                a, b = own[:1], own[1:]
-            else:
-                places = RTree(n[own], points[own], percent).pairs(DENSE * len(own))
-                a, b = (np.full(len(own) - 1, own[0]), own[1:]) if places is None else (own[places[0]], own[places[1]])
-            out_a.append(np.minimum(cls[a], cls[b]))
-            out_b.append(np.maximum(cls[a], cls[b]))
+        for own in _groups(table, ["p", "piece"]):
+            pivots, others = own[side[own] == 0], own[side[own] == 1]
+            if not len(pivots) or not len(others):
+                continue
+            one, rest = np.frombuffer(sets[int(pivots[0])].as_py(), np.uint64), [np.frombuffer(sets[int(i)].as_py(), np.uint64) for i in others]
+            both = _overlaps(one, rest)
+            good = others[100 * both >= percent * (len(one) + np.array([len(r) for r in rest]) - both)]
+            out_a.append(np.full(len(good), cls[pivots[0]]))
+            out_b.append(cls[good])
         none = np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(out_a or [none]), np.concatenate(out_b or [none])], 1), axis=0)
-        return pa.table([pairs[:, 0], pairs[:, 1]], schema=_EDGES)
+        return pa.table([np.concatenate(out_a or [none]), np.concatenate(out_b or [none])], schema=_EDGES)
 
     return run
 
 
-class Links:
-    """Union-find over the classes of one task."""
+_MEETING = "p long, i int, j int, cls long, comp long, side int"
+
 
-    def __init__(self):
-        self.up: dict[int, int] = {}
+def _search(percent: int):
+    """Of the classes of a piece (side 0) and those not yet linked with the pivot (side 1), the ones with a pair that may be a link."""
 
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = x = self.up.get(y, y)
-        return x
+    def run(table: pa.Table) -> pa.Table:
+        n, comp, side = (table.column(c).to_numpy() for c in ("n", "comp", "side"))
+        points, keep = _unpack(table.column("points"), np.uint32), np.zeros(table.num_rows, bool)
+        for own in _groups(table, ["p", "i", "j"]):
+            members, loose = own[side[own] == 0], own[side[own] == 1]
+            if not len(members) or not len(loose):
+                continue
+            tree = RTree(n[members], np.array([points[k] for k in members]), percent)
+            for w in loose:
+                found = members[tree.near(n[w], points[w])]
+                found = found[comp[found] != comp[w]]
+                if len(found):
+                    keep[w] = keep[found] = True
+        return table.select(["p", "i", "j", "cls", "comp", "side"]).filter(pa.array(keep))
 
-    def join(self, a: int, b: int) -> None:
-        self.up[self.root(a)] = self.root(b)
+    return run
 
 
-def _verify(percent: int, width: int):
-    """Links between the classes of a part, (side, cls, comp, text): pairs of one component, and of one side if there are two, are skipped."""
+def _verify_loose(percent: int):
+    """Links between side 1 and side 0 of each piece. Pairs that links already connect are skipped, so dense pieces stay cheap."""
 
     def run(table: pa.Table) -> pa.Table:
-        known, links, found = Hashes(), Links(), []
-        cls, comp, side = table.column("cls").to_pylist(), table.column("comp").to_pylist(), table.column("side").to_pylist()
-        sets = [shingles(t.as_py(), known, width) for t in table.column("text")]
-        points = np.array([point(s) for s in sets])
-        sizes = np.array([len(s) for s in sets], np.int64)
-        order = np.argsort(sizes, kind="stable")
-        two = len(set(side)) > 1
-        for c, k in zip(cls, comp, strict=True):
-            links.join(("c", k), c)
-        for at, i in enumerate(order):
-            after = order[at + 1 :]
-            after = after[100 * sizes[i] >= percent * sizes[after]]
-            if len(after):
-                after = after[np.minimum(points[after], points[i]).sum(1) >= least_overlap(sizes[i], sizes[after], percent)]
-            for j in after:
-                if (two and side[i] == side[j]) or links.root(cls[i]) == links.root(cls[j]):
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                    links.join(cls[i], cls[j])
-                    found.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+        cls, comp, side = (table.column(c).to_numpy().copy() for c in ("cls", "comp", "side"))
+        sets, found = table.column("set"), []
+        for own in _groups(table, ["p", "i", "j"]):
+            members, loose = own[side[own] == 0], own[side[own] == 1]
+            if not len(members) or not len(loose):
+                continue
+            held = [np.frombuffer(sets[int(k)].as_py(), np.uint64) for k in members]
+            sizes, points = np.array([len(h) for h in held]), np.array([point(h) for h in held])
+            tree = RTree(sizes, points, percent)
+            at = comp[members]
+            for w in loose:
+                one = np.frombuffer(sets[int(w)].as_py(), np.uint64)
+                near = tree.near(len(one), point(one))
+                for k in near[at[near] != comp[w]]:
+                    if at[k] == comp[w]:
+                        continue
+                    both = int(_overlaps(one, [held[k]])[0])
+                    if 100 * both >= percent * (len(one) + sizes[k] - both):
+                        found.append((int(cls[w]), int(cls[members[k]])))
+                        comp[loose[comp[loose] == at[k]]] = comp[w]
+                        at[at == at[k]] = comp[w]
         columns = list(zip(*found, strict=True)) or [(), ()]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], names=["a", "b"])
+        return pa.table([pa.array(c, pa.int64()) for c in columns], schema=_EDGES)
 
     return run
 
 
+def _in_pieces(rows: DataFrame, name: str, pieces: str) -> DataFrame:
+    """The place of each row's class among `pieces` pieces."""
+    return rows.withColumn(name, F.pmod(F.xxhash64("x"), F.col(pieces)).cast("int"))
+
+
+def _links(edges: DataFrame, chosen: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Verified links (a, b) that connect all that links connect. edges: (p, x), stored; chosen: cls, n, points; sets: cls, set."""
+    x_side = edges.join(chosen.select(F.col("cls").alias("x"), "n", "points"), "x")
+    counts = cut(edges.groupBy("p").agg(F.count(F.lit(1)).alias("k")).join(chosen.select(F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("points").alias("ppoints")), "p"), "join-pivots")
+    able = cut(join_hot(x_side, counts, "p", "k").mapInArrow(_bounded(percent), "p long, x long, n long"), "join-able")
+    drop_table(counts)
+    totals = cut(able.groupBy("p").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).select("p", "k", F.ceil(F.col("total") / PART).cast("int").alias("pieces")), "join-totals")
+    part = lambda *c: F.pmod(F.xxhash64(*c), F.lit(parts)).cast("int").alias("part")
+    star = _in_pieces(join_hot(able.select("p", "x"), totals, "p", "k"), "piece", "pieces").select("p", "piece", F.col("x").alias("cls"), F.lit(1).alias("side"))
+    heads = totals.select("p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("p").alias("cls"), F.lit(0).alias("side"))
+    rows = star.union(heads).join(sets, "cls").select(part("p", "piece"), "p", "piece", "cls", "side", "set")
+    links = cut(rows.groupBy("part").applyInArrow(_verify_stars(percent), "a long, b long"), "join-stars")
+    for table in (able, totals):
+        drop_table(table)
+
+    # Of two linked classes that meet at a pivot, one at least is not connected with the pivot yet, or both are with each other.
+    comps = components(links, "join-stars")
+    whole = edges.union(edges.select("p", F.col("p").alias("x")).distinct()).join(comps.select(F.col("node").alias("x"), "comp"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    mixed = whole.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("x") == F.col("p"), F.col("comp"))).alias("pc"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("p", "pc", "k")
+    mixed = cut(mixed, "join-mixed")
+    if mixed.isEmpty():
+        return links
+    loose = cut(join_hot(whole, mixed, "p", "k").join(chosen.select(F.col("cls").alias("x"), "n"), "x"), "join-loose")
+    apart = F.col("comp") != F.col("pc")
+    pieces = loose.groupBy("p").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.count_if(apart).alias("kw"), F.sum(F.when(apart, F.col("n"))).alias("wtotal"))
+    size = lambda k, total: F.ceil(F.greatest(F.col(k) / CROWD, F.col(total) / PART, F.lit(1))).cast("int")
+    pieces = cut(pieces.select("p", "k", size("k", "total").alias("s"), size("kw", "wtotal").alias("t")), "join-pieces")
+    dealt = join_hot(loose.select("p", "x", "n", "comp", "pc"), pieces, "p", "k").join(chosen.select(F.col("cls").alias("x"), "points"), "x")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = _in_pieces(dealt, "i", "s").withColumn("j", every("t")).withColumn("side", F.lit(0))
+    guests = _in_pieces(dealt.filter(apart), "j", "t").withColumn("i", every("s")).withColumn("side", F.lit(1))
+    columns = ["p", "i", "j", F.col("x").alias("cls"), "n", "comp", "side"]
+    met = own.select(part("p", "i", "j"), *columns, "points").union(guests.select(part("p", "i", "j"), *columns, "points"))
+    met = cut(met.groupBy("part").applyInArrow(_search(percent), _MEETING), "join-met")
+    rows = met.join(sets, "cls").select(part("p", "i", "j"), "p", "i", "j", "cls", "comp", "side", "set")
+    more = cut(links.union(rows.groupBy("part").applyInArrow(_verify_loose(percent), "a long, b long")), "join-links")
+    for table in (links, mixed, loose, pieces, met, comps):
+        drop_table(table)
+    return more
+
+
+def _sets(plain: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cls, set): the shingles of the rows (doc_id, th) that stand for classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), known, width).tobytes() for t in batch.column(1)], pa.binary())], ["cls", "set"])
+
+    texts = plain.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
+    keys = wanted.select("cls", F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "th")
+    found = keys.hint("merge").join(texts, ["d", "th"])
+    return (found.dropDuplicates(["cls"]) if _repeats(plain) else found).select("cls", "text").mapInArrow(run, "cls long, set binary")
+
+
 def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of (doc_id, text)."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -319,42 +407,18 @@ def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     sigs = cut(signatures(plain, _frequent(plain), width, percent), "join-signatures")
     # One row of each class stands for it; a row is told by doc_id and the hash of its text, as doc_id may repeat.
     chosen = cut(sigs.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n"), F.first("points").alias("points")).select("cls", "r.doc_id", "r.th", "n", "points"), "join-classes")
-    met = cut(_deal(sigs.filter("n > 0"), parts).groupBy("part").applyInArrow(_meet(percent), "grp long, cls long, crowd boolean"), "join-met")
+    edges = cut(_deal(sigs.filter("n > 0"), parts).groupBy("part").applyInArrow(_meet(percent), "p long, x long").distinct(), "join-edges")
     wide, sigs = sigs, cut(sigs.select("doc_id", "n", "cls"), "join-rows")
     drop_table(wide)
-    full = sigs.filter("n > 0")
-    dealt = met.filter("NOT crowd").join(chosen.select("cls", "n", "points"), "cls").withColumn("part", F.pmod("grp", F.lit(parts)))
-    edges = dealt.groupBy("part").applyInArrow(_candidates(percent), "a long, b long").union(met.filter("crowd AND grp <> cls").select("grp", "cls")).distinct()
-    edges = cut(edges, "join-candidates")
-    drop_table(met)
-
-    clusters = components(edges, "join-clusters").select(F.col("node").alias("cls"), F.col("comp").alias("cluster"))
-    # Places inside a cluster by size: a window over ids only, no texts; a piece holds PART shingles of classes of like size.
-    place = F.sum("n").over(Window.partitionBy("cluster").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    numbered = clusters.join(chosen.select("cls", "doc_id", "th", "n"), "cls").withColumn("piece", F.floor(place / PART).cast("int")).withColumn("d", F.coalesce("doc_id", F.lit(_NO_ID))).drop("doc_id")
-    texts = plain.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
-    found = numbered.hint("merge").join(texts, ["d", "th"])
-    members = cut((found.dropDuplicates(["cls"]) if _repeats(plain) else found).select("cls", "cluster", "piece", "n", "text"), "join-members")
-    larger = members.filter("piece > 0").select("cluster", "piece").distinct()
-    own = members.select("cluster", "piece", "cls", F.col("cls").alias("comp"), F.lit(0).alias("side"), "text")
-    pivots = members.filter("cls = cluster").select("cluster", "cls", "text", F.col("piece").alias("at"))
-    bridges = larger.union(larger.select("cluster", F.lit(0)).distinct()).join(pivots, "cluster").filter("piece <> at").select("cluster", "piece", "cls", F.col("cls").alias("comp"), F.lit(0), "text")
-    links = cut(own.union(bridges).groupBy("cluster", "piece").applyInArrow(_verify(percent, width), "a long, b long"), "join-links")
-
-    if not larger.isEmpty():
-        comps = components(links, "join-comps")
-        state = members.join(larger.select("cluster").distinct(), "cluster", "left_semi").join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        loose = state.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cluster")
-        left = state.join(loose, "cluster", "left_semi")
-        spans = left.groupBy("cluster", "piece").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
-        other = spans.select("cluster", F.col("piece").alias("other"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"), F.col("least").alias("oleast"))
-        across = spans.join(other, "cluster").filter(f"piece < other AND NOT (lo = hi AND lo = olo AND lo = ohi) AND 100 * most >= {percent} * oleast").select("cluster", "piece", "other")
-        sides = left.join(across, ["cluster", "piece"]).select("cluster", "piece", "other", "cls", "comp", F.lit(0).alias("side"), "text")
-        sides = sides.union(left.withColumnRenamed("piece", "other").join(across, ["cluster", "other"]).select("cluster", "piece", "other", "cls", "comp", F.lit(1), "text"))
-        links = cut(links.union(sides.groupBy("cluster", "piece", "other").applyInArrow(_verify(percent, width), "a long, b long")), "join-links")
+    used = edges.select(F.col("x").alias("cls")).union(edges.select(F.col("p").alias("cls"))).distinct()
+    sets = cut(_sets(plain, chosen.select("cls", "doc_id", "th").join(used, "cls"), width), "join-sets")
+    links = _links(edges, chosen, sets, parts, percent)
+    for table in (sets, edges, chosen):
+        drop_table(table)
 
     named = components(links, "join-components")
-    ids = full.select("doc_id", "cls").join(named.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("doc_id", "cls", F.coalesce("comp", "cls").alias("comp"))
+    drop_table(links)
+    ids = sigs.filter("n > 0").select("doc_id", "cls").join(named.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("doc_id", "cls", F.coalesce("comp", "cls").alias("comp"))
     smallest = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_class = ids.select("cls", "comp").distinct().join(smallest, "comp").select("cls", "component_id")
     rows = sigs.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(by_class, "cls", "left")

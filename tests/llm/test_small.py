@@ -132,6 +132,51 @@ def test_jaccard(spark):
     assert {1, 3, 4, 5, 6}.issubset(kept) and 2 not in kept and len([k for k in kept if k >= 10]) == len({smallest[root(k)] for k, (i, _) in enumerate(rows) if i >= 10})
 
 
+def _linked(rows, percent=80):
+    """(doc_id, set size, component) by brute force."""
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+    root = lambda x: x if up[x] == x else root(up[x])
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                up[root(a)] = root(b)
+    smallest = {}
+    for k, (i, _) in enumerate(rows):
+        smallest[root(k)] = min(i, smallest.get(root(k), i))
+    return Counter((i, len(sets[k]), smallest[root(k)]) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("part,crowd", [(1_500_000, 8_192), (400, 3)])
+def test_jaccard_of_families(spark, monkeypatch, part, crowd):
+    """Families whose members drift apart, so that many pairs at a pivot are near the bound; in one piece and in many."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    r, rows = random.Random(5), []
+    for f in range(4):
+        bases = [[f"f{f}w{r.randrange(300)}" for _ in range(60 + 40 * f)]]
+        for _ in range(30):
+            w = list(r.choice(bases))
+            for _ in range(r.randrange(1, 4)):
+                w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+            bases.append(w)
+        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate(bases)]
+    r.shuffle(rows)
+    want = _linked(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'x' AS cls", "1 AS n", "2 AS component_id")
+    assert Counter(tuple(x) for x in ngram_join.link(table).collect()) == want
+    assert 4 < len({c for _, _, c in want}) < len(rows) / 2
+    assert ngram_join.link(table.limit(0)).count() == 0 and ngram_join.keep_one(table).columns == table.columns
+
+
 def test_decontamination(spark):
     bench = [(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i} eta{i} theta{i} iota{i} kappa{i}. The answer{i} is {i}.") for i in range(5)] + [(9, None), (10, " ")]
     rows = [(k, PROSE.replace("word", f"k{k}w")) for k in range(20)] + [(100, PROSE + " " + bench[2][1] + " " + PROSE), (101, "alpha3 beta3 gamma3 delta3 eps3 other eta3 theta3 iota3 kappa3. The answer3 is 3."), (102, None), (103, "")]
