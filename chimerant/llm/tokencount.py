@@ -79,7 +79,7 @@ class Counter:
                 stop = min(n, max(head + self.chunk, end + 1))
                 next_pieces, next_starts = self.boundaries(marked[head:stop], head)
                 common = set(next_starts)
-                last = next((i for i in range(len(starts) - 1, 0, -1) if starts[i] in common and self.stable_at(marked, starts[i])), None)
+                last = next((i for i in range(len(starts) - 1, 0, -1) if starts[i] >= 0 and starts[i] in common and self.stable_at(marked, starts[i])), None)
                 if last is not None:
                     total += last
                     skip = next_starts.index(starts[last])
