@@ -2,16 +2,19 @@
 
 The model is an n-gram model over words with Dirichlet smoothing: with history h, its count C(h) and its n-gram's count
 c(h, w), P(w | h) = (c(h, w) + mu * P(w | shorter h)) / (C(h) + mu); the last P is the add-one unigram model that the base
-score uses as well. Read as an automaton, every counted history is a state; a counted n-gram is an arc with its own
-weight; and the failure arc of a state, with weight mu / (C(h) + mu), leads to the state of the shorter history. One
-traversal from left to right carries the state and adds up log-probabilities. mu is set for each order such that the
-expected mass of failure arcs on the training text is the share of n-grams that occur once (Good and Turing).
+score uses as well. As an automaton: every counted history is a state; every counted n-gram is an arc of its history's
+state, with the logarithm of P as its weight, and leads to the state of the longest history that it ends with; the
+failure arc of a state, with weight mu / (C(h) + mu), leads to the state of the shorter history. The state without
+history has an arc for every word. One traversal from left to right carries the state: where it has no arc for the next
+word, failure arcs are taken until one has; all weights are added up. mu is set for each order such that the expected
+mass of failure arcs on the training text is the share of n-grams that occur once (Good and Turing).
 
 The whole model grows with the corpus and never has to fit anywhere. Documents are dealt into blocks of about BLOCK
 bytes. A block counts its own n-grams and sends one packed array per key range; each key range adds up the counts of all
 blocks and sends back to a block what differs from that block's own counts (for most n-grams, which occur in one block,
 nothing). A block's automaton then holds all states and arcs that its documents can reach, with the counts of the whole
-corpus. No count is cut off, sampled or capped. Words are keyed by 128 bits, n-grams by 64.
+corpus. No count is cut off, sampled or capped. Words are keyed by 128 bits, n-grams by 40 bits inside a key range; the
+ranges grow in number with the data, so the chance that two n-grams of a range fall together (one in a million) doesn't.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored alike and count as often as they
 occur when trained on; rows without doc_id are held out, since crc32 has no value for them; without training rows N and V are 0
@@ -27,15 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chimerant.llm.common import blocks_for, cut
+from chimerant.llm.common import cut
 
 ORDER = 2
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 #: Bytes of text per key range: ranges grow in number with the data, so that each stays small.
 RANGE = 4 << 20
 FOLDS, HELD_OUT = 7, 2
 END, BEGIN = b"\n", b"\t"  # no word holds white space
 
+_LOW = np.uint64((1 << 24) - 1)
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 
@@ -72,49 +76,96 @@ class Block:
         self.high = high
         #: Number of the history of each n-gram, by order; histories of order 1 are words, BEGIN after all words.
         self.history: list[np.ndarray] = [np.zeros(0, np.int64)]
+        #: Number of the last word of each n-gram, and of the n-gram of the order below that it ends with.
+        self.last, self.suffix = [np.arange(self.n_words)], [np.zeros(0, np.int64)]
         begin_key = np.uint64(xxhash.xxh3_128_intdigest(BEGIN) & 0xFFFFFFFFFFFFFFFF)
-        state, state_keys, n_states = self.words, np.append(low, begin_key), self.n_words + 1
+        state, state_keys = self.words, np.append(low, begin_key)
         first = np.zeros(len(self.words), bool)
         first[self.starts[self.lengths > 0]] = True
         for k in range(2, order + 1):
             before = np.empty_like(self.words)
             before[1:] = state[:-1]
-            if k == 2:
-                before[first] = self.n_words
-            else:  # histories do not reach over the beginning of a text: there the shorter one is used
-                before[first] = -1
-            code = (before + 1) * self.n_words + self.words
-            found, at = np.unique(code, return_inverse=True)
-            history, last = found // self.n_words - 1, found % self.n_words
+            before[first] = self.n_words if k == 2 else -1  # a text's first token has no longer history than its beginning
+            full = np.flatnonzero(before >= 0)
+            found, own = np.unique(before[full] * self.n_words + self.words[full], return_inverse=True)
+            history, last = found // self.n_words, found % self.n_words
             keys = mix(state_keys[history], low[last])
-            keys[history < 0] = 0
+            at = np.full(len(self.words), -1)
+            at[full] = own
+            suffix = np.zeros(len(found), np.int64)
+            suffix[own] = state[full]
             self.keys.append(keys)
             self.at.append(at)
-            self.counts.append(np.bincount(at[trained], minlength=len(found)))
+            self.counts.append(np.bincount(own[trained[full]], minlength=len(found)))
             self.history.append(history)
-            state, state_keys, n_states = at, keys, len(found)
+            self.last.append(last)
+            self.suffix.append(suffix)
+            state, state_keys = at, keys
         self.n_train_texts = int((~np.array(held, bool)).sum())
 
-    def history_counts(self, k: int) -> np.ndarray:
-        """How often each history of n-grams of order k was seen: words as counted, BEGIN once for each text."""
-        counts = self.counts[k - 2]
-        if k == 2:
-            return np.append(counts, self.n_train_texts)
-        return counts
-
-
-def score_block(block: Block, total: int, distinct: int, mus: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Base score, model score and known tokens of each text; the counts in block are those of the whole corpus."""
-    p_words = (block.counts[0] + 1.0) / (total + 1.0 * (distinct + 1))
-    base = np.log10(p_words)
-    p = p_words[block.words]  # at each token: the weight of reaching it through the lower orders
-    for k, mu in enumerate(mus, start=2):
-        at, history = block.at[k - 1], block.history[k - 1]
-        seen = np.append(block.history_counts(k), 0).astype(float)[history]  # history -1 takes the 0 at the end
-        arcs = block.counts[k - 1] / (seen + mu)
-        failure = mu / (seen + mu)
-        p = arcs[at] + failure[at] * p
-    return _sums(base[block.words], block), _sums(np.log10(p), block), _sums((block.counts[0] > 0)[block.words].astype(np.int64), block)
+    def codes(self, kind: int, parts: int) -> np.ndarray:
+        """Key range, then the 40 bits that tell the n-grams of a range apart; words keep half of their key."""
+        key = self.keys[kind - 1]
+        return key if kind == 1 else (key & _LOW) % np.uint64(parts) << np.uint64(40) | key >> np.uint64(24)
+
+
+class Automaton:
+    """The states and arcs that the texts of a block can reach; the counts in the block are those of the whole corpus.
+
+    State 0 has no history; words are states from 1 on, then come the beginning of a text and n-grams by order. A history
+    that was never seen has no arcs and a failure arc of weight 0, so it needs no case of its own."""
+
+    def __init__(self, block: Block, total: int, distinct: int, mus: list[float], n_texts: int):
+        n, order = block.n_words, len(mus) + 1
+        self.width, self.begin = n, n + 1 if mus else 0
+        p = (block.counts[0] + 1.0) / (total + 1.0 * (distinct + 1))
+        self.word_weight = np.log10(p)
+        base = [0, 1, n + 2]  # the first state of each order
+        for keys in block.keys[1 : order - 1]:
+            base.append(base[-1] + len(keys))
+        self.arcs: dict[int, int] = {}  # by state and word
+        self.weight: list[float] = []
+        self.dest: list[int] = []
+        self.fail, self.fail_weight = [0] * (n + 2), [0.0]
+        seen = np.append(block.counts[0], n_texts).astype(float)
+        for k, mu in enumerate(mus, start=2):
+            count, history, suffix = block.counts[k - 1], block.history[k - 1], block.suffix[k - 1]
+            self.fail_weight += np.log10(mu / (seen + mu)).tolist()
+            p = (count + mu * p[suffix]) / (np.append(seen, 0.0)[history] + mu)
+            real = np.flatnonzero(count > 0)
+            codes = (base[k - 1] + history[real]) * n + block.last[k - 1][real]
+            self.arcs.update(zip(codes.tolist(), range(len(self.arcs), len(self.arcs) + len(real)), strict=True))
+            self.weight += np.log10(p[real]).tolist()
+            self.dest += (base[k] + real if k < order else base[k - 1] + suffix[real]).tolist()
+            if k < order:
+                self.fail += (base[k - 1] + suffix).tolist()
+            seen = count.astype(float)
+        self.word_weights = self.word_weight.tolist()
+
+    def score(self, words: list[int]) -> float:
+        """The log10 probability of a text, its words given by their numbers in the block."""
+        arc, weight, dest, fail, fail_weight, width, known = self.arcs.get, self.weight, self.dest, self.fail, self.fail_weight, self.width, self.word_weights
+        state, total, step = self.begin, 0.0, bool(self.begin)
+        for w in words:
+            while state:
+                a = arc(state * width + w)
+                if a is not None:
+                    total += weight[a]
+                    state = dest[a]
+                    break
+                total += fail_weight[state]
+                state = fail[state]
+            else:
+                total += known[w]
+                state = step and 1 + w
+        return total
+
+
+def score_block(block: Block, total: int, distinct: int, mus: list[float], n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Base score, model score and known tokens of each text."""
+    model = Automaton(block, total, distinct, mus, n_texts)
+    scores = [model.score(block.words[a : a + k].tolist()) for a, k in zip(block.starts.tolist(), block.lengths.tolist(), strict=True)]
+    return _sums(model.word_weight[block.words], block), np.array(scores, float), _sums((block.counts[0] > 0)[block.words].astype(np.int64), block)
 
 
 def _sums(values: np.ndarray, block: Block) -> np.ndarray:
@@ -138,54 +189,69 @@ _SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("kind", pa.int3
 _SENT_DDL = "part int, block int, kind int, keys binary, counts binary"
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts in 4 bytes each where that is enough."""
-    return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.int64).tobytes()
+def _pack(codes: np.ndarray, high: np.ndarray | None, counts: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    """Keys (16 bytes for words, 5 for n-grams) with their counts in as few bytes each as will do; counts of 1 in none."""
+    low, bytes_of = 1, lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8)
+    for width, most in ((0, 1), (1, 1 << 8), (2, 1 << 16), (4, 1 << 32), (8, 1 << 63)):
+        own = np.flatnonzero((counts == 1) if width == 0 else (counts < most) & ((counts >= low) | (width == 1)) & (counts != 1))
+        low = max(low, most)
+        if len(own):
+            keys = bytes_of(codes[own])[:, :5].tobytes() if high is None else codes[own].tobytes() + high[own].tobytes()
+            yield keys, bytes_of(counts[own])[:, :width].tobytes()
+
+
+def _unpack(keys: bytes, counts: bytes, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (without the key range, but for words), other halves (words only) and counts."""
 
+    def wide(raw: bytes, n: int, width: int) -> np.ndarray:
+        out = np.zeros((n, 8), np.uint8)
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(n, width)
+        return out.view("<u8").ravel()
+
+    n = len(keys) // (16 if kind == 1 else 5)
+    found = wide(counts, n, len(counts) // n).astype(np.int64) if counts else np.ones(n, np.int64)
+    if kind == 1:
+        raw = np.frombuffer(keys, np.uint64)
+        return raw[:n], raw[n:], found
+    return wide(keys, n, 5), np.zeros(0, np.uint64), found
 
-def _unpacked(keys: bytes, counts: bytes, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, their other halves (words only) and counts."""
-    raw = np.frombuffer(keys, np.uint64)
-    n = len(raw) // 2 if kind == 1 else len(raw)
-    found = np.ones(n, np.int64) if not counts else np.frombuffer(counts, np.uint32 if len(counts) == 4 * n else np.int64).astype(np.int64)
-    return raw[:n], raw[n:], found
 
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT) if rows else _SENT.empty_table()
 
-def _send(block: Block, number: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """The block's counts by key range, packed: kind k is order k, words with both halves of their keys."""
+
+def _send(block: Block, number: int, parts: int) -> pa.Table:
+    """The block's counts by key range, packed: kind k is order k, words with both halves of their keys; kind 0 counts training texts."""
+    rows: list[tuple] = [(0, number, 0, np.array([block.n_train_texts], np.int64).tobytes(), b"")]
     for kind in range(1, len(block.keys) + 1):
-        keys, counts = block.keys[kind - 1], block.counts[kind - 1]
-        part = (keys % np.uint64(parts)).astype(np.int64)
+        codes, counts = block.codes(kind, parts), block.counts[kind - 1]
+        part = ((codes % np.uint64(parts)) if kind == 1 else (codes >> np.uint64(40))).astype(np.int64)
         order = np.argsort(part, kind="stable")
         here, begins = np.unique(part[order], return_index=True)
-        rows = []
         for i, own in zip(here.tolist(), np.split(order, begins[1:]), strict=True):
-            once = counts[own] == 1
-            for some, sent in ((own[once], b""), (own[~once], _packed(counts[own[~once]]))):  # no counts: all are 1
-                if len(some):
-                    rows.append((i, number, kind, keys[some].tobytes() + (block.high[some].tobytes() if kind == 1 else b""), sent))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+            rows += [(i, number, kind, k, c) for k, c in _pack(codes[own], block.high[own] if kind == 1 else None, counts[own])]
+    return _table(rows)
 
 
 def _add_up(table: pa.Table) -> pa.Table:
     """For one key range and order: totals over blocks, sent back where they differ from the block's own; block -1 has statistics."""
     part, kind = table.column("part")[0].as_py(), table.column("kind")[0].as_py()
+    if kind == 0:
+        n = sum(int(np.frombuffer(k.as_py(), np.int64)[0]) for k in table.column("keys"))
+        return _table([(part, -1, 0, np.array([n, 0, 0], np.int64).tobytes(), np.zeros(64).tobytes())])
     blocks, keys, highs, counts = [], [], [], []
     for b, k, c in zip(table.column("block").to_pylist(), table.column("keys"), table.column("counts"), strict=True):
-        own, high, n = _unpacked(k.as_py(), c.as_py(), kind)
+        own, high, n = _unpack(k.as_py(), c.as_py(), kind)
         blocks.append(np.full(len(n), b, np.int32))
         keys.append(own)
         highs.append(high)
         counts.append(n)
     block, key, count = np.concatenate(blocks), np.concatenate(keys), np.concatenate(counts)
-    if kind == 1:
-        high = np.concatenate(highs)
-        order = np.lexsort((high, key))
-        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (high[order][1:] != high[order][:-1])]
-    else:
-        order = np.argsort(key, kind="stable")
-        new = np.r_[True, key[order][1:] != key[order][:-1]]
+    high = np.concatenate(highs) if kind == 1 else None
+    order = np.argsort(key, kind="stable") if high is None else np.lexsort((high, key))
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    if high is not None:
+        new[1:] |= high[order][1:] != high[order][:-1]
     starts = np.flatnonzero(new)
     sums = np.add.reduceat(count[order], starts)
     total = np.empty_like(count)
@@ -195,38 +261,41 @@ def _add_up(table: pa.Table) -> pa.Table:
     differs = differs[np.argsort(block[differs], kind="stable")]
     ends = np.searchsorted(block[differs], np.unique(block[differs]), side="right")
     for own in np.split(differs, ends[:-1]) if len(differs) else []:
-        packed = key[own].tobytes() + (high[own].tobytes() if kind == 1 else b"")
-        rows.append((part, int(block[own[0]]), kind, packed, _packed(total[own])))
+        rows += [(part, int(block[own[0]]), kind, k, c) for k, c in _pack(key[own], None if high is None else high[own], total[own])]
     bins = np.bincount(np.log2(sums[sums > 0]).astype(int), weights=sums[sums > 0], minlength=64)
     rows.append((part, -1, kind, np.array([sums.sum(), (sums > 0).sum(), (sums == 1).sum()], np.int64).tobytes(), bins.tobytes()))
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+    return _table(rows)
 
 
-def _take_in(block: Block, rows: list[tuple[int, bytes, bytes]]) -> None:
-    """Put the corpus's counts in the place of the block's own."""
+def _take_in(block: Block, rows: Iterator[tuple[int, int, bytes, bytes]], parts: int) -> None:
+    """Put the corpus's counts (part, kind, keys, counts) in the place of the block's own."""
+    orders = []
     for kind in range(1, len(block.keys) + 1):
-        got = [_unpacked(k, c, kind) for x, k, c in rows if x == kind]
-        if not got:
-            continue
-        keys = np.concatenate([k for k, _, _ in got])
-        counts = np.concatenate([c for _, _, c in got])
-        own = block.keys[kind - 1]
-        order = np.argsort(own, kind="stable")
-        place = np.searchsorted(own[order], keys)
+        codes = block.codes(kind, parts)
+        orders.append((order := np.argsort(codes, kind="stable"), codes[order]))
         block.counts[kind - 1] = block.counts[kind - 1].copy()
-        block.counts[kind - 1][order[place]] = counts
+    for part, kind, k, c in rows:
+        keys, _, counts = _unpack(k, c, kind)
+        if kind > 1:
+            keys = keys | np.uint64(part) << np.uint64(40)
+        order, codes = orders[kind - 1]
+        low, high = np.searchsorted(codes, keys, "left"), np.searchsorted(codes, keys, "right")
+        block.counts[kind - 1][order[low]] = counts
+        for i in np.flatnonzero(high - low > 1):  # n-grams that fall together have one count
+            block.counts[kind - 1][order[low[i] : high[i]]] = counts[i]
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int = HELD_OUT, block_bytes: int = BLOCK, range_bytes: int = RANGE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of (doc_id, text)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_blocks, n_parts = blocks_for(base, "text", block_bytes), blocks_for(base, "text", range_bytes)
+    total_bytes = base.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks, n_parts = max(1, -(-total_bytes // block_bytes)), max(1, -(-total_bytes // range_bytes))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held_out, F.lit(True))
     dealt = base.withColumn("held", held).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
 
-    def count(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def count(table: pa.Table) -> pa.Table:
         block = Block(table.column("text").to_pylist(), table.column("held").to_pylist(), order)
-        return pa.Table.from_batches(list(_send(block, table.column("block")[0].as_py(), n_parts)), schema=_SENT)
+        return _send(block, table.column("block")[0].as_py(), n_parts)
 
     sent = dealt.groupBy("block").applyInArrow(count, _SENT_DDL)
     back = cut(sent.groupBy("part", "kind").applyInArrow(_add_up, _SENT_DDL), "lm-counts")
@@ -245,7 +314,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, hel
         stats.setdefault(r["kind"], {})[r["i"]] = r["x"]
     total, distinct = (int(stats.get(1, {}).get(i, 0)) for i in (0, 1))
     mus = [fit_mu(stats.get(k, {}).get(2, 0.0), {i - 3: x for i, x in stats.get(k - 1, {}).items() if i >= 3 and x}) for k in range(2, order + 1)]
-    n_train = base.filter(~held).count() if order > 1 else 0
+    n_train = int(stats.get(0, {}).get(0, 0))
 
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -253,9 +322,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, hel
         if not left.num_rows:
             return schema.empty_table()
         block = Block(left.column("text").to_pylist(), left.column("held").to_pylist(), order)
-        _take_in(block, list(zip(right.column("kind").to_pylist(), right.column("keys").to_pylist(), right.column("counts").to_pylist(), strict=True)))
-        block.n_train_texts = n_train
-        base_score, model_score, known = score_block(block, total, distinct, mus)
+        columns = [right.column(c) for c in ("part", "kind", "keys", "counts")]
+        _take_in(block, ((part.as_py(), kind.as_py(), k.as_py(), c.as_py()) for part, kind, k, c in zip(*columns, strict=True)), n_parts)
+        base_score, model_score, known = score_block(block, total, distinct, mus, n_train)
         return pa.table([left.column("doc_id"), left.column("held"), block.lengths, known, np.full(left.num_rows, total), base_score, model_score], schema=schema)
 
     return dealt.groupBy("block").cogroup(back.filter("block >= 0").groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
