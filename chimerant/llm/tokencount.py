@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CHUNK, OVERLAP = 65_536, 1_024
+CHUNK, OVERLAP = 8_192, 512
 CACHE_SIZE = 400_000
 
 

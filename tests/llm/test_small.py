@@ -48,26 +48,65 @@ def test_token_counts(docs):
     assert by_text(tokencount.count_tokens(docs, path, chunk=64, overlap=4)) == want
 
 
-def test_lm(docs):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm(docs, order):
     spark = docs.sparkSession
-    rows = [(i, t) for i, t in TEXTS] + [(i, f"word{i % 7} other{i % 5} word{i % 3}") for i in range(20, 60)]
-    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=2_000, range_bytes=1_000).collect()
+    rows = [(i, t) for i, t in TEXTS] + [(i, f"word{i % 7} other{i % 5} word{i % 3} other{i % 2} word1") for i in range(20, 60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'x' AS score", "1 AS held_out", "2 AS block")
+    got = lm.score_documents(table, order=order, block_bytes=2_000, range_bytes=1_000).collect()
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
     words = lambda t: (t or "").encode().lower().split() + [b"\n"]
-    c = Counter(w for i, t in rows if not held(i) for w in words(t))
+    grams = [Counter() for _ in range(order + 1)]  # of each order, with their histories
+    seen = [Counter() for _ in range(order + 1)]
+    for i, t in rows:
+        if not held(i):
+            w = [b"\t", *words(t)]
+            for k in range(1, order + 1):
+                for at in range(1, len(w)):
+                    if at - k + 1 >= 0:
+                        grams[k][tuple(w[at - k + 1 : at + 1])] += 1
+                        seen[k][tuple(w[at - k + 1 : at])] += 1
+    c = Counter({g[0]: k for g, k in grams[1].items()})
     n, v = sum(c.values()), len(c)
     want = Counter((i, held(i), len(words(t)), sum(c[w] > 0 for w in words(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words(t)), 6)) for i, t in rows)
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    history = lambda t: [b"\t", *words(t)[:-1]]
-    pairs = Counter(x for i, t in rows if not held(i) for x in zip(history(t), words(t)))
-    seen = Counter(h for i, t in rows if not held(i) for h in history(t))
-    bins = Counter()
-    for k in c.values():
-        bins[int(math.log2(k))] += k
-    mu = lm.fit_mu(sum(k == 1 for k in pairs.values()), bins)
-    score = lambda t: sum(math.log10((pairs[h, w] + mu * (c[w] + 1) / (n + v + 1)) / (seen[h] + mu)) for h, w in zip(history(t), words(t)))
+    mus = [None, None]
+    for k in range(2, order + 1):
+        bins = Counter()
+        for x in grams[k - 1].values():
+            bins[int(math.log2(x))] += x
+        mus.append(lm.fit_mu(sum(x == 1 for x in grams[k].values()), bins))
+
+    def p(w, at, k):
+        """Probability of w[at] after up to k - 1 words, w[0] being the beginning."""
+        if k == 1:
+            return (c[w[at]] + 1) / (n + v + 1)
+        lower = p(w, at, k - 1)
+        if at - k + 1 < 0:
+            return lower
+        return (grams[k][tuple(w[at - k + 1 : at + 1])] + mus[k] * lower) / (seen[k][tuple(w[at - k + 1 : at])] + mus[k])
+
+    score = lambda t: sum(math.log10(p([b"\t", *words(t)], at, order)) for at in range(1, len(words(t)) + 1))
     assert Counter((r.doc_id, round(r.score, 5)) for r in got) == Counter((i, round(score(t), 5)) for i, t in rows)
-    assert sum(r.score - r.base_score for r in got if r.held_out) > 0
+    assert order == 1 or sum(r.score - r.base_score for r in got if r.held_out) > 0
+    assert lm.score_documents(table.limit(0), order=order).count() == 0
+
+
+def test_lm_automaton():
+    """Failure arcs are taken only where a state has no arc, and the state carried is the longest history seen."""
+    block = lm.Block(["a b a b c", "b c"], [False, False], 3)
+    model = lm.Automaton(block, 9, 4, [0.5, 0.5], 2)
+    end, a, b, c = range(4)
+    arc = lambda state, w: model.arcs.get(state * model.width + w)
+    ab = model.dest[arc(1 + a, b)]
+    assert model.fail[ab] == 1 + b and model.fail[1 + b] == 0 and model.dest[arc(ab, a)] != ab
+    assert arc(ab, end) is None and arc(1 + b, end) is None  # two failures, then the word's own arc
+    weight = lambda state, w: model.weight[arc(state, w)]
+    first = weight(model.begin, a)
+    start = model.dest[arc(model.begin, a)]
+    state = model.dest[arc(start, b)]
+    want = first + weight(start, b) + model.fail_weight[state] + model.fail_weight[model.fail[state]] + model.word_weights[end]
+    assert abs(model.score([a, b, end]) - want) < 1e-12
 
 
 def test_quality(docs):
@@ -132,6 +171,25 @@ def test_jaccard(spark):
     assert {1, 3, 4, 5, 6}.issubset(kept) and 2 not in kept and len([k for k in kept if k >= 10]) == len({smallest[root(k)] for k, (i, _) in enumerate(rows) if i >= 10})
 
 
+def test_token_counts_of_spliced_texts():
+    """Random texts with characters of several bytes, runs and ends of spaces, and none at all, spliced from tiny chunks."""
+    import random
+
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    model, r = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(3)
+    small, real = tokencount.Counter(path, chunk=40, overlap=4), tokencount.Counter(path)
+    bits = ["a", "xy", "the", "é", "🧿", "漢字", " ", "  ", "\n", "\u2581", "\u00a0", "<s>", "1234", "...", "𐍈𐍈"]
+    for _ in range(1500):
+        text = "".join(r.choices(bits, k=r.randrange(5, 120))) + r.choice(["", " ", "   ", "🧿"])
+        assert small.count(text) == len(model.encode(text)), text
+    for lead in range(6):
+        for body in ("ab🧿🧿 c " * 3000, "漢字🧿" * 2000, "word " * 5000 + " ", "a" * 20_000):
+            text = "x" * lead + " " + body
+            assert real.count(text) == len(model.encode(text))
+
+
 def _linked(rows, percent=80):
     """(doc_id, set size, component) by brute force."""
 
