@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from chimerant.llm.common import blocks_for, components, cut, drop_table, join_hot
 
 SHINGLE, PERCENT = 5, 80
-GROUPS = 64
+GROUPS = 256
 RANGE = 8 << 20
 SAMPLE_DOCS, SAMPLE_SEEN = 4_000, 3
 LEAF, FANOUT = 16, 8
@@ -89,7 +89,12 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def point(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((_mix(s ^ _MUL[0]) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint32)
+    counts = np.bincount((_mix(s ^ _MUL[0]) % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return counts.astype(np.min_scalar_type(int(counts.max())))
+
+
+def _point(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // GROUPS}")
 
 
 class RTree:
@@ -97,7 +102,7 @@ class RTree:
 
     def __init__(self, sizes: np.ndarray, points: np.ndarray, percent: int = PERCENT):
         self.percent = percent
-        self.order = np.lexsort((points[:, 0].astype(np.int64) - points[:, -1], (np.log(np.maximum(sizes, 1)) * 8).astype(int)))
+        self.order = np.lexsort((points[:, 0].astype(np.int64) - points[:, -1].astype(np.int64), (np.log(np.maximum(sizes, 1)) * 8).astype(int)))
         self.sizes, self.points = sizes[self.order].astype(np.int64), points[self.order]
         self.levels = []  # from leaves up: largest counts, smallest and largest size of each box
         tops, low, high, span = self.points, self.sizes, self.sizes, LEAF
@@ -228,10 +233,6 @@ _PAIRS = pa.schema([("p", pa.int64()), ("x", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _unpack(column: pa.ChunkedArray | pa.Array, kind) -> list[np.ndarray]:
-    return [np.frombuffer(v.as_py(), kind) for v in column]
-
-
 def _bounded(percent: int):
     """Rows whose two points (columns n, points, pn, ppoints) don't rule a link out, without the points."""
 
@@ -240,9 +241,8 @@ def _bounded(percent: int):
             if not batch.num_rows:
                 continue
             n, pn = batch.column("n").to_numpy(), batch.column("pn").to_numpy()
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS) for c in ("points", "ppoints"))
-            good = np.minimum(a, b).sum(1, dtype=np.int64) >= least_overlap(n, pn, percent)
-            yield batch.select(["p", "x", "n"]).filter(pa.array(good))
+            both = np.array([np.minimum(_point(a), _point(b)).sum(dtype=np.int64) for a, b in zip(*(batch.column(c).to_pylist() for c in ("points", "ppoints")), strict=True)])
+            yield batch.select(["p", "x", "n"]).filter(pa.array(both >= least_overlap(n, pn, percent)))
 
     return run
 
@@ -293,7 +293,7 @@ def _search(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         n, comp, side = (table.column(c).to_numpy() for c in ("n", "comp", "side"))
-        points, keep = _unpack(table.column("points"), np.uint32), np.zeros(table.num_rows, bool)
+        points, keep = [_point(v) for v in table.column("points").to_pylist()], np.zeros(table.num_rows, bool)
         for own in _groups(table, ["p", "i", "j"]):
             members, loose = own[side[own] == 0], own[side[own] == 1]
             if not len(members) or not len(loose):
@@ -345,8 +345,10 @@ def _in_pieces(rows: DataFrame, name: str, pieces: str) -> DataFrame:
     return rows.withColumn(name, F.pmod(F.xxhash64("x"), F.col(pieces)).cast("int"))
 
 
-def _links(edges: DataFrame, chosen: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Verified links (a, b) that connect all that links connect. edges: (p, x), stored; chosen: cls, n, points; sets: cls, set."""
+def _links(edges: DataFrame, chosen: DataFrame, plain: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
+    """Verified links (a, b) that connect all that links connect. edges: (p, x), stored; chosen: cls, doc_id, th, n, points, stored.
+
+    The sets of the classes to verify are made from their texts, twice; no others are kept or sent."""
     x_side = edges.join(chosen.select(F.col("cls").alias("x"), "n", "points"), "x")
     counts = cut(edges.groupBy("p").agg(F.count(F.lit(1)).alias("k")).join(chosen.select(F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("points").alias("ppoints")), "p"), "join-pivots")
     able = cut(join_hot(x_side, counts, "p", "k").mapInArrow(_bounded(percent), "p long, x long, n long"), "join-able")
@@ -355,9 +357,11 @@ def _links(edges: DataFrame, chosen: DataFrame, sets: DataFrame, parts: int, per
     part = lambda *c: F.pmod(F.xxhash64(*c), F.lit(parts)).cast("int").alias("part")
     star = _in_pieces(join_hot(able.select("p", "x"), totals, "p", "k"), "piece", "pieces").select("p", "piece", F.col("x").alias("cls"), F.lit(1).alias("side"))
     heads = totals.select("p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("p").alias("cls"), F.lit(0).alias("side"))
-    rows = star.union(heads).join(sets, "cls").select(part("p", "piece"), "p", "piece", "cls", "side", "set")
+    rows = cut(star.union(heads), "join-star-rows")
+    sets = _sets(plain, chosen, rows, width)
+    rows = rows.join(sets, "cls").select(part("p", "piece"), "p", "piece", "cls", "side", "set")
     links = cut(rows.groupBy("part").applyInArrow(_verify_stars(percent), "a long, b long"), "join-stars")
-    for table in (able, totals):
+    for table in (able, totals, sets):
         drop_table(table)
 
     # Of two linked classes that meet at a pivot, one at least is not connected with the pivot yet, or both are with each other.
@@ -379,15 +383,16 @@ def _links(edges: DataFrame, chosen: DataFrame, sets: DataFrame, parts: int, per
     columns = ["p", "i", "j", F.col("x").alias("cls"), "n", "comp", "side"]
     met = own.select(part("p", "i", "j"), *columns, "points").union(guests.select(part("p", "i", "j"), *columns, "points"))
     met = cut(met.groupBy("part").applyInArrow(_search(percent), _MEETING), "join-met")
+    sets = _sets(plain, chosen, met, width)
     rows = met.join(sets, "cls").select(part("p", "i", "j"), "p", "i", "j", "cls", "comp", "side", "set")
     more = cut(links.union(rows.groupBy("part").applyInArrow(_verify_loose(percent), "a long, b long")), "join-links")
-    for table in (links, mixed, loose, pieces, met, comps):
+    for table in (links, mixed, loose, pieces, met, sets, comps):
         drop_table(table)
     return more
 
 
-def _sets(plain: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cls, set): the shingles of the rows (doc_id, th) that stand for classes."""
+def _sets(plain: DataFrame, chosen: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cls, set), stored: the shingles of the classes in `wanted`, from the texts of the rows that stand for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
@@ -395,9 +400,9 @@ def _sets(plain: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), known, width).tobytes() for t in batch.column(1)], pa.binary())], ["cls", "set"])
 
     texts = plain.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
-    keys = wanted.select("cls", F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "th")
+    keys = chosen.join(wanted.select("cls").distinct(), "cls").select("cls", F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "th")
     found = keys.hint("merge").join(texts, ["d", "th"])
-    return (found.dropDuplicates(["cls"]) if _repeats(plain) else found).select("cls", "text").mapInArrow(run, "cls long, set binary")
+    return cut((found.dropDuplicates(["cls"]) if _repeats(plain) else found).select("cls", "text").mapInArrow(run, "cls long, set binary"), "join-sets")
 
 
 def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -410,10 +415,8 @@ def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     edges = cut(_deal(sigs.filter("n > 0"), parts).groupBy("part").applyInArrow(_meet(percent), "p long, x long").distinct(), "join-edges")
     wide, sigs = sigs, cut(sigs.select("doc_id", "n", "cls"), "join-rows")
     drop_table(wide)
-    used = edges.select(F.col("x").alias("cls")).union(edges.select(F.col("p").alias("cls"))).distinct()
-    sets = cut(_sets(plain, chosen.select("cls", "doc_id", "th").join(used, "cls"), width), "join-sets")
-    links = _links(edges, chosen, sets, parts, percent)
-    for table in (sets, edges, chosen):
+    links = _links(edges, chosen, plain, parts, width, percent)
+    for table in (edges, chosen):
         drop_table(table)
 
     named = components(links, "join-components")
