@@ -9,10 +9,10 @@ history has an arc for every word. One traversal from left to right carries the
 word, failure arcs are taken until one has; all weights are added up. mu is set for each order such that the expected
 mass of failure arcs on the training text is the share of n-grams that occur once (Good and Turing).
 
-The whole model grows with the corpus and never has to fit anywhere. Documents are dealt into blocks of about BLOCK
-bytes. A block counts its own n-grams and sends one packed array per key range; each key range adds up the counts of all
-blocks and sends back to a block what differs from that block's own counts (for most n-grams, which occur in one block,
-nothing). A block's automaton then holds all states and arcs that its documents can reach, with the counts of the whole
+The whole model grows with the corpus and never has to fit anywhere. Documents are packed into blocks of about BLOCK
+bytes where they are read; texts are moved once, compressed. A block counts its own n-grams and sends one array of
+ascending keys per key range; each key range adds up the counts of all blocks and sends a block the totals in the order
+of its keys, so no key travels back. A block's automaton then holds all states and arcs that its documents can reach, with the counts of the whole
 corpus. No count is cut off, sampled or capped. Words are keyed by 128 bits, n-grams by 40 bits inside a key range; the
 ranges grow in number with the data, so the chance that two n-grams of a range fall together (one in a million) doesn't.
 
@@ -23,6 +23,7 @@ and every base probability is 1; an empty table gives an empty table; other colu
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chimerant.llm.common import cut
+from chimerant.llm.common import blocks_for, cut
 
 ORDER = 2
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Bytes of text per key range: ranges grow in number with the data, so that each stays small.
 RANGE = 4 << 20
 FOLDS, HELD_OUT = 7, 2
 END, BEGIN = b"\n", b"\t"  # no word holds white space
 
-_LOW = np.uint64((1 << 24) - 1)
+_LOW, _TAIL = np.uint64((1 << 24) - 1), np.uint64((1 << 40) - 1)
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 
@@ -124,8 +125,7 @@ class Automaton:
         for keys in block.keys[1 : order - 1]:
             base.append(base[-1] + len(keys))
         self.arcs: dict[int, int] = {}  # by state and word
-        self.weight: list[float] = []
-        self.dest: list[int] = []
+        self.weight, self.dest = array("d"), array("q")
         self.fail, self.fail_weight = [0] * (n + 2), [0.0]
         seen = np.append(block.counts[0], n_texts).astype(float)
         for k, mu in enumerate(mus, start=2):
@@ -135,8 +135,8 @@ class Automaton:
             real = np.flatnonzero(count > 0)
             codes = (base[k - 1] + history[real]) * n + block.last[k - 1][real]
             self.arcs.update(zip(codes.tolist(), range(len(self.arcs), len(self.arcs) + len(real)), strict=True))
-            self.weight += np.log10(p[real]).tolist()
-            self.dest += (base[k] + real if k < order else base[k - 1] + suffix[real]).tolist()
+            self.weight.frombytes(np.log10(p[real]).astype(float).tobytes())
+            self.dest.frombytes((base[k] + real if k < order else base[k - 1] + suffix[real]).astype(np.int64).tobytes())
             if k < order:
                 self.fail += (base[k - 1] + suffix).tolist()
             seen = count.astype(float)
@@ -185,119 +185,172 @@ def fit_mu(singles: float, by_history: dict[int, float]) -> float:
     return mid
 
 
-_SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_SENT_DDL = "part int, block int, kind int, keys binary, counts binary"
+_SENT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_SENT_DDL = "part int, block long, kind int, keys binary, counts binary"
 
 
-def _pack(codes: np.ndarray, high: np.ndarray | None, counts: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-    """Keys (16 bytes for words, 5 for n-grams) with their counts in as few bytes each as will do; counts of 1 in none."""
-    low, bytes_of = 1, lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8)
-    for width, most in ((0, 1), (1, 1 << 8), (2, 1 << 16), (4, 1 << 32), (8, 1 << 63)):
-        own = np.flatnonzero((counts == 1) if width == 0 else (counts < most) & ((counts >= low) | (width == 1)) & (counts != 1))
-        low = max(low, most)
-        if len(own):
-            keys = bytes_of(codes[own])[:, :5].tobytes() if high is None else codes[own].tobytes() + high[own].tobytes()
-            yield keys, bytes_of(counts[own])[:, :width].tobytes()
+def _bytes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of whole numbers, byte plane by byte plane, compressed."""
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
 
-def _unpack(keys: bytes, counts: bytes, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (without the key range, but for words), other halves (words only) and counts."""
 
-    def wide(raw: bytes, n: int, width: int) -> np.ndarray:
-        out = np.zeros((n, 8), np.uint8)
-        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(n, width)
-        return out.view("<u8").ravel()
+def _numbers(raw: bytes, width: int) -> np.ndarray:
+    import zstandard
 
-    n = len(keys) // (16 if kind == 1 else 5)
-    found = wide(counts, n, len(counts) // n).astype(np.int64) if counts else np.ones(n, np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _pack_keys(codes: np.ndarray, high: np.ndarray | None) -> bytes:
+    """Ascending keys: words whole, n-grams as the steps between the 40 bits inside their key range."""
+    if high is not None:
+        return codes.tobytes() + high.tobytes()
+    return _bytes(np.diff(codes & _TAIL, prepend=np.uint64(0)), 5)
+
+
+def _unpack_keys(raw: bytes, kind: int) -> tuple[np.ndarray, np.ndarray | None]:
     if kind == 1:
-        raw = np.frombuffer(keys, np.uint64)
-        return raw[:n], raw[n:], found
-    return wide(keys, n, 5), np.zeros(0, np.uint64), found
+        both = np.frombuffer(raw, np.uint64)
+        return both[: len(both) // 2], both[len(both) // 2 :]
+    return np.cumsum(_numbers(raw, 5), dtype=np.uint64), None
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count; those of 255 and more follow."""
+    large = counts[counts >= 255]
+    return len(large).to_bytes(8, "little") + large.astype("<i8").tobytes() + _bytes(np.minimum(counts, 255), 1)
+
+
+def _unpack_counts(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    out = _numbers(raw[8 + 8 * n :], 1).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw[8 : 8 + 8 * n], "<i8")
+    return out
 
 
 def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT) if rows else _SENT.empty_table()
 
 
+def _dealt(block: Block, kind: int, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each key range that the block has n-grams of this order in: their numbers, by ascending keys."""
+    codes = block.codes(kind, parts)
+    if kind == 1:
+        part = codes % np.uint64(parts)
+        order = np.lexsort((block.high, codes, part))
+    else:
+        part = codes >> np.uint64(40)
+        order = np.argsort(codes, kind="stable")
+    here, begins = np.unique(part[order], return_index=True)
+    yield from zip(here.tolist(), np.split(order, begins[1:]), strict=True)
+
+
 def _send(block: Block, number: int, parts: int) -> pa.Table:
     """The block's counts by key range, packed: kind k is order k, words with both halves of their keys; kind 0 counts training texts."""
     rows: list[tuple] = [(0, number, 0, np.array([block.n_train_texts], np.int64).tobytes(), b"")]
     for kind in range(1, len(block.keys) + 1):
         codes, counts = block.codes(kind, parts), block.counts[kind - 1]
-        part = ((codes % np.uint64(parts)) if kind == 1 else (codes >> np.uint64(40))).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        here, begins = np.unique(part[order], return_index=True)
-        for i, own in zip(here.tolist(), np.split(order, begins[1:]), strict=True):
-            rows += [(i, number, kind, k, c) for k, c in _pack(codes[own], block.high[own] if kind == 1 else None, counts[own])]
+        rows += [(i, number, kind, _pack_keys(codes[own], block.high[own] if kind == 1 else None), _pack_counts(counts[own])) for i, own in _dealt(block, kind, parts)]
     return _table(rows)
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    """For one key range and order: totals over blocks, sent back where they differ from the block's own; block -1 has statistics."""
+    """For one key range and order: totals over blocks, sent back to each block in the order of its keys; block -1 has statistics."""
     part, kind = table.column("part")[0].as_py(), table.column("kind")[0].as_py()
     if kind == 0:
         n = sum(int(np.frombuffer(k.as_py(), np.int64)[0]) for k in table.column("keys"))
         return _table([(part, -1, 0, np.array([n, 0, 0], np.int64).tobytes(), np.zeros(64).tobytes())])
-    blocks, keys, highs, counts = [], [], [], []
-    for b, k, c in zip(table.column("block").to_pylist(), table.column("keys"), table.column("counts"), strict=True):
-        own, high, n = _unpack(k.as_py(), c.as_py(), kind)
-        blocks.append(np.full(len(n), b, np.int32))
+    keys, highs, counts = [], [], []
+    for k, c in zip(table.column("keys"), table.column("counts"), strict=True):
+        own, high = _unpack_keys(k.as_py(), kind)
         keys.append(own)
         highs.append(high)
-        counts.append(n)
-    block, key, count = np.concatenate(blocks), np.concatenate(keys), np.concatenate(counts)
-    high = np.concatenate(highs) if kind == 1 else None
-    order = np.argsort(key, kind="stable") if high is None else np.lexsort((high, key))
-    new = np.r_[True, key[order][1:] != key[order][:-1]]
-    if high is not None:
-        new[1:] |= high[order][1:] != high[order][:-1]
+        counts.append(_unpack_counts(c.as_py()))
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    if kind == 1:
+        high = np.concatenate(highs)
+        order = np.lexsort((high, key))
+        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (high[order][1:] != high[order][:-1])]
+    else:
+        order = np.argsort(key, kind="stable")
+        new = np.r_[True, key[order][1:] != key[order][:-1]]
     starts = np.flatnonzero(new)
     sums = np.add.reduceat(count[order], starts)
-    total = np.empty_like(count)
-    total[order] = np.repeat(sums, np.diff(np.r_[starts, len(order)]))
-    rows = []
-    differs = np.flatnonzero(total != count)
-    differs = differs[np.argsort(block[differs], kind="stable")]
-    ends = np.searchsorted(block[differs], np.unique(block[differs]), side="right")
-    for own in np.split(differs, ends[:-1]) if len(differs) else []:
-        rows += [(part, int(block[own[0]]), kind, k, c) for k, c in _pack(key[own], None if high is None else high[own], total[own])]
+    count[order] = np.repeat(sums, np.diff(np.r_[starts, len(order)]))
+    ends = np.cumsum([len(k) for k in keys])
+    rows = [(part, b, kind, b"", _pack_counts(own)) for b, own in zip(table.column("block").to_pylist(), np.split(count, ends[:-1]), strict=True)]
     bins = np.bincount(np.log2(sums[sums > 0]).astype(int), weights=sums[sums > 0], minlength=64)
     rows.append((part, -1, kind, np.array([sums.sum(), (sums > 0).sum(), (sums == 1).sum()], np.int64).tobytes(), bins.tobytes()))
     return _table(rows)
 
 
-def _take_in(block: Block, rows: Iterator[tuple[int, int, bytes, bytes]], parts: int) -> None:
-    """Put the corpus's counts (part, kind, keys, counts) in the place of the block's own."""
-    orders = []
+def _take_in(block: Block, answers: dict[tuple[int, int], bytes], parts: int) -> None:
+    """Put the corpus's counts, by order and key range, in the place of the block's own."""
     for kind in range(1, len(block.keys) + 1):
-        codes = block.codes(kind, parts)
-        orders.append((order := np.argsort(codes, kind="stable"), codes[order]))
-        block.counts[kind - 1] = block.counts[kind - 1].copy()
-    for part, kind, k, c in rows:
-        keys, _, counts = _unpack(k, c, kind)
-        if kind > 1:
-            keys = keys | np.uint64(part) << np.uint64(40)
-        order, codes = orders[kind - 1]
-        low, high = np.searchsorted(codes, keys, "left"), np.searchsorted(codes, keys, "right")
-        block.counts[kind - 1][order[low]] = counts
-        for i in np.flatnonzero(high - low > 1):  # n-grams that fall together have one count
-            block.counts[kind - 1][order[low[i] : high[i]]] = counts[i]
+        block.counts[kind - 1] = np.zeros(len(block.keys[kind - 1]), np.int64)
+        for part, own in _dealt(block, kind, parts):
+            block.counts[kind - 1][own] = _unpack_counts(answers[kind, part])
+
+
+def _blocks(size: int):
+    """Rows (doc_id, held, text) packed into blocks of about `size` bytes, where they are read: one row for each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        import zstandard
+
+        rows: list[tuple] = []
+        total = 0
+
+        def block() -> pa.RecordBatch:
+            ids, held, texts = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.large_string()), strict=True))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type), ("held", held.type), ("text", texts.type)])) as writer:
+                writer.write(pa.record_batch([ids, held, texts], ["doc_id", "held", "text"]))
+            name = uuid.uuid4().int >> 65
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())], pa.binary())], ["block", "rows"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append(row)
+                total += len(row[2] or "")
+                if total >= size:
+                    yield block()
+                    rows, total = [], 0
+        if rows:
+            yield block()
+
+    return run
+
+
+def _opened(packed: bytes) -> pa.Table:
+    import zstandard
+
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all()
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int = HELD_OUT, block_bytes: int = BLOCK, range_bytes: int = RANGE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of (doc_id, text)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total_bytes = base.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks, n_parts = max(1, -(-total_bytes // block_bytes)), max(1, -(-total_bytes // range_bytes))
+    n_parts = blocks_for(base, "text", range_bytes)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held_out, F.lit(True))
-    dealt = base.withColumn("held", held).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    blocks = cut(base.select("doc_id", held.alias("held"), "text").mapInArrow(_blocks(block_bytes), "block long, rows binary"), "lm-blocks")
+
+    def opened(packed: bytes) -> tuple[pa.Table, Block]:
+        rows = _opened(packed)
+        return rows, Block(rows.column("text").to_pylist(), rows.column("held").to_pylist(), order)
 
-    def count(table: pa.Table) -> pa.Table:
-        block = Block(table.column("text").to_pylist(), table.column("held").to_pylist(), order)
-        return _send(block, table.column("block")[0].as_py(), n_parts)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _send(opened(packed.as_py())[1], name, n_parts).to_batches()
 
-    sent = dealt.groupBy("block").applyInArrow(count, _SENT_DDL)
+    sent = blocks.mapInArrow(count, _SENT_DDL)
     back = cut(sent.groupBy("part", "kind").applyInArrow(_add_up, _SENT_DDL), "lm-counts")
 
     # Three sums and 64 bins for each order: all that reaches the driver, whatever the corpus.
@@ -321,10 +374,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, hel
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
-        block = Block(left.column("text").to_pylist(), left.column("held").to_pylist(), order)
-        columns = [right.column(c) for c in ("part", "kind", "keys", "counts")]
-        _take_in(block, ((part.as_py(), kind.as_py(), k.as_py(), c.as_py()) for part, kind, k, c in zip(*columns, strict=True)), n_parts)
+        rows, block = opened(left.column("rows")[0].as_py())
+        _take_in(block, {(kind, part): c.as_py() for kind, part, c in zip(right.column("kind").to_pylist(), right.column("part").to_pylist(), right.column("counts"), strict=True)}, n_parts)
         base_score, model_score, known = score_block(block, total, distinct, mus, n_train)
-        return pa.table([left.column("doc_id"), left.column("held"), block.lengths, known, np.full(left.num_rows, total), base_score, model_score], schema=schema)
+        return pa.table([rows.column("doc_id"), rows.column("held"), block.lengths, known, np.full(rows.num_rows, total), base_score, model_score], schema=schema)
 
-    return dealt.groupBy("block").cogroup(back.filter("block >= 0").groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.groupBy("block").cogroup(back.filter("block >= 0").groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
