@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from chimerant.llm.common import blocks_for, components, cut, drop_table, join_hot
 
 SHINGLE, PERCENT = 5, 80
-GROUPS = 256
+#: Coordinates of a point: GROUPS, and for sets of many shingles twice as many as often as there are more than FILL of them in a group.
+GROUPS, FILL, MOST_GROUPS = 256, 16, 1 << 16
 RANGE = 8 << 20
 SAMPLE_DOCS, SAMPLE_SEEN = 4_000, 3
 LEAF, FANOUT = 16, 8
@@ -88,20 +89,38 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n) // 100 + 1
 
 
-def point(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def point(s: np.ndarray) -> bytes:
+    """Counts of the shingles by groups, packed; the number of groups is a power of two that grows with the set."""
+    groups = GROUPS
+    while groups < MOST_GROUPS and len(s) > FILL * groups:
+        groups *= 2
     counts = np.bincount((_mix(s ^ _MUL[0]) % np.uint64(groups)).astype(np.int64), minlength=groups)
-    return counts.astype(np.min_scalar_type(int(counts.max())))
+    width = np.min_scalar_type(int(counts.max()))
+    return bytes([width.itemsize]) + counts.astype(width).tobytes()
 
 
 def _point(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, f"u{len(packed) // GROUPS}")
+    """The counts in a packed point."""
+    return np.frombuffer(packed[1:], f"u{packed[0]}")
+
+
+def _coarse(p: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """The point over fewer groups, which are unions of its own."""
+    return p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.uint32)
+
+
+def most_overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """No two sets with these points share more shingles: the sum of the smaller coordinates, over the groups of both."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(_coarse(a, groups), _coarse(b, groups)).sum(dtype=np.int64))
 
 
 class RTree:
     """Packed R-tree over count vectors; boxes keep the largest count per coordinate and the span of sizes."""
 
-    def __init__(self, sizes: np.ndarray, points: np.ndarray, percent: int = PERCENT):
-        self.percent = percent
+    def __init__(self, sizes: np.ndarray, fine: list[np.ndarray], percent: int = PERCENT):
+        self.percent, self.fine = percent, fine
+        points = np.array([_coarse(p) for p in fine])
         self.order = np.lexsort((points[:, 0].astype(np.int64) - points[:, -1].astype(np.int64), (np.log(np.maximum(sizes, 1)) * 8).astype(int)))
         self.sizes, self.points = sizes[self.order].astype(np.int64), points[self.order]
         self.levels = []  # from leaves up: largest counts, smallest and largest size of each box
@@ -114,14 +133,18 @@ class RTree:
 
     def near(self, n: int, one: np.ndarray) -> np.ndarray:
         """The places, in ascending order, of the points that may be linked with a set of n shingles and this point."""
-        boxes = np.arange(len(self.levels[-1][0]) if self.levels else len(self.sizes))
+        boxes, fine, one = np.arange(len(self.levels[-1][0]) if self.levels else len(self.sizes)), one, _coarse(one)
         for depth in range(len(self.levels) - 1, -1, -1):
             tops, low, high, span = self.levels[depth]
             boxes = boxes[_may(n, one, tops[boxes], low[boxes], high[boxes], self.percent)]
             boxes = (boxes[:, None] * span + np.arange(span)).ravel()
             boxes = boxes[boxes < (len(self.sizes) if depth == 0 else len(self.levels[depth - 1][0]))]
         boxes = boxes[_may(n, one, self.points[boxes], self.sizes[boxes], self.sizes[boxes], self.percent)]
-        return np.sort(self.order[boxes])
+        found = np.sort(self.order[boxes])
+        if len(fine) > GROUPS:
+            size = dict(zip(self.order[boxes].tolist(), self.sizes[boxes].tolist(), strict=True))
+            found = np.array([k for k in found.tolist() if most_overlap(self.fine[k], fine) >= least_overlap(size[k], n, self.percent)], np.int64)
+        return found
 
 
 def _may(n, one: np.ndarray, tops: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
@@ -159,7 +182,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int = SHINGLE, perc
                 s = shingles(value.as_py(), known, width)
                 n.append(len(s))
                 hashes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                points.append(point(s).tobytes())
+                points.append(point(s))
                 common = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                 prefixes.append(np.concatenate([s[~common], s[common]])[: prefix_length(len(s), percent) if len(s) else 0].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(hashes, pa.int64()), pa.array(points, pa.binary()), pa.array(prefixes, pa.binary())], ["doc_id", "th", "n", "cls", "points", "prefix"])
@@ -241,7 +264,7 @@ def _bounded(percent: int):
             if not batch.num_rows:
                 continue
             n, pn = batch.column("n").to_numpy(), batch.column("pn").to_numpy()
-            both = np.array([np.minimum(_point(a), _point(b)).sum(dtype=np.int64) for a, b in zip(*(batch.column(c).to_pylist() for c in ("points", "ppoints")), strict=True)])
+            both = np.array([most_overlap(_point(a), _point(b)) for a, b in zip(*(batch.column(c).to_pylist() for c in ("points", "ppoints")), strict=True)])
             yield batch.select(["p", "x", "n"]).filter(pa.array(both >= least_overlap(n, pn, percent)))
 
     return run
@@ -298,7 +321,7 @@ def _search(percent: int):
             members, loose = own[side[own] == 0], own[side[own] == 1]
             if not len(members) or not len(loose):
                 continue
-            tree = RTree(n[members], np.array([points[k] for k in members]), percent)
+            tree = RTree(n[members], [points[k] for k in members], percent)
             for w in loose:
                 found = members[tree.near(n[w], points[w])]
                 found = found[comp[found] != comp[w]]
@@ -320,12 +343,12 @@ def _verify_loose(percent: int):
             if not len(members) or not len(loose):
                 continue
             held = [np.frombuffer(sets[int(k)].as_py(), np.uint64) for k in members]
-            sizes, points = np.array([len(h) for h in held]), np.array([point(h) for h in held])
-            tree = RTree(sizes, points, percent)
+            sizes = np.array([len(h) for h in held])
+            tree = RTree(sizes, [_point(point(h)) for h in held], percent)
             at = comp[members]
             for w in loose:
                 one = np.frombuffer(sets[int(w)].as_py(), np.uint64)
-                near = tree.near(len(one), point(one))
+                near = tree.near(len(one), _point(point(one)))
                 for k in near[at[near] != comp[w]]:
                     if at[k] == comp[w]:
                         continue
