@@ -23,7 +23,6 @@ and every base probability is 1; an empty table gives an empty table; other colu
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +36,8 @@ ORDER = 2
 BLOCK = 8 << 20
 #: Bytes of text per key range: ranges grow in number with the data, so that each stays small.
 RANGE = 4 << 20
+#: Tokens whose arcs are looked up together.
+LOOKUP = 100_000
 FOLDS, HELD_OUT = 7, 2
 END, BEGIN = b"\n", b"\t"  # no word holds white space
 
@@ -114,33 +115,43 @@ class Automaton:
     """The states and arcs that the texts of a block can reach; the counts in the block are those of the whole corpus.
 
     State 0 has no history; words are states from 1 on, then come the beginning of a text and n-grams by order. A history
-    that was never seen has no arcs and a failure arc of weight 0, so it needs no case of its own."""
+    that was never seen has no arcs and a failure arc of weight 0, so it needs no case of its own. Arcs are looked up by
+    state and word; the lookup holds those of the texts that load() was given, a few at a time."""
 
     def __init__(self, block: Block, total: int, distinct: int, mus: list[float], n_texts: int):
         n, order = block.n_words, len(mus) + 1
-        self.width, self.begin = n, n + 1 if mus else 0
+        self.block, self.width, self.begin = block, n, n + 1 if mus else 0
         p = (block.counts[0] + 1.0) / (total + 1.0 * (distinct + 1))
         self.word_weight = np.log10(p)
+        self.word_weights = self.word_weight.tolist()
         base = [0, 1, n + 2]  # the first state of each order
         for keys in block.keys[1 : order - 1]:
             base.append(base[-1] + len(keys))
-        self.arcs: dict[int, int] = {}  # by state and word
-        self.weight, self.dest = array("d"), array("q")
+        self.table: list[tuple[np.ndarray, ...]] = []  # of each order: arc or not, state and word, weight, destination
         self.fail, self.fail_weight = [0] * (n + 2), [0.0]
         seen = np.append(block.counts[0], n_texts).astype(float)
         for k, mu in enumerate(mus, start=2):
             count, history, suffix = block.counts[k - 1], block.history[k - 1], block.suffix[k - 1]
             self.fail_weight += np.log10(mu / (seen + mu)).tolist()
-            p = (count + mu * p[suffix]) / (np.append(seen, 0.0)[history] + mu)
-            real = np.flatnonzero(count > 0)
-            codes = (base[k - 1] + history[real]) * n + block.last[k - 1][real]
-            self.arcs.update(zip(codes.tolist(), range(len(self.arcs), len(self.arcs) + len(real)), strict=True))
-            self.weight.frombytes(np.log10(p[real]).astype(float).tobytes())
-            self.dest.frombytes((base[k] + real if k < order else base[k - 1] + suffix[real]).astype(np.int64).tobytes())
+            p = (count + mu * p[suffix]) / (seen[history] + mu)
+            self.table.append((count > 0, (base[k - 1] + history) * n + block.last[k - 1], np.log10(p), base[k] + np.arange(len(count)) if k < order else base[k - 1] + suffix))
             if k < order:
                 self.fail += (base[k - 1] + suffix).tolist()
             seen = count.astype(float)
-        self.word_weights = self.word_weight.tolist()
+        self.load(0, 0)
+
+    def load(self, begin: int, end: int) -> None:
+        """Look-ups for the arcs that the tokens from begin to end can take."""
+        self.arcs: dict[int, int] = {}
+        self.weight: list[float] = []
+        self.dest: list[int] = []
+        for at, (real, codes, weights, dests) in zip(self.block.at[1:], self.table, strict=True):
+            own = np.unique(at[begin:end])
+            own = own[own >= 0]
+            own = own[real[own]]
+            self.arcs.update(zip(codes[own].tolist(), range(len(self.arcs), len(self.arcs) + len(own)), strict=True))
+            self.weight += weights[own].tolist()
+            self.dest += dests[own].tolist()
 
     def score(self, words: list[int]) -> float:
         """The log10 probability of a text, its words given by their numbers in the block."""
@@ -160,12 +171,22 @@ class Automaton:
                 state = step and 1 + w
         return total
 
+    def scores(self) -> np.ndarray:
+        """Of all texts of the block."""
+        out, starts, ends = [], self.block.starts.tolist(), (self.block.starts + self.block.lengths).tolist()
+        loaded = 0
+        for i, (begin, end) in enumerate(zip(starts, ends, strict=True)):
+            if end > loaded:
+                loaded = next((e for e in ends[i:] if e - begin >= LOOKUP), ends[-1])
+                self.load(begin, loaded)
+            out.append(self.score(self.block.words[begin:end].tolist()))
+        return np.array(out, float)
+
 
 def score_block(block: Block, total: int, distinct: int, mus: list[float], n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Base score, model score and known tokens of each text."""
     model = Automaton(block, total, distinct, mus, n_texts)
-    scores = [model.score(block.words[a : a + k].tolist()) for a, k in zip(block.starts.tolist(), block.lengths.tolist(), strict=True)]
-    return _sums(model.word_weight[block.words], block), np.array(scores, float), _sums((block.counts[0] > 0)[block.words].astype(np.int64), block)
+    return _sums(model.word_weight[block.words], block), model.scores(), _sums((block.counts[0] > 0)[block.words].astype(np.int64), block)
 
 
 def _sums(values: np.ndarray, block: Block) -> np.ndarray:

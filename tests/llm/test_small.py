@@ -49,7 +49,8 @@ def test_token_counts(docs):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm(docs, order):
+def test_lm(docs, order, monkeypatch):
+    monkeypatch.setattr(lm, "LOOKUP", 100)
     spark = docs.sparkSession
     rows = [(i, t) for i, t in TEXTS] + [(i, f"word{i % 7} other{i % 5} word{i % 3} other{i % 2} word1") for i in range(20, 60)]
     table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'x' AS score", "1 AS held_out", "2 AS block")
@@ -96,6 +97,7 @@ def test_lm_automaton():
     """Failure arcs are taken only where a state has no arc, and the state carried is the longest history seen."""
     block = lm.Block(["a b a b c", "b c"], [False, False], 3)
     model = lm.Automaton(block, 9, 4, [0.5, 0.5], 2)
+    model.load(0, len(block.words))
     end, a, b, c = range(4)
     arc = lambda state, w: model.arcs.get(state * model.width + w)
     ab = model.dest[arc(1 + a, b)]
