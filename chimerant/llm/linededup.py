@@ -16,7 +16,7 @@ is a duplicate of it. The steps:
 
 Defined results: lines without words stay as they are and are duplicates of nothing; null texts stay null; rows without
 doc_id stay as they are and remove nothing; rows that share a doc_id are one document with several texts, ordered by
-text; a document that loses all its lines has the empty text; an empty table gives an empty table. The columns of the
+text; a document that loses all its lines has the empty text, and filter_documents() leaves it out; an empty table gives an empty table. The columns of the
 input stay, whatever their names; filter_documents() sets the text and, where the table has it, n_chars.
 """
 
@@ -213,9 +213,10 @@ def _without(rows: DataFrame, names: list[str], text: str, n_chars: str) -> Data
 
 
 def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """docs with the duplicate lines taken out of their texts."""
+    """docs with the duplicate lines taken out of their texts, without the documents that lose all their words by that."""
     rows, names = dedup(docs, doc_id, text)
-    return _without(rows, names, text, n_chars).select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
+    left = F.col(f"c{names.index(text)}").rlike(r"[^\x20\x09-\x0D]")
+    return _without(rows, names, text, n_chars).filter((F.col("n_removed") == 0) | left).select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
