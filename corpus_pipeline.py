@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept and returns a DataFrame, which is
 the next one's docs; all but the last return the columns of documents.
+
+Defined results: texts that are null or empty fail the base rule of the first stage, so no later stage sees one from
+here; repeated rows of one doc_id are judged alike by the rules, count as one document with several texts for lines and
+as copies for the join, where all rows of the smallest doc_id stay; rows without doc_id pass lines and join as they are;
+an empty table gives an empty table with the last stage's columns; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines equal to an earlier line, or within one word edit of one, go; documents stay."""
+    """Lines equal to an earlier line, or within one word edit of one, go, and documents that lose all their words by that."""
     return linededup.filter_documents(docs)
 
 
