@@ -41,10 +41,8 @@ class Config:
     max_length: int = 600
     context_left: int = 32
     context_right: int = 32
-    max_tokens: int = 4096
     metric: str = "ip"
     # expression
-    files_per_batch: int = 20
     signal_gray: int = 171
     gray_tolerance: int = 40
     max_pixels: int = 84
@@ -59,7 +57,6 @@ class Config:
     promoter_1000: int = 1_000
     promoter_window: int = 1_500
     # scoring
-    hash_dim: int = 1 << 18
     tfidf: bool = True
     tfidf_norm: str = "l2"
     neighbours: int = 20

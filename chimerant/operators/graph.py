@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chimerant.operators.storage import stored
+
 
 def symmetrise(edges: DataFrame) -> DataFrame:
     """(A + transposed A) / 2 with similarities below 0 as 0, no loops and no zero edges."""
@@ -64,20 +63,12 @@ def diffuse(p: DataFrame, seeds: DataFrame, alpha: float = 0.9, max_iterations:
     """Diffusion with restart until the L1 change is below the tolerance: (node, y, s). seeds is (node, y).
 
     Every iterate is a table in the folder of spark.checkpoint.dir, so lineage stays short and lost executors cost one step."""
-    spark = p.sparkSession
     if p.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES and seeds.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
         return _diffuse_local(p, seeds, alpha, max_iterations, tolerance)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='chimerant-')}"
-
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{folder}/diffusion-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    edges = keep(p)
-    scores = keep(seeds.select("node", F.col("y").cast("double").alias("y"), F.col("y").cast("double").alias("s")))
+    edges = stored(p, "diffusion-edges")
+    scores = stored(seeds.select("node", F.col("y").cast("double").alias("y"), F.col("y").cast("double").alias("s")), "diffusion")
     for _ in range(max_iterations):
-        new = keep(step(edges, scores, alpha))
+        new = stored(step(edges, scores, alpha), "diffusion")
         change = new.join(scores.select("node", F.col("s").alias("old")), "node").agg(F.sum(F.abs(F.col("s") - F.col("old")))).first()[0] or 0.0
         scores = new
         if change < tolerance:

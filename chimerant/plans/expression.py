@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from chimerant.config import Config
 
-# The least width of the gap between two histograms, and the margin cut beside it.
-MIN_GAP, MARGIN = 240, 33
-BLUE_SCORE = 100
+# Rows and columns of a page that hold its histograms, the mean grey above which a column is empty, the
+# margin cut on both sides of the gap's centre, the score above which a column is the marker, and the marker's width.
+ROWS, PLACES = (250, 334), (220, 1600)
+EMPTY_GRAY, MARGIN, BLUE_SCORE, MARKER = 240, 33, 100, 2
+# Weights of the channels in grey, in the order red, green, blue.
+GRAY_WEIGHTS = (0.299, 0.587, 0.114)
 COLUMNS = "page_id string, side int, half string, x int, bottom boolean, height int"
 
 
@@ -29,11 +32,19 @@ def normalise(gray: np.ndarray, cfg: Config = Config()) -> np.ndarray:
     return out
 
 
+def ordered(page: np.ndarray, parity: bool = True) -> np.ndarray:
+    """The page's channels as red, green, blue. Published runs read the first channel of a page as blue, the third as red."""
+    return page[..., 2::-1] if parity else page[..., :3]
+
+
+def gray_of(rgb: np.ndarray) -> np.ndarray:
+    return np.rint(rgb @ np.array(GRAY_WEIGHTS)).astype(np.uint8)
+
+
 def blue_column(rgb: np.ndarray) -> int:
-    """Mean place of clearly blue columns; the centre if there are none."""
-    x = rgb.astype(int)
-    score = (x[..., 2] - np.maximum(x[..., 0], x[..., 1])).max(axis=0)
-    hit = np.flatnonzero(score > BLUE_SCORE)
+    """Mean place of clearly blue columns; the centre if there are none. Blue is scored against the mean of the others."""
+    red, green, blue = np.moveaxis(rgb.astype(int), -1, 0)
+    hit = np.flatnonzero((blue - (red + green) // 2).max(axis=0, initial=-255) > BLUE_SCORE)
     return int(hit.mean()) if len(hit) else rgb.shape[1] // 2
 
 
@@ -47,23 +58,23 @@ def widest_gap(filled: np.ndarray) -> tuple[int, int] | None:
     return int(starts[i]), int(ends[i] - starts[i])
 
 
-def halves_of(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A page's left and right histogram, split at the widest empty gap, or in the middle if that is narrow."""
-    filled = (rgb.min(axis=2) < 250).any(axis=0)
-    gap = widest_gap(filled)
-    if gap and gap[1] > MIN_GAP:
-        return rgb[:, : gap[0] + MARGIN], rgb[:, max(0, gap[0] + gap[1] - MARGIN) :]
-    middle = rgb.shape[1] // 2
-    return rgb[:, :middle], rgb[:, middle:]
+def halves_of(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The left and right histogram of a whole page, beside the centre of the widest empty gap; None without a gap."""
+    part = rgb[slice(*ROWS), slice(*PLACES)]
+    gap = widest_gap(gray_of(part).mean(axis=0) <= EMPTY_GRAY) if part.size else None
+    if gap is None:
+        return None
+    centre = (2 * gap[0] + gap[1]) // 2
+    return part[:, : max(0, centre - MARGIN)], part[:, centre + MARGIN :]
 
 
-def analyse_page(page_id: str, rgb: np.ndarray, cfg: Config = Config()) -> pd.DataFrame:
-    """The pixel columns of both histograms, halved at their breakpoints."""
+def analyse_page(page_id: str, page: np.ndarray, cfg: Config = Config()) -> pd.DataFrame:
+    """The pixel columns of both histograms, halved at their breakpoints; none if the page has no gap between them."""
     rows = []
-    for side, part in enumerate(halves_of(rgb), start=1):
-        gray = normalise(part.mean(axis=2).round().astype(np.uint8), cfg)
-        at = blue_column(part)
-        for half, image in (("L", gray[:, :at]), ("R", gray[:, at:])):
+    for side, part in enumerate(halves_of(ordered(page, cfg.parity)) or (), start=1):
+        gray = normalise(gray_of(part), cfg)
+        at = blue_column(part) if part.size else 0
+        for half, image in (("L", gray[:, :at]), ("R", gray[:, at + MARKER :])):
             hit = image == cfg.signal_gray
             rows += [(page_id, side, half, x, bool(hit[-1, x]), int(hit[:, x].sum())) for x in range(image.shape[1])]
     return pd.DataFrame(rows, columns=["page_id", "side", "half", "x", "bottom", "height"])

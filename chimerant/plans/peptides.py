@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chimerant.config import MISSING
 from chimerant.functions.text import codon, or_missing, prefix, residues, suffix
 from chimerant.operators.joins import interval, lookup
+from chimerant.operators.storage import stored
 from chimerant.operators.windows import first_per_key, numbered
 
 
@@ -43,7 +44,7 @@ def split(df: DataFrame, cds: DataFrame, side: int) -> DataFrame:
 
 def build(events: DataFrame, peptides: DataFrame, cds: DataFrame) -> DataFrame:
     """Events with ids, proteins and the four fragments."""
-    df = events if "id" in events.columns else numbered(events)
+    df = events if "id" in events.columns else stored(numbered(events), "numbered")
     df = attach(df, peptides)
     for side in (1, 2):
         df = split(df, cds, side)

@@ -78,16 +78,10 @@ def stem_of(name: str) -> str:
 
 
 def stage_path(folder: str, name: str, tag: str, suffix: str) -> str:
-    """A stage's output path: the input's stem without earlier stages' tags, then the tag."""
-    parts = stem_of(name).split("_")
-    while parts:
-        if len(parts) > 1 and "_".join(parts[-2:]) in STAGE_TAGS:
-            parts = parts[:-2]
-        elif parts[-1] in STAGE_TAGS:
-            parts = parts[:-1]
-        else:
-            break
-    return f"{folder}/{'_'.join(parts)}_{tag}{suffix if suffix.startswith('.') else '.' + suffix}"
+    """A stage's output path: the input's stem without the tags of earlier stages at its end, then the tag."""
+    tags = "|".join(map(re.escape, sorted(STAGE_TAGS, key=len, reverse=True)))
+    bare = re.sub(rf"(?:(?:^|_)(?:{tags}))+$", "", stem_of(name))
+    return f"{folder}/{bare}_{tag}.{suffix.removeprefix('.')}"
 
 
 def clear_files(folder: str) -> int:

@@ -119,19 +119,33 @@ def test_comparison(spark):
     assert {x["col"] for x in comparison.stats(comparison.rows(a, b)).collect()} >= {"ALL_COLUMNS"}
 
 
+def _page(first_channel_blue=True):
+    """A page as drawn: two histograms of the signal's grey, markers, and an empty gap from 700 to 1000."""
+    page = np.full((400, 1700, 3), 255, np.uint8)
+    page[260:334, 220:700] = 100  # filled, but no signal
+    page[260:334, 1000:1600] = 100
+    page[314:334, 240:260] = 171  # 20 of 84 pixels high
+    page[264:334, 500:510] = 160  # within the tolerance, 70 high
+    page[324:334, 1300:1310] = 171
+    for at in (400, 1200):
+        page[250:334, at : at + 2] = (255, 0, 0) if first_channel_blue else (0, 0, 255)
+    return page
+
+
 def test_expression(spark):
-    gray = np.full((20, 400, 3), 255, np.uint8)
-    gray[10:, 10:20] = 171
-    gray[0:, 40:50] = 160
-    gray[:, 30] = (0, 0, 255)
-    gray[15:, 300:310] = 171
-    cols = spark.createDataFrame(expression.analyse_page("p", gray))
+    left, right = expression.halves_of(expression.ordered(_page()))
+    assert left.shape == (84, 597, 3) and right.shape == (84, 1600 - 883, 3)  # the centre, 850, less and plus 33
+    assert expression.blue_column(left) == 180 and expression.blue_column(right) == 1200 - 883
+    assert expression.halves_of(np.zeros((400, 1700, 3), np.uint8)) is None and len(expression.analyse_page("x", np.zeros((400, 1700, 3), np.uint8))) == 0
+    other = expression.analyse_page("p", _page(False), Config(parity=False))
+    assert other.equals(expression.analyse_page("p", _page()))
+    cols = spark.createDataFrame(other)
     ex = expression.exons(cols, spark.createDataFrame([("p", 84)], "page_id string, max_height int"))
     found = {(r["side"], r["half"], r["start"]): r["mean"] for r in ex.collect()}
-    assert found[(1, "L", 10)] == 10.0 and found[(1, "R", 10)] == 20.0
+    assert found == {(1, "L", 20): 20.0, (1, "R", 500 - 220 - 182): 70.0, (2, "R", 1300 - 883 - (1200 - 883) - 2): 10.0}
     pages = spark.createDataFrame([("p", "+", "-", "T1", None)], "page_id string, strand1 string, strand2 string, transcript_id1 string, transcript_id2 string")
     r = expression.coverage(ex, pages).first()
-    assert (r["mean_retained1"], r["mean_lost1"], r["coverage1"], r["coverage2"]) == (10.0, 20.0, 0.5, 0.0)
+    assert (r["mean_retained1"], r["mean_lost1"], r["coverage1"], r["coverage2"]) == (20.0, 70.0, 0.286, 0.0)
     assert expression.widest_gap(np.array([True, False, False, True, False])) == (1, 2)
 
 
@@ -156,6 +170,38 @@ def test_retrieval_scoring_and_run(spark, ref, built):
     assert len(rows) == 3 and all(0 <= x["driver_score"] <= 1 for x in rows)
 
 
+def test_neighbours_and_evaluation(spark, monkeypatch):
+    """The block product against all pairs, in one block and in many; diffusion on tables against the driver's; metrics."""
+    rng = np.random.default_rng(2)
+    rows = [(i, f"t{t}", float(w)) for i in range(40) for t, w in zip(rng.choice(30, 6, False), rng.random(6), strict=True)]
+    feats = spark.createDataFrame(rows, "row long, token string, weight double")
+    m = np.zeros((40, 30))
+    for i, t, w in rows:
+        m[i, int(t[1:])] = w
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    sims, near = np.round(m @ m.T, 6), {}
+    for i in range(40):
+        for j in sorted(range(40), key=lambda j: (-sims[i, j], j))[:5]:
+            for pair in ((i, j), (j, i)):
+                near[pair] = near.get(pair, 0) + sims[i, j] / 2
+    want = {p: w for p, w in near.items() if p[0] != p[1] and w > 0}
+    for size in (1_024, 7):
+        monkeypatch.setattr(scoring, "ROWS_PER_BLOCK", size)
+        got = {(r.src, r.dst): r.w for r in scoring.neighbours(feats, feats.select("row").distinct(), 5).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)
+    p = graph.row_stochastic(scoring.neighbours(feats, feats.select("row").distinct(), 5))
+    seeds = spark.range(40).selectExpr("id AS node", "double(id < 3) AS y")
+    here = {r.node: r.s for r in graph.diffuse(p, seeds, 0.5, 6).collect()}
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 1)
+    there = {r.node: r.s for r in graph.diffuse(p, seeds, 0.5, 6).collect()}
+    assert here.keys() == there.keys() and all(abs(here[n] - there[n]) < 1e-9 for n in here)
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 1_000_000)
+    cells = "id string, gene1 string, gene2 string, retained_domains1 string, lost_domains1 string, retained_domains2 string, lost_domains2 string, out_of_frame1 string"
+    table = lambda a, b: spark.createDataFrame([(str(i), f"A{i}", f"B{i}", f"IPR{i % 4:06}", ".", f"IPR{i % 3:06}", ".", "0") for i in range(a, b)], cells)
+    out, metrics = scoring.score(table(0, 12), table(12, 24), evaluate=True)
+    assert out.count() == 12 and [r.k for r in metrics.collect()] == [10, 24, 24] and all(0 <= r.recall_at_k <= 1 for r in metrics.collect())
+
+
 def test_graph_properties(spark):
     rng = np.random.default_rng(1)
     v = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(5)]) for i in range(30)], "id long, vec array<double>")
