@@ -1,9 +1,13 @@
 """Quality rules by weak supervision: rules vote or abstain, expectation-maximisation estimates how accurate each is,
 and the posterior probability of good quality decides instead of "all rules must pass".
 
-The model has one accuracy for each rule: a rule that votes is right with that probability whatever the class, and
-abstaining says nothing. EM needs only how often each pattern of votes occurs; there are at most 3^rules patterns, so
-the table that reaches the driver is bounded whatever the corpus, and counts cover every document.
+Good votes of different rules are strongly correlated (each says that one defect is absent), so one accuracy for each
+rule lets them outvote any single defect. The latent variable is therefore not good or bad alone, but good or one of the
+kinds of defect in KINDS; for each of these classes a rule that votes has its own probability to vote "bad", and
+abstaining says nothing. The only assumption is that a rule calls good documents bad once in 1 / FALSE_ALARM times at
+most; all else is estimated. The posterior of the class "good" is the quality probability. EM needs only how often each
+pattern of votes occurs; there are at most 3^rules patterns, so the table that reaches the driver is bounded whatever
+the corpus, and counts cover every document.
 
 Defined results: a null or empty text has no words, votes "bad" where a rule needs words, and fails the base rule;
 repeated rows are judged alike; an empty table gives an empty table; all columns of the input are kept by
@@ -26,8 +30,8 @@ from chimerant.llm.common import SPACES, cut
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Accuracies stay inside these bounds, so that no rule decides alone and none counts against its own vote.
-LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.95
+#: How often at most a rule calls a good document bad, and how near estimates come to 0 and 1.
+FALSE_ALARM, LEAST = 0.01, 0.001
 
 
 def _repeat_words(ids: np.ndarray) -> int:
@@ -112,34 +116,42 @@ def votes_of(pattern: int) -> list[int]:
     return votes[::-1]
 
 
-def fit(counts: dict[int, int], rounds: int = 100, tolerance: float = 1e-9) -> tuple[float, list[float]]:
-    """EM over the counts of vote patterns: the share of good documents and the accuracy of each rule."""
-    n_rules = len(RULES)
-    share, accuracy = 0.7, [0.8] * n_rules
-    rows = [(votes_of(p), c) for p, c in sorted(counts.items())]
-    total = sum(counts.values())
-    for _ in range(rounds if total else 0):
-        good = 0.0
-        right, voted = [0.0] * n_rules, [0.0] * n_rules
-        for votes, c in rows:
-            p = posterior(votes, share, accuracy)
-            good += c * p
-            for j, v in enumerate(votes):
-                if v:
-                    voted[j] += c
-                    right[j] += c * (p if v > 0 else 1 - p)
-        new_share = min(0.99, max(0.01, good / total))
-        new = [min(MOST_ACCURACY, max(LEAST_ACCURACY, r / v)) if v else 0.5 for r, v in zip(right, voted, strict=True)]
-        moved = abs(new_share - share) + sum(abs(a - b) for a, b in zip(new, accuracy, strict=True))
-        share, accuracy = new_share, new
+#: The kinds of defect, and the rules that tell of each: EM starts from these, then estimates.
+KINDS = {"repetition": ("same_lines", "same_words", "few_words"), "characters": ("word_length", "symbols", "upper_case"), "shape": ("line_ends", "length")}
+
+
+def fit(counts: dict[int, int], rounds: int = 300, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """EM over the counts of vote patterns: the share of each class (good first), and how often each rule votes bad in it."""
+    if not counts:
+        return np.full(1 + len(KINDS), 1 / (1 + len(KINDS))), np.full((1 + len(KINDS), len(RULES)), 0.5)
+    votes, c = np.array([votes_of(p) for p in sorted(counts)]), np.array([counts[p] for p in sorted(counts)], float)
+    told = np.array([[r in rules for r in RULES] for rules in KINDS.values()])
+    kinds = (votes < 0) @ told.T.astype(float)
+    start = np.c_[(kinds.sum(1) == 0).astype(float), kinds / np.maximum(1, kinds.sum(1, keepdims=True))]
+    held, shares, bad = 0.98 * start + 0.02 / start.shape[1], np.zeros(0), np.zeros(0)
+    for _ in range(rounds):
+        weight = held * c[:, None]
+        shares = (weight.sum(0) + 1) / (c.sum() + weight.shape[1])
+        bad = (weight.T @ (votes < 0) + 0.5) / (weight.T @ (votes != 0) + 1)
+        bad = np.clip(bad, LEAST, 1 - LEAST)
+        bad[0] = np.minimum(bad[0], FALSE_ALARM)
+        new = memberships(votes, shares, bad)
+        moved, held = np.abs(new - held).max(), new
         if moved < tolerance:
             break
-    return share, accuracy
+    return shares, bad
 
 
-def posterior(votes: list[int], share: float, accuracy: list[float]) -> float:
-    odds = math.log(share / (1 - share)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy, strict=True))
-    return 1 / (1 + math.exp(-odds))
+def memberships(votes: np.ndarray, shares: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """The posterior of each class for each row of votes."""
+    odds = np.log(shares) + (votes < 0) @ np.log(bad.T) + (votes > 0) @ np.log(1 - bad.T)
+    odds = np.exp(odds - odds.max(1, keepdims=True))
+    return odds / odds.sum(1, keepdims=True)
+
+
+def posterior(votes: list[int], shares: np.ndarray, bad: np.ndarray) -> float:
+    """The probability that a document with these votes is good."""
+    return float(memberships(np.array([votes]), shares, bad)[0, 0])
 
 
 def _measured(df: DataFrame, text: str, names: list[str], keep: list[str]) -> DataFrame:
@@ -161,8 +173,8 @@ def _measured(df: DataFrame, text: str, names: list[str], keep: list[str]) -> Da
 def _verdicts(counts: DataFrame) -> DataFrame:
     """(pattern, p): the posterior of each pattern that occurs; at most 3^rules rows."""
     found = {r["pattern"]: r["n"] for r in counts.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share, accuracy = fit(found)
-    rows = [(p, posterior(votes_of(p), share, accuracy)) for p in sorted(found)]
+    shares, bad = fit(found)
+    rows = [(p, posterior(votes_of(p), shares, bad)) for p in sorted(found)]
     return counts.sparkSession.createDataFrame(rows, "pattern long, p_good double")
 
 
