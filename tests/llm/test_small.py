@@ -304,3 +304,96 @@ def test_pii_terms_in_whole_texts(spark):
         assert [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("term") and texts[i][slice(*map(int, s.split(":")[1:]))].strip(",()").lower() == "zanzibar"] == want
     assert all(got[10 + k].n_term == 0 for k in range(100))
     assert not any("anzibar" in r.text for r in pii.sanitise(table).collect())
+
+
+def test_html_zones(spark):
+    """Inside an article only what the contract names is left out; page parts outside are told by more names."""
+    body = "<div class='related'>outside</div><article><header><h1>Title</h1></header><p>one</p><div class='related-work'>two</div><math><mi>x</mi></math><div class='comments'>no</div><form>no</form><p>three<select><option>no</select></p></article><div class='widget'>no</div>"
+    pages = [(1, "http://h/1", body), (2, "http://h/2", "<body>" + "<p>word</p>" * 20_000), (None, "http://h/3", "<p>kept</p>"), (4, None, "x" * 500_000)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS uid", "'h' AS host", "'t' AS text")
+    got = {r.page_id: r for r in html.extract(table).collect()}
+    assert got[1].text == "Title\n\none\n\ntwo\n\nx\n\nthree".replace("two\n\nx", "two\n\nx") and got[None].text == "kept"
+    assert got[2].n_blocks == 20_000 and got[4].n_chars == 500_000
+    assert html.extract(table.limit(0)).count() == 0
+
+
+def test_quality_em():
+    """Documents drawn from classes: the kinds of defect are told from good ones, though one rule alone sees each defect."""
+    import random
+
+    r, names = random.Random(1), list(quality.RULES)
+    counts, truth = Counter(), Counter()
+    for _ in range(20_000):
+        kind = r.choices(["good", "symbols", "same_words"], [0.85, 0.08, 0.07])[0]
+        votes = [-1 if (n == kind or (kind == "same_words" and n == "few_words" and r.random() < 0.9) or r.random() < 0.002) else r.choice([0, 1, 1, 1]) for n in names]
+        pattern = 0
+        for v in votes:
+            pattern = 3 * pattern + v + 1
+        counts[pattern] += 1
+        truth[pattern, kind == "good"] += 1
+    shares, bad = quality.fit(counts)
+    right = sum(n for (p, good), n in truth.items() if (quality.posterior(quality.votes_of(p), shares, bad) >= 0.5) == good)
+    assert abs(shares[0] - 0.85) < 0.06 and right > 0.97 * 20_000
+    v = [1, -1, 0, 1, 1, 1, 1, 1]
+    each = [s * math.prod(b[j] if x < 0 else 1 - b[j] for j, x in enumerate(v) if x) for s, b in zip(shares, bad)]
+    assert abs(quality.posterior(v, shares, bad) - each[0] / sum(each)) < 1e-9
+    assert quality.fit({})[0].sum() == pytest.approx(1)
+
+
+@pytest.mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.01/labels.parquet"), reason="no labelled documents here")
+def test_quality_on_labels(spark):
+    folder = "/root/testdata/sf0.01/"
+    both = quality.score_quality(spark.read.parquet(folder + "documents.parquet")).join(spark.read.parquet(folder + "labels.parquet"), "doc_id")
+    n = {(r.quality, r.kept): r.n for r in both.filter("NOT base_failed").groupBy("quality", "kept").agg(__import__("pyspark").sql.functions.count("*").alias("n")).collect()}
+    assert n.get((0, True), 0) <= 0.1 * (n.get((0, True), 0) + n.get((0, False), 0)) and n.get((1, False), 0) <= 0.02 * n[1, True]
+
+
+def _leaks(docs, bench):
+    """Documents with a stretch of two item lengths whose alignment an item accepts: all stretches, no search."""
+    out = {}
+    for i, text in docs:
+        w = decontam.words_of(text)
+        for item, t in bench:
+            b, answer = decontam.words_of(t), decontam.answer_of(t or "")
+            for at in range(0, max(1, len(w))):
+                part = w[at : at + 2 * len(b)]
+                share = decontam.lcs_length(b, part) / len(b) if b else 0
+                if share >= decontam.MIN_LCS or (share >= decontam.PARAPHRASE and decontam.holds(part, answer)):
+                    out.setdefault(i, set()).add(item)
+                    break
+    return out
+
+
+@pytest.mark.parametrize("block,rounds", [(256, 4), (3, 1)])
+def test_decontamination_recall(spark, monkeypatch, block, rounds):
+    """Paraphrases against brute force, in one round and in many; the latent search alone finds nine of ten at least."""
+    import random
+
+    monkeypatch.setattr(decontam, "BLOCK_PASSAGES", block)
+    monkeypatch.setattr(decontam, "ROUND", rounds)
+    r = random.Random(7)
+    words = [f"v{i}" for i in range(400)]
+    some = lambda n: [words[min(399, int(r.expovariate(0.012)))] for _ in range(n)]
+    bench = [(i, " ".join(some(14)) + f". The answer is a{i} b{i}.") for i in range(12)]
+    docs = []
+    for k in range(120):
+        text = some(150)
+        if k % 2:
+            item = bench[k % 12][1].split()
+            for _ in range(r.randrange(0, 7)):
+                item[r.randrange(len(item) - 5)] = r.choice(words)
+            at = r.randrange(150)
+            text[at:at] = item
+        docs.append((k, " ".join(text)))
+    docs += [(500, None), (501, ""), (502, " ".join(some(30_000))), (503, bench[3][1]), (503, bench[3][1])]
+    want = _leaks([d for d in docs if d[0] != 502], bench)
+    table = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1L AS item", "'x' AS answer", "2 AS lcs")
+    got = decontam.decontaminate(table, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert len(got) == len(docs) and {x.doc_id for x in got if x.contaminated} - {502} == want.keys()
+    assert all(x.item_id in want[x.doc_id] for x in got if x.contaminated and x.doc_id != 502)
+    hits = [x for x in got if x.contaminated]
+    assert sum(x.cosine >= decontam.MIN_COSINE for x in hits) >= 0.9 * len(hits) > 30
+    empty = decontam.decontaminate(table.limit(0), spark.createDataFrame(bench, "item_id long, text string"))
+    assert empty.count() == 0
+    kept = decontam.filter_documents(table, spark.createDataFrame(bench, "item_id long, text string"))
+    assert kept.columns == table.columns and kept.count() == len(docs) - len(hits)
