@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ MIN_SHARED = 100
 #: Records of one archive at most, so that an archive can be read as a whole.
 RECORDS_PER_FILE = 5_000
 CRLF = "\r\n"
-CAPTURE = "page_id long, url string, url_key string, ts string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+CAPTURE = "page_id long, url string, url_key string, ts string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 
 
 def url_key(url: str) -> str:
@@ -72,8 +73,8 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     records(pages).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
-def parse_archive(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and payload of each record, by content lengths: what the payload holds doesn't matter."""
+def parse_archive(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Offset, headers and payload of each record, by content lengths: what the payload holds doesn't matter."""
     at = 0
     while at < len(raw):
         head = raw.index(b"\r\n\r\n", at)
@@ -82,19 +83,19 @@ def parse_archive(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"no WARC record at byte {at}")
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
         size = int(fields["Content-Length"])
-        yield fields, raw[head + 4 : head + 4 + size]
+        yield at, fields, raw[head + 4 : head + 4 + size]
         at = head + 4 + size + 4
 
 
-def capture(fields: dict[str, str], payload: bytes) -> dict:
-    """The index entry of a record; a response's payload is checked against its digest."""
+def capture(archive: str, offset: int, fields: dict[str, str], payload: bytes) -> dict:
+    """The index entry of a record, with its archive and the offset in that; a response's payload is checked against its digest."""
     number = lambda name: int(x) if (x := fields.get(name, "")[len("<urn:page:") : -1]) else None
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if fields["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(fields["X-Payload-Length"])):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
     return {
         "page_id": number("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "url_key": url_key(fields["WARC-Target-URI"]), "ts": fields["WARC-Date"],
-        "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"),
+        "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"), "archive": archive, "offset": offset,
     }
 
 
@@ -145,32 +146,35 @@ def read_runs(spark, folder: str) -> DataFrame:
         target = pa.schema([("run", pa.string()), ("seq", pa.int64()), *((n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in CAPTURE.split(", ")))])
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                found = sorted((capture(*r) for r in parse_archive(zlib.decompress(content.as_py(), 47))), key=order)
+                name = path.as_py().rsplit("/", 1)[-1]
+                found = sorted((capture(name, *r) for r in parse_archive(zlib.decompress(content.as_py(), 47))), key=order)
                 yield pa.RecordBatch.from_pylist([{"run": path.as_py(), "seq": i} | c for i, c in enumerate(found)], target)
 
     return spark.read.format("binaryFile").load(f"{folder}/*.txt.gz").select("path", "content").mapInArrow(run, schema)
 
 
+def read_record(content: bytes, offset: int) -> tuple[dict[str, str], bytes]:
+    """Headers and payload of the record at an offset that the index gives, from an archive's bytes as written."""
+    return next(parse_archive(zlib.decompress(content, 47)[offset:]))[1:]
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """Globally ordered captures; `history` counts the captures of a URL key up to each one inside its range."""
+    """Globally ordered captures. A range is held as columns; only the keys of its rows become objects."""
     dealt = runs.repartitionByRange(F.col("url_key"), F.col("ts"), F.coalesce("page_id", F.lit(-1))).sortWithinPartitions("run", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
-        rows = pa.Table.from_batches(tables).to_pylist()
-        pieces: dict[str, list] = {}
-        for r in rows:
-            pieces.setdefault(r["run"], []).append(r)
-        target = pa.schema([f for f in tables[0].schema if f.name not in ("run", "seq")])
-        out = []
-        for r in LoserTree(list(pieces.values()), order):
-            out.append({n: r[n] for n in target.names})
-            if len(out) == 10_000:
-                yield pa.RecordBatch.from_pylist(out, target)
-                out = []
-        yield pa.RecordBatch.from_pylist(out, target)
+        rows = pa.Table.from_batches(tables).combine_chunks()
+        run_of, url, ts, page = (rows.column(c) for c in ("run", "url_key", "ts", "page_id"))
+        names = run_of.dictionary_encode().combine_chunks().indices.to_numpy()
+        begins = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        key = lambda i: (url[i].as_py(), ts[i].as_py(), -1 if (p := page[i].as_py()) is None else p)
+        merged = np.fromiter(LoserTree([range(a, b) for a, b in zip(begins, begins[1:], strict=False)], key), np.int64, len(names))
+        out = rows.drop_columns(["run", "seq"])
+        for at in range(0, len(merged), 10_000):
+            yield from out.take(pa.array(merged[at : at + 10_000])).combine_chunks().to_batches()
 
     return dealt.mapInArrow(run, CAPTURE)
 

@@ -264,6 +264,12 @@ def test_warc(spark):
     got = warc.archive_and_index(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)).collect()
     assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == {(i, len(b := (h or "").encode()), hashlib.sha256(b).hexdigest(), "revisit" if i in (2, 3) else "response", 1 if i in (2, 3) else None) for i, _, h in pages}
     assert [r.url_key for r in got] == sorted(r.url_key for r in got)
+    assert len({(r.archive, r.offset) for r in got}) == len(pages)
+    assert warc.archive_and_index(spark.createDataFrame(pages, "page_id long, url string, html string").limit(0)).count() == 0
+    hot = [(i, "http://hot/", f"{i % 3}" * 300) for i in range(2_000)] + [(7, "http://hot/", "1" * 300), (9_000, "http://long/", "é" * 3_000_000)]
+    table = spark.createDataFrame(hot, "page_id long, url string, html string").selectExpr("*", "'x' AS digest", "1 AS origin", "2 AS size")
+    found = warc.archive_and_index(table.repartition(4)).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in found) == Counter((i, "response" if i in (0, 1, 2, 9_000) else "revisit", None if i in (0, 1, 2, 9_000) else int(h[0])) for i, _, h in hot)
     assert list(warc.LoserTree([[1, 4], [], [2, 3, 9]], lambda x: x)) == [1, 2, 3, 4, 9]
 
 
