@@ -11,7 +11,8 @@ information log2(n(t, e) * N / (df(t) * df(e))) reaches MIN_BITS, with n(t, e) o
 occurrences in all documents become spans of the kind "term". sanitise() puts placeholders in the place of base spans,
 generalises terms that disclose several entities and removes those that disclose one.
 
-Since n(t, e) is at most df(t) and at most df(e), pairs that can't reach the thresholds are never counted.
+Pairs are counted in documents with entities alone; df(t) then only for terms of pairs that may reach the thresholds,
+which a bit map of fixed size picks out of all texts.
 
 Defined results: a null or empty text has no spans (base_sha256 is that of the empty string); repeated rows give
 repeated results and count as documents of their own; an empty table gives an empty table; other columns are not
@@ -26,6 +27,11 @@ from pyspark.sql import functions as F
 from chimerant.llm.common import cut, join_hot
 
 MIN_SUPPORT, MIN_DISCLOSURE, MIN_BITS = 2, 0.5, 4.0
+#: Bits used of a word of the bit map of terms, and its words.
+BITS, MARKS = 63, 1 << 14
+
+# ASCII punctuation.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # The kinds in their order, and their patterns.
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -94,7 +100,7 @@ def entity_of(s: Column) -> Column:
 
 def term_of(word: Column) -> Column:
     """A word without the punctuation around it, in lower case."""
-    return F.lower(F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", ""))
+    return F.lower(F.btrim(word, F.lit(PUNCTUATION)))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -111,25 +117,46 @@ def _located(docs: DataFrame) -> DataFrame:
     return rows.select("uid", "doc_id", "text", F.array_sort(spans).alias("base"))
 
 
-def _terms(located: DataFrame) -> DataFrame:
-    """(uid, term) of the words of whole texts that may be terms, each once for a row."""
+def _terms(located: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """(uid, term) of the words of whole texts that may be terms, each once for a row; with marks only those marked there."""
     words = F.array_distinct(F.transform(F.split("text", SPACE), term_of))
+    if marks is not None:
+        located = located.join(F.broadcast(marks))
+        words = F.filter(words, lambda t: F.getbit(F.element_at("marks", _slot(t).cast("int") + 1), F.pmod(F.xxhash64(t), F.lit(BITS)).cast("int")) == 1)
     return located.select("uid", F.explode(words).alias("term")).filter((F.length("term") > 1) & ~F.col("term").rlike("[0-9@]"))
 
 
+def _slot(term: Column) -> Column:
+    """The word of the marks that a term's bit is in."""
+    return F.floor(F.pmod(F.xxhash64(term), F.lit(BITS * MARKS)) / BITS)
+
+
+def _marked(terms: DataFrame) -> DataFrame:
+    """One row with `marks`: BITS * MARKS bits, of which each term sets one. All terms pass, others seldom: it saves work, and decides nothing.
+
+    Its size is fixed, whatever the number of terms."""
+    spark = terms.sparkSession
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("term"), F.lit(BITS)).cast("int"))
+    set_bits = terms.select(_slot(F.col("term")).alias("id"), bit.alias("b")).groupBy("id").agg(F.bit_or("b").alias("b"))
+    every = spark.range(MARKS).join(set_bits, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("all"))
+    return cut(every.select(F.transform("all", lambda x: x["b"]).alias("marks")), "pii-marks")
+
+
 def disclosing(located: DataFrame, support: int = MIN_SUPPORT, disclosure: float = MIN_DISCLOSURE, bits: float = MIN_BITS) -> DataFrame:
-    """(entity, term, n_t, p, pmi): the pairs that exceed the thresholds, from _located()."""
+    """(entity, term, n_t, p, pmi): the pairs that exceed the thresholds, from _located(), stored.
+
+    Pairs are counted first, then the documents of the terms in pairs that may still reach the thresholds."""
     held = located.filter(F.size("base") > 0).select("uid", F.explode("base").alias("s")).select("uid", entity_of(F.col("s")).alias("entity")).distinct()
     entities = cut(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support), "pii-entities")
     held = cut(join_hot(held, entities, "entity", "n_e").select("uid", "entity", "n_e"), "pii-held")
-    n, most = located.count(), held.agg(F.max("n_e")).first()[0] or 0
-    pmi = lambda n_te: F.log2(n_te * F.lit(n) / (F.col("n_t") * F.col("n_e")))
-    df = cut(_terms(located).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter(F.col("n_t").between(support, most / disclosure if disclosure > 0 else n)), "pii-df")
+    n = located.count()
+    pmi = lambda n_t: F.log2(F.col("n_te") * F.lit(n) / (n_t * F.col("n_e")))
     near = _terms(located.join(held.select("uid").distinct(), "uid", "left_semi"))
-    can = F.least("n_t", "n_e")
-    pairs = join_hot(near, df, "term", "n_t").join(held, "uid").filter((can >= support) & (can / F.col("n_t") >= disclosure) & (pmi(can) >= bits))
-    counted = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
-    scored = counted.filter(F.col("n_te") >= support).withColumns({"p": F.col("n_te") / F.col("n_t"), "pmi": pmi(F.col("n_te"))})
+    counted = near.join(held, "uid").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"))
+    # A term has n_te documents at least.
+    counted = cut(counted.filter((F.col("n_te") >= support) & (pmi(F.col("n_te")) >= bits)), "pii-counted")
+    df = cut(_terms(located, _marked(counted.select("term").distinct())).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-df")
+    scored = counted.join(df, "term").withColumns({"p": F.col("n_te") / F.col("n_t"), "pmi": pmi(F.col("n_t"))})
     return scored.filter((F.col("p") >= disclosure) & (F.col("pmi") >= bits)).select("entity", "term", "n_t", "p", "pmi")
 
 
@@ -137,7 +164,7 @@ def _occurrences(located: DataFrame, found: DataFrame) -> DataFrame:
     """(uid, terms array<start, kind number, end, entities>): all places of the terms (term, n_t, entities) in whole texts.
 
     Rows that hold none are left out before places are counted."""
-    held = cut(join_hot(_terms(located), found, "term", "n_t").select("uid", "term", "entities"), "pii-places")
+    held = cut(join_hot(_terms(located, _marked(found.select("term"))), found, "term", "n_t").select("uid", "term", "entities"), "pii-places")
     rows = located.select("uid", "text").join(held.select("uid").distinct(), "uid", "left_semi")
     words = rows.select("uid", F.posexplode(F.split("text", SPACE)).alias("place", "word")).select("uid", "place", F.length("word").alias("n"), term_of(F.col("word")).alias("term"))
     end = F.sum(F.col("n") + 1).over(Window.partitionBy("uid").orderBy("place")).cast("int") - 1
