@@ -21,7 +21,7 @@ looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chimerant.llm.common import cut, join_hot
@@ -29,6 +29,8 @@ from chimerant.llm.common import cut, join_hot
 MIN_SUPPORT, MIN_DISCLOSURE, MIN_BITS = 2, 0.5, 4.0
 #: Bits used of a word of the bit map of terms, and its words.
 BITS, MARKS = 63, 1 << 14
+#: Words of a text whose places are summed up together.
+CHUNK = 500
 
 # ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -122,7 +124,7 @@ def _terms(located: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     words = F.array_distinct(F.transform(F.split("text", SPACE), term_of))
     if marks is not None:
         located = located.join(F.broadcast(marks))
-        words = F.filter(words, lambda t: F.getbit(F.element_at("marks", _slot(t).cast("int") + 1), F.pmod(F.xxhash64(t), F.lit(BITS)).cast("int")) == 1)
+        words = F.filter(words, _is_marked)
     return located.select("uid", F.explode(words).alias("term")).filter((F.length("term") > 1) & ~F.col("term").rlike("[0-9@]"))
 
 
@@ -160,17 +162,38 @@ def disclosing(located: DataFrame, support: int = MIN_SUPPORT, disclosure: float
     return scored.filter((F.col("p") >= disclosure) & (F.col("pmi") >= bits)).select("entity", "term", "n_t", "p", "pmi")
 
 
+def _is_marked(term: Column) -> Column:
+    return F.getbit(F.element_at("marks", _slot(term).cast("int") + 1), F.pmod(F.xxhash64(term), F.lit(BITS)).cast("int")) == 1
+
+
+def _places(words: Column) -> Column:
+    """(start, end, term) of the marked words of a text, in order; words are one space apart.
+
+    Words are taken in chunks, so that the work is linear in the text, however many are marked."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / CHUNK).cast("int")), lambda c: F.slice(words, c * CHUNK + 1, CHUNK))
+    sizes = F.transform(chunks, lambda c: F.length(F.array_join(c, " ")) + 1)
+    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    none = F.array().cast("array<struct<start:int,end:int,term:string>>")
+
+    def step(acc: Column, word: Column) -> Column:
+        end, term = acc["at"] + F.length(word), term_of(word)
+        more = F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), term.alias("term"))))
+        return F.struct((end + 1).alias("at"), F.when(_is_marked(term), more).otherwise(acc["found"]).alias("found"))
+
+    inside = lambda chunk, start: F.aggregate(chunk, F.struct(start.alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    every = F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), inside))
+    return F.when(F.exists(words, lambda w: _is_marked(term_of(w))), every).otherwise(none)
+
+
 def _occurrences(located: DataFrame, found: DataFrame) -> DataFrame:
     """(uid, terms array<start, kind number, end, entities>): all places of the terms (term, n_t, entities) in whole texts.
 
-    Rows that hold none are left out before places are counted."""
-    held = cut(join_hot(_terms(located, _marked(found.select("term"))), found, "term", "n_t").select("uid", "term", "entities"), "pii-places")
-    rows = located.select("uid", "text").join(held.select("uid").distinct(), "uid", "left_semi")
-    words = rows.select("uid", F.posexplode(F.split("text", SPACE)).alias("place", "word")).select("uid", "place", F.length("word").alias("n"), term_of(F.col("word")).alias("term"))
-    end = F.sum(F.col("n") + 1).over(Window.partitionBy("uid").orderBy("place")).cast("int") - 1
-    placed = words.withColumn("end", end).join(held, ["uid", "term"])
-    span = F.struct((F.col("end") - F.col("n")).alias("start"), F.lit(4).alias("kind"), "end", "entities")
-    return placed.groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    Places are found where the text is; only those of marked words move."""
+    rows = located.select("uid", F.split("text", SPACE).alias("words")).join(F.broadcast(_marked(found.select("term"))))
+    places = rows.select("uid", F.explode(_places(F.col("words"))).alias("x")).select("uid", "x.start", "x.end", "x.term")
+    places = cut(places, "pii-places")
+    span = F.struct("start", F.lit(4).alias("kind"), "end", "entities")
+    return join_hot(places, found, "term", "n_t").groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame, support: int = MIN_SUPPORT, disclosure: float = MIN_DISCLOSURE, bits: float = MIN_BITS, keyed: bool = False) -> DataFrame:
