@@ -12,7 +12,7 @@ occurrences in all documents become spans of the kind "term". sanitise() puts pl
 generalises terms that disclose several entities and removes those that disclose one.
 
 Pairs are counted in documents with entities alone; df(t) then only for terms of pairs that may reach the thresholds,
-which a bit map of fixed size picks out of all texts.
+which a Bloom filter of fixed size picks out of all texts.
 
 Defined results: a null or empty text has no spans (base_sha256 is that of the empty string); repeated rows give
 repeated results and count as documents of their own; an empty table gives an empty table; other columns are not
@@ -21,14 +21,16 @@ looked at.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chimerant.llm.common import cut, join_hot
 
 MIN_SUPPORT, MIN_DISCLOSURE, MIN_BITS = 2, 0.5, 4.0
-#: Bits used of a word of the bit map of terms, and its words.
-BITS, MARKS = 63, 1 << 14
+#: Bits used of a word of the filter of terms, its words, and the bits of a term.
+BITS, MARKS, HASHES = 63, 1 << 16, 3
 #: Words of a text whose places are summed up together.
 CHUNK = 500
 
@@ -128,22 +130,27 @@ def _terms(located: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     return located.select("uid", F.explode(words).alias("term")).filter((F.length("term") > 1) & ~F.col("term").rlike("[0-9@]"))
 
 
-def _slot(term: Column) -> Column:
-    """The word of the marks that a term's bit is in."""
-    return F.floor(F.pmod(F.xxhash64(term), F.lit(BITS * MARKS)) / BITS)
+def _bit(term: Column, k: int) -> tuple[Column, Column]:
+    """The word of the marks, and the place in it, of a term's bit number k."""
+    at = F.pmod(F.xxhash64(term, F.lit(k)), F.lit(BITS * MARKS))
+    return F.floor(at / BITS).cast("int"), (at % BITS).cast("int")
 
 
 def _marked(terms: DataFrame) -> DataFrame:
-    """One row with `marks`: BITS * MARKS bits, of which each term sets one. All terms pass, others seldom: it saves work, and decides nothing.
-
-    Its size is fixed, whatever the number of terms."""
-    spark = terms.sparkSession
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("term"), F.lit(BITS)).cast("int"))
-    set_bits = terms.select(_slot(F.col("term")).alias("id"), bit.alias("b")).groupBy("id").agg(F.bit_or("b").alias("b"))
-    every = spark.range(MARKS).join(set_bits, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("all"))
+    """One row with `marks`: a Bloom filter of BITS * MARKS bits, HASHES of them for each term. All terms pass, others
+    seldom: it saves work, and decides nothing. Its size is fixed, whatever the number of terms."""
+    each = F.array(*(F.struct(word.alias("id"), place.alias("place")) for word, place in (_bit(F.col("term"), k) for k in range(HASHES))))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.place"))
+    set_bits = terms.select(F.explode(each).alias("x")).select("x.id", bit.alias("b")).groupBy("id").agg(F.bit_or("b").alias("b"))
+    every = terms.sparkSession.range(MARKS).join(set_bits, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("all"))
     return cut(every.select(F.transform("all", lambda x: x["b"]).alias("marks")), "pii-marks")
 
 
+def _is_marked(term: Column) -> Column:
+    bits = [F.getbit(F.element_at("marks", word + 1), place) == 1 for word, place in (_bit(term, k) for k in range(HASHES))]
+    return reduce(lambda a, b: a & b, bits)
+
+
 def disclosing(located: DataFrame, support: int = MIN_SUPPORT, disclosure: float = MIN_DISCLOSURE, bits: float = MIN_BITS) -> DataFrame:
     """(entity, term, n_t, p, pmi): the pairs that exceed the thresholds, from _located(), stored.
 
@@ -162,10 +169,6 @@ def disclosing(located: DataFrame, support: int = MIN_SUPPORT, disclosure: float
     return scored.filter((F.col("p") >= disclosure) & (F.col("pmi") >= bits)).select("entity", "term", "n_t", "p", "pmi")
 
 
-def _is_marked(term: Column) -> Column:
-    return F.getbit(F.element_at("marks", _slot(term).cast("int") + 1), F.pmod(F.xxhash64(term), F.lit(BITS)).cast("int")) == 1
-
-
 def _places(words: Column) -> Column:
     """(start, end, term) of the marked words of a text, in order; words are one space apart.
 

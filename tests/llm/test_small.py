@@ -309,6 +309,11 @@ def test_pii_terms_in_whole_texts(spark):
         want = [m.span() for m in re.finditer(r"Zanzibar,|zanzibar|\(Zanzibar\)", texts[i])]
         assert [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("term") and texts[i][slice(*map(int, s.split(":")[1:]))].strip(",()").lower() == "zanzibar"] == want
     assert all(got[10 + k].n_term == 0 for k in range(100))
+    many = [(200 + k, f"Call +1 (269) 555-3296 now, " + "Quagga\n quagga " * 4_000) for k in range(4)] + [(300, None), (300, ""), (None, "quagga Quagga")]
+    many = spark.createDataFrame(many + [(400 + k, far) for k in range(200)], "doc_id long, text string").selectExpr("*", "'x' AS uid", "1 AS base", "2 AS terms")
+    report = {r.doc_id: r for r in pii.report(pii.find_personal_data(many)).collect()}
+    assert {i: r.n_term for i, r in report.items() if r.n_term} == {None: 2} | {200 + k: 8_002 for k in range(4)}
+    assert report[300].spans == "" and pii.report(pii.find_personal_data(many.limit(0))).count() == 0
     assert not any("anzibar" in r.text for r in pii.sanitise(table).collect())
 
 
