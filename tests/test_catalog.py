@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from chimerant.plans import catalog
+from chimerant.plans import catalog, engine_catalog  # noqa: F401 - adds its queries to the catalogue
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
