@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 llm = pytest.importorskip("chimerant.llm")
-from chimerant.llm import bpe, common, decontam, html, linededup, lm, ngram_join, pii, quality, tokencount, warc  # noqa: E402
+from chimerant.llm import bpe, common, decontam, html, linededup, lm, ngram_join, pii, quality, queries, tokencount, warc  # noqa: E402
 
 PROSE = " ".join(f"word{i % 97} other{i % 89} thing{i % 83}." for i in range(60))
 TEXTS = [(0, PROSE), (1, PROSE + " and one more."), (2, PROSE), (3, None), (4, ""), (5, "Short text, é ß 😀."), (6, "x" * 30_000), (7, "a  b\n\n c\td " * 900), (8, "Mail a.b@mail1.example.com or +1 (269) 555-3296, 55.63.178.142 and 4111 1111 1111 1111."), (8, "again 8"), (None, "no id here")]
@@ -408,3 +409,18 @@ def test_decontamination_recall(spark, monkeypatch, block, rounds):
     assert empty.count() == 0
     kept = decontam.filter_documents(table, spark.createDataFrame(bench, "item_id long, text string"))
     assert kept.columns == table.columns and kept.count() == len(docs) - len(hits)
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, sf).select(*want.columns)
+    rows = by_text(got)
+    assert rows and rows == Counter(want.fetchall())
