@@ -1,13 +1,14 @@
-"""Command line: run, gtf-lookups, fasta-lookups, compare, rebuild-index."""
+"""Command line: run, stage, gtf-lookups, fasta-lookups, compare, rebuild-index."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from chimerant.plans import comparison, lookups, retrieval, run as whole
+from chimerant.config import Config
+from chimerant.plans import comparison, events, features, lookups, peptides, retrieval, run as whole, scoring
 from chimerant.sources import tables, writers
 
 
@@ -19,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--lookups", required=True, help="folder of Parquet lookups")
     r.add_argument("--positives", required=True)
     r.add_argument("--index", help="Parquet index, searched unless --annotations is given")
+    r.add_argument("--metadata", help="JSON metadata of the index, where --index is a matrix file or flat index")
     r.add_argument("--annotations", help="output of an external annotator, instead of the index")
     r.add_argument("--expression", help="coverage table")
     r.add_argument("--out", default="output")
@@ -41,9 +43,68 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--proteome", required=True)
     b.add_argument("--name", required=True)
     b.add_argument("--out", default="resources/index")
+    st = sub.add_parser("stage", help="run one stage of an analysis")
+    st.add_argument("name", choices=sorted(STAGES))
+    st.add_argument("input", help="the table of the stage before")
+    st.add_argument("--lookups", default="resources/lookups", help="folder of Parquet lookups")
+    st.add_argument("--index", default="resources/index/index", help="Parquet index")
+    st.add_argument("--metadata", help="JSON metadata of the index, where --index is a matrix file or flat index")
+    st.add_argument("--annotations", help="output of an external annotator, instead of the index")
+    st.add_argument("--positives", default="resources/positives.tsv")
+    st.add_argument("--out", default="output/interim")
     return p
 
 
+def _peptides(spark, df, a):
+    return peptides.build(df, _lookup(spark, a, "peptide"), _lookup(spark, a, "cds"))
+
+
+def _domains(spark, df, a):
+    if a.annotations:
+        return retrieval.by_annotator(df, lambda _: tables.read_annotator(spark, a.annotations))
+    index, cfg = _index(spark, a)
+    return retrieval.by_search(df, index, retrieval.kmer_embedder(), cfg)
+
+
+def _index(spark, a) -> tuple[DataFrame | None, Config]:
+    """The index and the settings of its search; a flat index brings its own metric."""
+    if not a.index or not a.metadata:
+        return spark.read.parquet(a.index) if a.index else None, Config()
+    return tables.load_index(spark, a.index, a.metadata), Config(metric=tables.index_metric(a.index) or Config().metric)
+
+
+def _features(spark, df, a):
+    return features.compute(df, *(_lookup(spark, a, n) for n in ("all_features", "mane", "cds")))
+
+
+def _annotated(spark, df, a):
+    return events.annotate(df, _lookup(spark, a, "all_features"), _lookup(spark, a, "next_gene"))
+
+
+def _scores(spark, df, a):
+    return scoring.score(df, tables.load_table(spark, a.positives))[0]
+
+
+def _lookup(spark, a, name: str):
+    return spark.read.parquet(f"{a.lookups}/{name}_lookup")
+
+
+STAGES = {"peptides": _peptides, "domains": _domains, "features": _features, "annotated": _annotated, "scores": _scores}
+
+
+def run_stage(spark: SparkSession, a: argparse.Namespace) -> str:
+    """One stage on the table of the stage before it; returns the path of its own."""
+    path = tables.resolve(a.input)
+    df = tables.load_events(spark, path) if a.name == "peptides" else tables.load_table(spark, path, ["id"])
+    out = STAGES[a.name](spark, df, a)
+    written = writers.save_table(out, writers.stage_path(a.out, a.input, a.name, "tsv"))
+    if a.name == "peptides":
+        writers.save_fasta(writers.fasta_records(out), writers.stage_path(a.out, a.input, a.name, "fasta"))
+    if a.name == "annotated":
+        writers.save_table(events.counts(tables.load_table(spark, written)), writers.stage_path(a.out, a.input, "event_counts", "tsv"))
+    return written
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
@@ -51,15 +112,17 @@ def main(argv: list[str] | None = None) -> int:
         names = ("peptide_lookup", "cds_lookup", "all_features_lookup", "mane_lookup", "next_gene_lookup")
         found = {n: spark.read.parquet(f"{a.lookups}/{n}") for n in names}
         retrieve = (lambda df: retrieval.by_annotator(df, lambda _: tables.read_annotator(spark, a.annotations))) if a.annotations else None
-        index = spark.read.parquet(a.index) if a.index else None
+        index, cfg = _index(spark, a)
         expression = tables.load_table(spark, a.expression) if a.expression else None
-        result = whole.run(tables.load_events(spark, tables.resolve(a.input)), found, tables.load_table(spark, a.positives), retrieve, index, expression=expression)
+        result = whole.run(tables.load_events(spark, tables.resolve(a.input)), found, tables.load_table(spark, a.positives), retrieve, index, expression=expression, cfg=cfg)
         writers.save_table(result.peptides, writers.stage_path(f"{a.out}/interim", a.input, "peptides", "tsv"))
         writers.save_fasta(writers.fasta_records(result.peptides), writers.stage_path(f"{a.out}/interim", a.input, "peptides", "fasta"))
         writers.save_table(result.counts, writers.stage_path(f"{a.out}/final", a.input, "event_counts", "tsv"))
         writers.save_table(result.complete, writers.stage_path(f"{a.out}/final", a.input, "complete_analysis", "tsv"))
         if a.delete_interim:
             writers.clear_files(f"{a.out}/interim")
+    elif a.command == "stage":
+        print(run_stage(spark, a))
     elif a.command in ("gtf-lookups", "fasta-lookups"):
         made = lookups.gtf_lookups(tables.read_gtf(spark, a.input)) if a.command == "gtf-lookups" else lookups.fasta_lookups(tables.read_fasta(spark, a.input))
         for name, df in made.items():

@@ -85,6 +85,11 @@ def _tagged(side: str):
     return lambda x: F.concat(F.lit(f"{side}:"), F.replace(x, F.lit(" "), F.lit("_")))
 
 
+def symbol(c: Column) -> Column:
+    """A gene symbol without spaces, in upper case."""
+    return F.upper(F.replace(F.trim(c), F.lit(" "), F.lit("")))
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chimerant.config import DOMAIN_COLUMNS, Config
+from chimerant.functions import text as tx
 from chimerant.operators.storage import shared_folder
 from chimerant.plans import assemble, comparison, events, expression, features, lookups, peptides, retrieval, scoring
 from chimerant.plans.catalog import QUERIES, SQL, Tables
@@ -405,3 +406,17 @@ def page_metadata(spark, sf_dir):
     text = F.concat(F.lit("ab"), F.col("c_custkey") % 3, F.lit(" and CD1\nENST"), doc, F.when(F.col("c_custkey") % 2 == 0, " ENST9").otherwise(""), F.lit("\nchrX:"), doc, F.lit("\n"), F.col("c_custkey") % 20 + 1, F.lit(":"), F.col("c_custkey") * 7, F.lit("\nheight "), F.col("c_custkey") % 300)
     symbols = spark.createDataFrame([("AB0",), ("AB1",), ("AB2",), ("CD1",)], "symbol string")
     return tables.page_fields(c.select(F.col("c_custkey").alias("page_id"), text.alias("text")), symbols).withColumn("gene1", F.upper("gene1"))
+
+
+@query(" SELECT id AS page_id, a.strand AS strand1, b.strand AS strand2 FROM ev LEFT JOIN (SELECT DISTINCT transcript_id, strand FROM gtf) a ON transcript_id1 = a.transcript_id LEFT JOIN (SELECT DISTINCT transcript_id, strand FROM gtf) b ON transcript_id2 = b.transcript_id", "ev", "gtf")
+def page_strands(spark, sf_dir):
+    """JN-16: the strand of both transcripts of a page."""
+    t = Tables(spark, sf_dir)
+    pages = made(t, "ev").select(F.col("id").alias("page_id"), "transcript_id1", "transcript_id2")
+    return expression.with_strands(pages, annotation(t)).select("page_id", "strand1", "strand2")
+
+
+@query(" SELECT c_custkey, upper(replace(trim(' ' || c_name || ' x '), ' ', '')) AS symbol FROM customer", "frag")
+def clean_symbols(spark, sf_dir):
+    """STR-05."""
+    return Tables(spark, sf_dir).customer.select("c_custkey", tx.symbol(F.concat(F.lit(" "), "c_name", F.lit(" x "))).alias("symbol"))

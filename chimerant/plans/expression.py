@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chimerant.config import Config
+from chimerant.operators.joins import lookup
 
 # Rows and columns of a page that hold its histograms, the mean grey above which a column is empty, the
 # margin cut on both sides of the gap's centre, the score above which a column is the marker, and the marker's width.
@@ -107,6 +108,14 @@ def exons(columns: DataFrame, heights: DataFrame, cfg: Config = Config()) -> Dat
     return run.groupBy("page_id", "side", "half", "island").agg(F.min("x").alias("start"), F.bround(F.avg(reads), 2).alias("mean"), F.bround(F.median(reads), 2).alias("median")).drop("island")
 
 
+def with_strands(pages: DataFrame, features: DataFrame) -> DataFrame:
+    """pages with strand1 and strand2, those of their transcripts; null where a transcript is unknown."""
+    one = features.filter("transcript_id IS NOT NULL").groupBy("transcript_id").agg(F.min("strand").alias("strand"))
+    for s in (1, 2):
+        pages = lookup(pages, one, f"transcript_id{s}", "transcript_id", {"strand": f"strand{s}"})
+    return pages
+
+
 def coverage(exon_rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Per page: means and medians of what is retained and lost, and their ratios.
 
