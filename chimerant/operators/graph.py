@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chimerant.operators.ranges import numbered, running_totals
 from chimerant.operators.storage import stored
 
 
@@ -83,15 +84,8 @@ def rescale(scores: DataFrame, value: str = "s", out: str = "score") -> DataFram
 
 
 def ranked(scores: DataFrame, value: str, tie: str, out: str = "rank") -> DataFrame:
-    """Global descending rank, ties by a key.
-
-    Rows are dealt by ranges of the score, so no task sees more than its range: a range's offset is the count before it."""
-    ordered = scores.repartitionByRange(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.desc(value), F.col(tie)).sortWithinPartitions(F.desc(value), tie)
-    placed = ordered.withColumn("_part", F.spark_partition_id())
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
-    offsets = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    local = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(value), tie)))
-    return local.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    """Global descending rank, ties by a key. No task sees more than a range of the scores."""
+    return numbered(scores, [F.desc(value), F.col(tie)], out)
 
 
 def ranking_metrics(ranks: DataFrame, ks: list[int], relevant: str = "relevant", value: str = "score", rank: str = "rank") -> DataFrame:
@@ -107,9 +101,7 @@ def ranking_metrics(ranks: DataFrame, ks: list[int], relevant: str = "relevant",
     gain = F.col(relevant) / F.log2(F.col(rank) + 1)
     sums = ranks.filter(F.col(rank) <= max(held)).agg(*(F.sum(F.when(F.col(rank) <= k, F.col(relevant))).alias(f"tp{i}") for i, k in enumerate(held)), *(F.sum(F.when(F.col(rank) <= k, gain)).alias(f"dcg{i}") for i, k in enumerate(held))).first()
     ties = ranks.groupBy(value).agg(F.sum(relevant).alias("tp"), F.max(rank).alias("seen")).filter("tp > 0")
-    # One row for each score that a relevant row has: bounded by the number of relevant rows.
-    cumulative = ties.withColumn("cum", F.sum("tp").over(Window.orderBy(F.desc(value))))
-    ap = cumulative.agg(F.sum(F.col("tp") / positives * F.col("cum") / F.col("seen"))).first()[0]
+    ap = running_totals(ties, [F.desc(value)], {"cum": "tp"}).agg(F.sum(F.col("tp") / positives * F.col("cum") / F.col("seen"))).first()[0]
     import math
 
     rows = []

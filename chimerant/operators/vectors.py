@@ -1,41 +1,45 @@
-"""Exact vector search: blocks of the index meet blocks of queries, each block pair is one matrix product.
+"""Exact vector search that skips what bounds rule out.
 
-The index is dealt into shards; queries are sent to every shard in blocks (queries x shards rows of packed blocks, not
-query x vector pairs), each shard keeps its k best, and a window merges them. Nothing is broadcast, and memory is one
-block pair, so neither side needs to fit anywhere.
+An index of one shard meets the queries block by block, each block pair being one matrix product. A larger one is laid out
+first: a few pivots are chosen, each vector goes to the cell of its nearest pivot, and vectors are dealt by ranges of (cell,
+distance) into blocks. Of a block only the least and largest distances to each pivot, the largest norm and the number of
+vectors are kept as its summary. By the triangle inequality no vector of a block is nearer to a query than the
+largest gap between the query's own distances to the pivots and the block's; with the norm that bounds inner products too.
+A query is sent to the blocks of the best bounds first, which gives the score that its k-th best has at least, and then to
+those that may hold a better one. All others are skipped, which loses nothing.
+
+Blocks are rows of a stored table, queries are sent in chunks, and summaries have a bound in bytes, whatever the index.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 16_384
+from chimerant.operators import ranges
+from chimerant.operators.storage import stored
+
+SHARD_ROWS, BLOCK_ROWS = 16_384, 1_024
+PIVOTS, SUMMARY_BYTES = 32, 64 << 20
+_HITS = pa.schema([("query", pa.int64()), ("item", pa.int64()), ("score", pa.float64())])
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     width = len(flat[0]) if len(flat) else 0
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def search(queries: DataFrame, index: DataFrame, k: int, query_id: str, index_id: str, query_vec: str = "vec", index_vec: str = "vec", metric: str = "ip", exclude_self: bool = False, block: int = 2048, digits: int = 6) -> DataFrame:
-    """(query, item, score, rank): the k best items of each query, score rounded, ties by item; l2 scores are negative distances.
-
-    Ids are BIGINT. Rows without a vector match nothing."""
-    q = queries.filter(F.col(query_vec).isNotNull()).select(F.col(query_id).cast("long").alias("id"), F.col(query_vec).cast("array<double>").alias("vec"))
-    x = index.filter(F.col(index_vec).isNotNull()).select(F.col(index_id).cast("long").alias("id"), F.col(index_vec).cast("array<double>").alias("vec"))
-    shards = max(1, -(-x.count() // SHARD_ROWS))
-    blocks = max(1, -(-q.count() // block))
-    left = q.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = x.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    schema = pa.schema([("query", pa.int64()), ("item", pa.int64()), ("score", pa.float64())])
+def _best(k: int, metric: str, exclude_self: bool, digits: int):
+    """The k best items of a block for each query of a chunk."""
 
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return schema.empty_table()
+            return _HITS.empty_table()
         m, n = _matrix(a.column("vec")), _matrix(b.column("vec"))
         qi, xi = a.column("id").to_numpy(), b.column("id").to_numpy()
         scores = m @ n.T if metric == "ip" else 2 * (m @ n.T) - (m * m).sum(1)[:, None] - (n * n).sum(1)[None, :]
@@ -45,10 +49,122 @@ def search(queries: DataFrame, index: DataFrame, k: int, query_id: str, index_id
         order = np.lexsort((np.broadcast_to(xi, scores.shape), -scores), axis=1)[:, :k]
         rows = np.repeat(np.arange(len(qi)), order.shape[1])
         keep = np.isfinite(scores[rows, order.ravel()])
-        return pa.table([qi[rows][keep], xi[order.ravel()][keep], scores[rows, order.ravel()][keep]], schema=schema)
+        return pa.table([qi[rows][keep], xi[order.ravel()][keep], scores[rows, order.ravel()][keep]], schema=_HITS)
+
+    return run
+
+
+_FOUND = "query long, item long, score double"
+
+
+def _top(hits: DataFrame, k: int) -> DataFrame:
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item"))).filter(F.col("rank") <= k)
+
+
+def search(queries: DataFrame, index: DataFrame, k: int, query_id: str, index_id: str, query_vec: str = "vec", index_vec: str = "vec", metric: str = "ip", exclude_self: bool = False, block: int = 2048, digits: int = 6) -> DataFrame:
+    """(query, item, score, rank): the k best items of each query, score rounded, ties by item; l2 scores are negative distances.
+
+    Ids are BIGINT. Rows without a vector match nothing."""
+    q = queries.filter(F.col(query_vec).isNotNull()).select(F.col(query_id).cast("long").alias("id"), F.col(query_vec).cast("array<double>").alias("vec"))
+    x = index.filter(F.col(index_vec).isNotNull()).select(F.col(index_id).cast("long").alias("id"), F.col(index_vec).cast("array<double>").alias("vec"))
+    if x.count() > SHARD_ROWS:
+        return bounded_search(q, x, k, metric, exclude_self, block, digits)[0]
+    chunks = max(1, -(-q.count() // block))
+    left = q.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
+    right = x.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    return _top(left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(_best(k, metric, exclude_self, digits), _FOUND), k)
+
+
+def _distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """By differences, not by products: near vectors keep their digits."""
+    return np.stack([np.sqrt(((v - p) ** 2).sum(1)) for p in pivots], 1)
+
+
+def _laid_out(x: DataFrame, pivots: np.ndarray, rows: int, parts: int) -> DataFrame:
+    """The index as a stored table (blk, id, vec, norm, far): far has the distances to all pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _matrix(batch.column(1))
+            far = _distances(v, pivots) if len(v) else np.zeros((0, len(pivots)))
+            ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * len(pivots))
+            cell = far.argmin(1) if len(v) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt((v * v).sum(1))), pa.ListArray.from_arrays(ends, pa.array(far.ravel())), pa.array(cell.astype(np.int32)), pa.array(far.min(1) if len(v) else np.zeros(0))], ["id", "vec", "norm", "far", "cell", "d"])
+
+    cells = x.mapInArrow(run, "id long, vec array<double>, norm double, far array<double>, cell int, d double")
+    dealt = ranges.ordered(cells, ["cell", "d"], parts)
+    # A block never reaches over two ranges; its number tells range and place.
+    blk = F.col(ranges.PART).cast("long") * (1 << 32) + F.floor(F.col(ranges.AT) / rows)
+    return stored(dealt.select(blk.alias("blk"), "id", "vec", "norm", "far"), "search-index")
+
+
+class _Summary:
+    """What is kept of the blocks: least and largest distances to each pivot, the largest norm, and the number of vectors."""
+
+    def __init__(self, table: DataFrame, pivots: np.ndarray):
+        at = range(len(pivots))
+        rows = table.groupBy("blk").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"), *(F.min(F.col("far")[i]).alias(f"lo{i}") for i in at), *(F.max(F.col("far")[i]).alias(f"hi{i}") for i in at)).orderBy("blk").toPandas()
+        self.blk, self.n, self.norm = (rows[c].to_numpy() for c in ("blk", "n", "norm"))
+        self.lo, self.hi, self.pivots = rows[[f"lo{i}" for i in at]].to_numpy(), rows[[f"hi{i}" for i in at]].to_numpy(), pivots
+
+    def bounds(self, v: np.ndarray, metric: str) -> np.ndarray:
+        """No vector of a block has a better score than this, for each query and block; a hair is added for rounding."""
+        far, gap = _distances(v, self.pivots), np.zeros((len(v), len(self.blk)))
+        for i in range(len(self.pivots)):
+            d = far[:, i, None]
+            np.maximum(gap, np.maximum(d - self.hi[None, :, i], self.lo[None, :, i] - d), out=gap)
+        size = np.sqrt((v * v).sum(1))[:, None]
+        hair = 1e-9 * (size + self.norm) ** 2 + 1e-12
+        near = gap * gap
+        return (-near if metric != "ip" else np.minimum((size * size + self.norm * self.norm - near) / 2, size * self.norm)) + hair
+
+
+def _pairs(q: DataFrame, summary: _Summary, k: int, metric: str, digits: int, exclude_self: bool) -> DataFrame:
+    """(id, vec, blk) of the blocks that a query goes to: without a column `least` those of the best bounds that hold k vectors
+    (first = true); with it all others whose bound reaches it."""
+    second = "least" in q.columns
+    want, unit = k + exclude_self, 10.0**-digits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                bound = summary.bounds(_matrix(part.column(1)), metric)
+                order = np.argsort(-bound, axis=1, kind="stable")
+                held = np.cumsum(summary.n[order], 1)
+                first = np.zeros(bound.shape, bool)
+                np.put_along_axis(first, order, np.concatenate([np.zeros((len(held), 1)), held[:, :-1]], 1) < want, 1)
+                chosen = first
+                if second:
+                    least = part.column(2).to_numpy(zero_copy_only=False).astype(float)
+                    chosen = ~first & (bound >= (np.where(np.isnan(least), -np.inf, least) - unit)[:, None])
+                i, b = np.nonzero(chosen)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i)), pa.array(summary.blk[b]), pa.array(summary.n[b])], ["id", "vec", "blk", "n"])
+
+    return q.mapInArrow(run, "id long, vec array<double>, blk long, n long")
+
+
+def bounded_search(q: DataFrame, x: DataFrame, k: int, metric: str = "ip", exclude_self: bool = False, chunk: int = 2048, digits: int = 6, rows: int = BLOCK_ROWS, n_pivots: int = PIVOTS) -> tuple[DataFrame, dict[str, int]]:
+    """search() over (id, vec) tables by bounds; and how many (query, item) pairs there are and how many were looked at."""
+    n, asked = x.count(), q.count()
+    if not n or not asked:
+        return x.sparkSession.createDataFrame([], _FOUND + ", rank int"), {"pairs": 0, "visited": 0}
+    pivots = np.array([r.vec for r in x.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()], float)  # a stated number of vectors
+    rows = max(rows, n * 16 * (len(pivots) + 1) // SUMMARY_BYTES)
+    table = _laid_out(x, pivots, rows, max(1, min(2_000, n // rows)))
+    summary = _Summary(table, pivots)
+
+    def visit(pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
+        pairs = stored(pairs.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(max(1, -(-asked // chunk))))), f"{name}-pairs")
+        items = pairs.select("blk", "chunk").distinct().join(table.select("blk", "id", "vec"), "blk").toDF("blk", "chunk", "id", "vec")
+        hits = pairs.groupBy("blk", "chunk").cogroup(items.groupBy("blk", "chunk")).applyInArrow(_best(k, metric, exclude_self, digits), _FOUND)
+        return stored(_top(hits, k).drop("rank"), name), pairs.agg(F.sum("n")).first()[0] or 0
 
-    found = left.groupBy("shard", "blk").cogroup(right.groupBy("shard", "blk")).applyInArrow(best, "query long, item long, score double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item"))).filter(F.col("rank") <= k)
+    some, seen = visit(_pairs(q, summary, k, metric, digits, exclude_self), "search-first")
+    least = some.groupBy("query").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("held")).filter(F.col("held") >= k)
+    known = q.join(least.select(F.col("query").alias("id"), "least"), "id", "left").select("id", "vec", "least")
+    more, also = visit(_pairs(known, summary, k, metric, digits, exclude_self), "search-more")
+    return _top(some.union(more), k), {"pairs": n * asked, "visited": int(seen + also)}
 
 
 def first_unique(hits: DataFrame, label: str, k: int, by: str = "query") -> DataFrame:

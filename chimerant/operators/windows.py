@@ -42,18 +42,3 @@ def longest_run(df: DataFrame, by: list[str], run: str, position: str) -> DataFr
     """First position and length of the longest run of each key; the earliest wins a tie."""
     sized = df.groupBy(*by, run).agg(F.count(F.lit(1)).alias("length"), F.min(position).alias("start"))
     return first_per_key(sized, by, [F.desc("length"), F.col("start")])
-
-
-def numbered(df: DataFrame, order: list[str] | None = None, out: str = "id") -> DataFrame:
-    """Ids 1..N in file order (or by columns), without moving all rows to one task.
-
-    A row's id is its place in its partition plus the rows of the partitions before (one count for each partition).
-    Without an order, df should come from a scan: partitions made by adaptive execution may differ between two uses."""
-    if out in df.columns:
-        raise ValueError(f"{out} exists")
-    if order:  # a stated number of ranges, which adaptive execution doesn't change
-        df = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    placed = df.withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33))
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    return placed.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).drop("_m", "_part", "_before")

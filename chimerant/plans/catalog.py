@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chimerant.config import NULL_TOKENS
 from chimerant.functions import text as tx
 from chimerant.functions import vectors as vec
-from chimerant.operators import graph, joins, sets, windows
+from chimerant.operators import graph, joins, ranges, sets, windows
 from chimerant.operators import vectors as search_ops
 from chimerant.plans import scoring
 from chimerant.sources import writers
@@ -436,7 +436,7 @@ def diffusion_converged(spark, sf_dir):
 @query()
 def seed_split(spark, sf_dir):
     """ML-12: a seeded shuffle of row numbers, which SQL has not."""
-    labels = windows.numbered(Tables(spark, sf_dir).labels, ["doc_id"], "row")
+    labels = ranges.numbered(Tables(spark, sf_dir).labels, ["doc_id"], "row")
     train, hold = scoring.split_holdout(labels.count())
     parts = spark.createDataFrame([(i + 1, part) for part, rows in (("train", train), ("holdout", hold)) for i in rows], "row long, part string")
     return labels.join(parts, "row").select("doc_id", "part")
@@ -506,6 +506,21 @@ def tagged_union(spark, sf_dir):
     return sets.union_all(t.customer.select(F.col("c_custkey").alias("id"), F.lit("customer").alias("src"), F.col("c_acctbal").alias("bal")), t.supplier.select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("src"), F.col("s_acctbal").alias("bal")))
 
 
-@query("SELECT row_number() OVER (ORDER BY c_custkey) AS id, c_custkey FROM customer")
+@query("SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS id, o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders")
 def sequential_id(spark, sf_dir):
-    return windows.numbered(Tables(spark, sf_dir).customer.select("c_custkey"), ["c_custkey"])
+    """PRJ-07, with columns besides the order's."""
+    return ranges.numbered(Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"), ["o_totalprice", "o_orderkey"])
+
+
+@query("SELECT o_orderkey, CAST(sum(o_custkey) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS customers, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE), 1) AS spent FROM orders")
+def running_totals(spark, sf_dir):
+    """AGG-14: sums over the whole table in one order, by ranges."""
+    rows = ranges.running_totals(Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate", "o_custkey", "o_totalprice"), ["o_orderdate", "o_orderkey"], {"customers": "o_custkey", "spent": "o_totalprice"})
+    return rows.select("o_orderkey", "customers", F.round("spent", 1).alias("spent"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, n FROM (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n, l_partkey FROM lineitem)")
+def global_rank(spark, sf_dir):
+    """WIN-09, SRT-05: ranks over a column of few values."""
+    li = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_quantity", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("tie"))
+    return graph.ranked(li, "l_quantity", "tie", "n").drop("tie")

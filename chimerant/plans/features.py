@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from chimerant.config import Config
 from chimerant.functions.text import any_pattern
 from chimerant.operators.joins import interval, lookup
-from chimerant.operators.windows import first_per_key, numbered
+from chimerant.operators.ranges import numbered
+from chimerant.operators.windows import first_per_key
 
 FLAGS = ["same_gene_fusion", "same_gene_fusion_lost_dom", "wrong_tr_dir_5p", "wrong_tr_dir_3p", "out_of_frame", *(f"lost_{c}_key_doms{s}" for c in ("kinases", "ts", "cancer", "actionable", "druggable") for s in (1, 2)), "truncated_5p", "truncated_3p", "promoter_hijacking_500", "promoter_hijacking_1000", "retained_5P_UTR1", "retained_3P_UTR1", "retained_5P_UTR2", "retained_3P_UTR2", "read_through"]
 RENAMES = {"strand1": "gene_strand1", "strand2": "gene_strand2", "5_p_role": "5p_role", "3_p_role": "3p_role"}

@@ -9,7 +9,8 @@ from chimerant.config import MISSING
 from chimerant.functions.text import codon, or_missing, prefix, residues, suffix
 from chimerant.operators.joins import interval, lookup
 from chimerant.operators.storage import stored
-from chimerant.operators.windows import first_per_key, numbered
+from chimerant.operators.ranges import numbered
+from chimerant.operators.windows import first_per_key
 
 
 def strand_column(df: DataFrame, side: int) -> str:

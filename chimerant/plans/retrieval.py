@@ -161,7 +161,7 @@ def missing_proteins(hits: DataFrame, proteins: DataFrame) -> int:
 
 def build_index(windows: DataFrame, embedder: Embedder, cfg: Config = Config()) -> DataFrame:
     """pos, window_id, ipr_id, ipr_name, vec: vectors as the embedder gives them, not normalised."""
-    from chimerant.operators.windows import numbered
+    from chimerant.operators.ranges import numbered
 
     rows = numbered(windows.select("window_id", "ipr_id", "ipr_name", "sequence"), ["window_id", "ipr_id"], "pos")
     return embed(rows, "sequence", embedder, "vec", cfg).drop("sequence")

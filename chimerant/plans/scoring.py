@@ -1,6 +1,6 @@
 """Driver scores: label diffusion from known positives over a graph of nearest neighbours.
 
-Features stay sparse rows (row, token, weight). Neighbours come from products of sparse blocks of rows, at every size. Numeric features are eight tokens of their own,
+Features stay sparse rows (row, token, weight). Neighbours come from an exact search that skips what bounds rule out. Numeric features are eight tokens of their own,
 unscaled beside the unit-length text part, as published.
 """
 
@@ -8,16 +8,14 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chimerant.config import DOMAIN_COLUMNS, Config
 from chimerant.functions.text import count_tokens, side_tokens
-from chimerant.operators import graph
+from chimerant.operators import graph, sparse
 from chimerant.operators.storage import stored
-from chimerant.operators.windows import numbered
+from chimerant.operators.ranges import numbered
 from chimerant.sources.tables import require
 
 OLD_NAMES = {"retained_iprs1": "retained_domains1", "lost_iprs1": "lost_domains1", "retained_iprs2": "retained_domains2", "lost_iprs2": "lost_domains2"}
@@ -62,58 +60,10 @@ def features(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     return tfidf(tokens, cfg.tfidf_norm, not cfg.tfidf).union(long)
 
 
-#: Rows of one block of the product of all rows.
-ROWS_PER_BLOCK = 1_024
-
-
-def _block_product(k: int):
-    """The k best partners, by cosine, of the left block's rows among the right block's."""
-
-    def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        lists = table.column("x").combine_chunks()
-        sizes = np.array([len(v) for v in lists], np.int64)
-        flat = lists.flatten()
-        return table.column("row").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), flat.field("t").to_numpy(), flat.field("w").to_numpy()
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _NEAR.empty_table()
-        (rows, at, token, w), (others, other_at, other_token, other_w) = unpack(left), unpack(right)
-        shared = np.intersect1d(token, other_token)  # tokens that one block alone has add nothing
-        out = np.zeros((len(rows), len(others)))
-        for begin in range(0, len(shared), 4_096):  # so many columns at a time
-            some = shared[begin : begin + 4_096]
-            a, b = np.zeros((len(rows), len(some))), np.zeros((len(others), len(some)))
-            for matrix, i, t, x in ((a, at, token, w), (b, other_at, other_token, other_w)):
-                place = np.minimum(np.searchsorted(some, t), len(some) - 1)
-                hit = some[place] == t
-                matrix[i[hit], place[hit]] = x[hit]
-            out += a @ b.T
-        out = np.round(out, 6)
-        order = np.lexsort((np.broadcast_to(others, out.shape), -out), axis=1)[:, :k]
-        i = np.repeat(np.arange(len(rows)), order.shape[1])
-        return pa.table([rows[i], others[order.ravel()], out[i, order.ravel()]], schema=_NEAR)
-
-    return run
-
-
-_NEAR = pa.schema([("row", pa.int64()), ("other", pa.int64()), ("w", pa.float64())])
-
-
-def neighbours(feats: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Symmetric cosine graph of each row's k nearest, at any size: sparse blocks of rows are multiplied pair by pair.
-
-    `rows` lists every node. A block pair gives k partners a row, so no pair of rows is made, however common a token is.
-    Tokens are told apart by 64 bits, where published runs keep 18."""
-    norms = feats.groupBy("row").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("n"))
-    unit = feats.join(norms, "row").filter("n > 0").groupBy("row", F.xxhash64("token").alias("t")).agg(F.sum(F.col("weight") / F.col("n")).alias("w"))
-    blocks = -(-rows.count() // ROWS_PER_BLOCK) or 1
-    packed = stored(unit.groupBy("row").agg(F.collect_list(F.struct("t", "w")).alias("x")).withColumn("a", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")), "score-rows")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = packed.withColumn("b", every), packed.withColumnRenamed("a", "b").withColumn("a", every)
-    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_block_product(k), "row long, other long, w double")
-    best = near.filter("w > 0 OR row = other").withColumn("_r", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("w"), "other"))).filter(F.col("_r") <= k)
-    return graph.symmetrise(best.select(F.col("row").alias("src"), F.col("other").alias("dst"), "w"))
+def neighbours(feats: DataFrame, k: int) -> DataFrame:
+    """Symmetric cosine graph of each row's k nearest, exact at any size."""
+    near, _ = sparse.cosine_lists(feats, k)
+    return graph.symmetrise(near.select(F.col("row").alias("src"), F.col("other").alias("dst"), "w"))
 
 
 def split_holdout(n: int, share: float = 0.2, seed: int = 34) -> tuple[list[int], list[int]]:
@@ -134,7 +84,7 @@ def score(events: DataFrame, positives: DataFrame, cfg: Config = Config(), evalu
         known = known.join(test, "n", "left").withColumn("source", F.coalesce("part", "source")).drop("part")
     table = stored(numbered(known.drop("n").unionByName(aligned(events, "event")), ["source", "id", "gene1", "gene2"], "row"), "score-table")
     k = max(1, min(cfg.neighbours, table.count() - 1))
-    p = stored(graph.row_stochastic(neighbours(features(table, cfg), table, k)), "score-graph")
+    p = stored(graph.row_stochastic(neighbours(features(table, cfg), k)), "score-graph")
     seeds = table.select(F.col("row").alias("node"), (F.col("source") == "positive").cast("double").alias("y"))
     found = graph.rescale(graph.diffuse(p, seeds, cfg.alpha, cfg.max_iterations, cfg.tolerance))
     scored = table.join(found.select(F.col("node").alias("row"), "score"), "row", "left").withColumn("driver_score", F.coalesce("score", F.lit(0.0)).cast("float"))

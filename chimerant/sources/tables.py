@@ -73,10 +73,14 @@ def load_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(header, sequence) of each record; gzip is read as it is."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
-    parts = F.split("value", r"\r?\n", 2)
-    return records.select(F.trim(parts[0]).alias("header"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("sequence"))
+    """(header, sequence) of each record; gzip is read as it is. A record begins with `>` at the start of a line, which headers may hold too.
+
+    Only a file's first record keeps its mark when lines are cut in front of the others'; blank lines before it go."""
+    records = spark.read.option("lineSep", "\n>").text(path)
+    first = F.regexp_replace("value", r"^\s*>", "")
+    parts = F.split(first, r"\r?\n", 2)
+    rows = records.filter(F.trim("value", F.lit(" \r\n\t")) != "")
+    return rows.select(F.regexp_replace(parts[0], r"^\s+|\s+$", "").alias("header"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("sequence"))
 
 
 def with_id(fasta: DataFrame, out: str = "protein_id") -> DataFrame:
@@ -189,7 +193,7 @@ def list_documents(spark: SparkSession, folder: str, suffix: str = "pdf", batch:
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(folder)
     if batch is None:
         return files
-    from chimerant.operators.windows import numbered
+    from chimerant.operators.ranges import numbered
 
     chosen = numbered(files.select("path"), ["path"], "n").filter(F.col("n").between((batch - 1) * size + 1, batch * size)).select("path")
     return files.join(chosen, "path", "left_semi")

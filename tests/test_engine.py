@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from chimerant.config import Config
-from chimerant.operators import graph, joins, sets, windows
+from chimerant.operators import graph, joins, ranges, sets, sparse, windows
 from chimerant.plans import assemble, comparison, events, expression, features, lookups, peptides, retrieval, run, scoring
 from chimerant.sources import tables, writers
 
@@ -186,10 +186,11 @@ def test_neighbours_and_evaluation(spark, monkeypatch):
                 near[pair] = near.get(pair, 0) + sims[i, j] / 2
     want = {p: w for p, w in near.items() if p[0] != p[1] and w > 0}
     for size in (1_024, 7):
-        monkeypatch.setattr(scoring, "ROWS_PER_BLOCK", size)
-        got = {(r.src, r.dst): r.w for r in scoring.neighbours(feats, feats.select("row").distinct(), 5).collect()}
+        near_lists, counts = sparse.cosine_lists(feats, 5, size)
+        got = {(r.src, r.dst): r.w for r in graph.symmetrise(near_lists.selectExpr("row AS src", "other AS dst", "w")).collect()}
+        assert counts["rows"] == 40 and counts["pairs"] == 1_600
         assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)
-    p = graph.row_stochastic(scoring.neighbours(feats, feats.select("row").distinct(), 5))
+    p = graph.row_stochastic(scoring.neighbours(feats, 5))
     seeds = spark.range(40).selectExpr("id AS node", "double(id < 3) AS y")
     here = {r.node: r.s for r in graph.diffuse(p, seeds, 0.5, 6).collect()}
     monkeypatch.setattr(graph, "LOCAL_EDGES", 1)
@@ -218,7 +219,7 @@ def test_operators(spark):
     assert sorted(tuple(r) for r in joins.additive(df, more).collect()) == [(1, "a", 5), (2, "b", None)]
     assert sorted(tuple(r) for r in joins.additive(df, more, prefer="last").select("id", "x").collect()) == [(1, "z"), (2, None)]
     assert joins.is_unique(df) and not joins.is_unique(df.union(df))
-    assert [r["id"] for r in windows.numbered(spark.range(10).withColumnRenamed("id", "v").repartition(3), ["v"]).orderBy("v").collect()] == list(range(1, 11))
+    assert [r["id"] for r in ranges.numbered(spark.range(10).withColumnRenamed("id", "v").repartition(3), ["v"]).orderBy("v").collect()] == list(range(1, 11))
     assert sets.union_all(df, more).count() == 3
     assert scoring.split_holdout(10) == scoring.split_holdout(10) and len(scoring.split_holdout(10)[1]) == 2
     assert writers.stage_path("o", "x/y_domains_full.tsv", "scores", "tsv") == "o/y_scores.tsv"
