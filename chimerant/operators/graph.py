@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chimerant.operators.ranges import numbered, running_totals
-from chimerant.operators.storage import stored
+from chimerant.operators.storage import bucketed, removed
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
@@ -60,21 +60,37 @@ def _diffuse_local(p: DataFrame, seeds: DataFrame, alpha: float, max_iterations:
     return p.sparkSession.createDataFrame(pd.DataFrame({"node": nodes, "y": y, "s": s}), "node long, y double, s double")
 
 
+def bucketed_step(edges: DataFrame, scores: DataFrame, alpha: float) -> DataFrame:
+    """(node, y, s, old): a step on edges bucketed by dst and scores bucketed by node, in as many buckets.
+
+    Edges meet the scores of their ends where both lie; what moves is one partial sum for each source of a bucket."""
+    spread = edges.join(scores.select(F.col("node").alias("dst"), "s").hint("shuffle_hash"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("s")).alias("in"))
+    return scores.join(spread, "node", "left").select("node", "y", (alpha * F.coalesce("in", F.lit(0.0)) + (1 - alpha) * F.col("y")).alias("s"), F.col("s").alias("old"))
+
+
 def diffuse(p: DataFrame, seeds: DataFrame, alpha: float = 0.9, max_iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """Diffusion with restart until the L1 change is below the tolerance: (node, y, s). seeds is (node, y).
 
-    Every iterate is a table in the folder of spark.checkpoint.dir, so lineage stays short and lost executors cost one step."""
+    Graphs of LOCAL_EDGES at most are diffused on the driver, larger ones by tables."""
     if p.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES and seeds.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
         return _diffuse_local(p, seeds, alpha, max_iterations, tolerance)
-    edges = stored(p, "diffusion-edges")
-    scores = stored(seeds.select("node", F.col("y").cast("double").alias("y"), F.col("y").cast("double").alias("s")), "diffusion")
+    return diffuse_bucketed(p, seeds, alpha, max_iterations, tolerance)
+
+
+def diffuse_bucketed(p: DataFrame, seeds: DataFrame, alpha: float = 0.9, max_iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """diffuse() by tables: the edges are bucketed once and never move again. Every iterate is a bucketed table in the folder of
+    spark.checkpoint.dir, so lineage stays short and lost executors cost one step; the one before it is removed."""
+    edges = bucketed(p.select("src", "dst", "w"), "diffusion_edges", "dst")
+    y = F.col("y").cast("double")
+    scores = bucketed(seeds.select("node", y.alias("y"), y.alias("s")), "diffusion", "node")
     for _ in range(max_iterations):
-        new = stored(step(edges, scores, alpha), "diffusion")
-        change = new.join(scores.select("node", F.col("s").alias("old")), "node").agg(F.sum(F.abs(F.col("s") - F.col("old")))).first()[0] or 0.0
+        new = bucketed(bucketed_step(edges, scores, alpha), "diffusion", "node")
+        removed(scores)
         scores = new
-        if change < tolerance:
+        if (new.agg(F.sum(F.abs(F.col("s") - F.col("old")))).first()[0] or 0.0) < tolerance:
             break
-    return scores
+    removed(edges)
+    return scores.select("node", "y", "s")
 
 
 def rescale(scores: DataFrame, value: str = "s", out: str = "score") -> DataFrame:

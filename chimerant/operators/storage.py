@@ -23,3 +23,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """df as a table bucketed and sorted by a column, one file a bucket, in the shared folder: joins and groups by that column move none of it.
+
+    As many buckets as spark.sql.shuffle.partitions, so what is shuffled by the column meets the buckets where they are."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the files of a table made here, when nothing will read it again; of a bucketed one the name goes too."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if spark.catalog.tableExists(name := folder.rsplit("/", 1)[1].replace("-", "_")):
+            spark.sql(f"DROP TABLE `{name}`")

@@ -425,12 +425,27 @@ def minmax_scores(spark, sf_dir):
     return graph.rescale(_diffused(Tables(spark, sf_dir))).select("node", F.round("score", 4).alias("score"))
 
 
-@query()
+def until_converged(p: str, seeds: str, alpha: str, tolerance: str, most: int = 100) -> str:
+    """SQL of a diffusion: each round of the recursion is a step, until the change of the one before is below the tolerance."""
+    return f"""it AS (SELECT 0 AS i, node, y, y AS s, CAST(1e9 AS DOUBLE) AS change FROM {seeds} UNION ALL
+SELECT i, node, y, s, sum(abs(s - old)) OVER () AS change FROM (SELECT a.i + 1 AS i, a.node, a.y, CAST({alpha} AS DOUBLE) * coalesce(x.v, 0) + (1 - CAST({alpha} AS DOUBLE)) * a.y AS s, a.s AS old
+FROM it a LEFT JOIN (SELECT src, sum(w * b.s) AS v FROM {p} JOIN it b ON dst = b.node GROUP BY 1) x ON a.node = x.src WHERE a.change >= {tolerance} AND a.i < {most}))"""
+
+
+@query(f"WITH RECURSIVE {GRAPH_SQL}, y AS (SELECT vec_id AS node, CAST(CASE WHEN label = 1 THEN 1 ELSE 0 END AS DOUBLE) AS y FROM embeddings), {until_converged('p', 'y', '0.9', '1e-4')} SELECT node, round(s, 5) AS s FROM it WHERE i = (SELECT max(i) FROM it)")
 def diffusion_converged(spark, sf_dir):
-    """ML-10 to its tolerance, by tables in the shared folder."""
+    """ML-10 to its tolerance."""
+    t = Tables(spark, sf_dir)
+    seeds = t.embeddings.select(F.col("vec_id").alias("node"), (F.col("label") == 1).cast("double").alias("y"))
+    return graph.diffuse(graph.row_stochastic(_graph(t)), seeds, tolerance=1e-4).select("node", F.round("s", 5).alias("s"))
+
+
+@query(f"WITH RECURSIVE {GRAPH_SQL}, y AS (SELECT vec_id AS node, CAST(CASE WHEN label = 1 THEN 1 ELSE 0 END AS DOUBLE) AS y FROM embeddings), {until_converged('p', 'y', '0.5', '1e-3', 12)} SELECT node, round(s, 5) AS s FROM it WHERE i = (SELECT max(i) FROM it)")
+def diffusion_bucketed(spark, sf_dir):
+    """ML-10 by steps over a bucketed edge table, as at sizes that the driver can't hold."""
     t = Tables(spark, sf_dir)
     seeds = t.embeddings.select(F.col("vec_id").alias("node"), (F.col("label") == 1).cast("double").alias("y"))
-    return graph.diffuse(graph.row_stochastic(_graph(t)), seeds, tolerance=1e-4).select("node", F.round("s", 6).alias("s"))
+    return graph.diffuse_bucketed(graph.row_stochastic(_graph(t)), seeds, 0.5, 12, 1e-3).select("node", F.round("s", 5).alias("s"))
 
 
 @query()
@@ -512,11 +527,11 @@ def sequential_id(spark, sf_dir):
     return ranges.numbered(Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"), ["o_totalprice", "o_orderkey"])
 
 
-@query("SELECT o_orderkey, CAST(sum(o_custkey) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS customers, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE), 1) AS spent FROM orders")
+@query("SELECT o_orderkey, CAST(sum(o_custkey) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS customers, sum(floor(o_totalprice) * 0.25::DOUBLE) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS quarters FROM orders")
 def running_totals(spark, sf_dir):
     """AGG-14: sums over the whole table in one order, by ranges."""
-    rows = ranges.running_totals(Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate", "o_custkey", "o_totalprice"), ["o_orderdate", "o_orderkey"], {"customers": "o_custkey", "spent": "o_totalprice"})
-    return rows.select("o_orderkey", "customers", F.round("spent", 1).alias("spent"))
+    orders = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderdate", "o_custkey", (F.floor("o_totalprice") * F.lit(0.25)).alias("q"))  # quarters add up without rounding
+    return ranges.running_totals(orders, ["o_orderdate", "o_orderkey"], {"customers": "o_custkey", "quarters": "q"}).select("o_orderkey", "customers", "quarters")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, n FROM (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n, l_partkey FROM lineitem)")

@@ -15,7 +15,7 @@ from chimerant.config import DOMAIN_COLUMNS, Config
 from chimerant.functions import text as tx
 from chimerant.operators.storage import shared_folder
 from chimerant.plans import assemble, comparison, events, expression, features, lookups, peptides, retrieval, scoring
-from chimerant.plans.catalog import QUERIES, SQL, Tables
+from chimerant.plans.catalog import QUERIES, SQL, Tables, until_converged
 from chimerant.sources import tables
 from chimerant.sources.writers import FRAGMENTS
 
@@ -50,6 +50,8 @@ UNION ALL SELECT DISTINCT l_orderkey, l_orderkey, 'CDS', {STRAND.format('l_order
     "hits": "SELECT 'P' || CAST(l_orderkey AS STRING) || '.1' AS protein_id, CAST(l_linenumber * 20 - 15 AS BIGINT) AS start_, l_linenumber * 20 - 15 + CAST(l_quantity * 3 AS BIGINT) AS end_, CASE WHEN l_partkey % 3 > 0 THEN 'PF' || CAST(l_partkey % 9 AS STRING) END AS signature_accession, CASE l_suppkey % 4 WHEN 0 THEN '-' WHEN 1 THEN NULL ELSE 'IPR00001' || CAST(l_suppkey % 10 AS STRING) END AS ipr_id, 'd' AS ipr_desc, 'A' AS analysis FROM {lineitem}",
     "proteins": "SELECT 'P' || CAST(o_orderkey AS STRING) AS protein_id, repeat('ACDEFGHIKL', CAST(o_custkey % 20 + 4 AS INT)) AS sequence FROM {orders} WHERE o_orderkey % 5 <> 2",
     "frag": "SELECT c_custkey AS id, repeat('A', CAST(c_custkey % 9 + 1 AS INT)) || repeat('C', CAST(c_custkey % 7 AS INT)) AS retained_peptide1, repeat('C', CAST(c_custkey % 5 + 1 AS INT)) || repeat('D', CAST(c_custkey % 11 AS INT)) AS lost_peptide1, repeat('AD', CAST(c_custkey % 4 + 1 AS INT)) AS retained_peptide2, CASE WHEN c_custkey % 3 = 0 THEN '.' ELSE 'ACD' END AS lost_peptide2 FROM {customer}",
+    # Fusions of few kinds: cells of one to three domains, frames, and every fifth a known driver.
+    "fused": "SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'positive' ELSE 'event' END AS source, 'A' || CAST(c_custkey % 37 AS STRING) AS gene1, 'B' || CAST(c_custkey % 41 AS STRING) AS gene2, CASE c_custkey % 4 WHEN 0 THEN 'IPR' || CAST(c_nationkey AS STRING) WHEN 1 THEN 'IPR' || CAST(c_nationkey % 7 AS STRING) || '|IPR' || CAST(c_custkey % 11 AS STRING) WHEN 2 THEN ' IPR' || CAST(c_custkey % 13 AS STRING) || ' | kin ase|' ELSE '.' END AS retained_domains1, CASE WHEN c_custkey % 3 = 0 THEN 'IPR' || CAST(c_custkey % 17 AS STRING) END AS lost_domains1, CASE WHEN c_custkey % 7 < 4 THEN 'IPR1|IPR' || CAST(c_custkey % 19 AS STRING) || '|IPR' || CAST(c_nationkey AS STRING) ELSE '' END AS retained_domains2, CASE c_custkey % 6 WHEN 0 THEN 'IPR9' WHEN 1 THEN 'IPR9|IPR8' ELSE '.' END AS lost_domains2, CASE c_custkey % 5 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '0.0' WHEN 3 THEN 'x' END AS out_of_frame1, CASE WHEN c_nationkey % 3 = 0 THEN '1' ELSE '0' END AS out_of_frame2 FROM {customer}",
     "parts": "SELECT s_suppkey AS pos, 'IPR' || CAST(s_suppkey % 23 AS STRING) AS ipr_id, CASE WHEN s_suppkey % 23 % 3 > 0 THEN 'n' || CAST(s_suppkey % 23 AS STRING) ELSE ' ' END AS ipr_name, CAST(s_suppkey * 7 % 10 AS FLOAT) AS v1, CAST(s_suppkey * 3 % 8 AS FLOAT) AS v2, CAST(s_suppkey * 5 % 9 AS FLOAT) AS v3 FROM {supplier}",
 }
 NAMES = ["orders", "lineitem", "customer", "supplier"]
@@ -71,7 +73,7 @@ def query(body: str, *names: str):
 
     def put(f):
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = f"WITH {', '.join(ctes)}{body}"
+        SQL[f.__name__] = f"WITH {'RECURSIVE ' * ('it AS (' in body)}{', '.join(ctes)}{body}"
         return f
 
     return put
@@ -420,3 +422,29 @@ def page_strands(spark, sf_dir):
 def clean_symbols(spark, sf_dir):
     """STR-05."""
     return Tables(spark, sf_dir).customer.select("c_custkey", tx.symbol(F.concat(F.lit(" "), "c_name", F.lit(" x "))).alias("symbol"))
+
+
+_CELLS = [("r1", "retained_domains1"), ("l1", "lost_domains1"), ("r2", "retained_domains2"), ("l2", "lost_domains2")]
+_PARTS = "list_filter(list_transform(string_split({0}, '|'), lambda x: trim(x)), lambda x: x <> '')"
+_CLEAN = "CASE WHEN coalesce(trim({0}), '') NOT IN ('', '.') THEN " + _PARTS + " ELSE [] END"
+_FRAME = "coalesce(TRY_CAST(out_of_frame{0} AS DOUBLE), 2.0)"
+#: Chained steps: tokens, weights, unit vectors, the 20 nearest of each by cosine, the graph, its diffusion to convergence, and the range from 0 to 1.
+DRIVER_SQL = f""", t AS (SELECT *, CASE WHEN source = 'positive' THEN 0 ELSE 1 END AS late, row_number() OVER (ORDER BY source, CAST(k AS VARCHAR), gene1, gene2) AS row_ FROM fused),
+tok AS (SELECT row_, token FROM ({' UNION ALL '.join(f"SELECT row_, '{k}:' || replace(array_to_string({_CLEAN.format(c)}, ' | '), ' ', '_') AS token, len({_CLEAN.format(c)}) AS n FROM t" for k, c in _CELLS)}) WHERE n > 0),
+tf AS (SELECT row_, token, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT row_, token, tf * (ln((1 + (SELECT count(DISTINCT row_) FROM tok)) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN df USING (token)), text AS (SELECT row_, token, w / sqrt(sum(w * w) OVER (PARTITION BY row_)) AS w FROM w),
+num AS (SELECT row_, x.token AS token, x.w AS w FROM (SELECT row_, unnest([{{'token': '#of1', 'w': {_FRAME.format(1)}}}, {{'token': '#of2', 'w': {_FRAME.format(2)}}}, {', '.join(f"{{'token': '#{k}', 'w': CAST(len({_CLEAN.format(c)}) AS DOUBLE)}}" for k, c in _CELLS)}, {{'token': '#nc1', 'w': CASE WHEN {_FRAME.format(1)} = 2 THEN 1.0 ELSE 0.0 END}}, {{'token': '#nc2', 'w': CASE WHEN {_FRAME.format(2)} = 2 THEN 1.0 ELSE 0.0 END}}]) AS x FROM t) WHERE x.w <> 0),
+f AS (SELECT row_, token, w / sqrt(sum(w * w) OVER (PARTITION BY row_)) AS w FROM (SELECT * FROM text UNION ALL SELECT * FROM num)),
+cos AS (SELECT a.row_ AS src, b.row_ AS dst, round(sum(a.w * b.w), 6) AS w FROM f a JOIN f b USING (token) GROUP BY 1, 2), near AS (SELECT src, dst, w FROM cos WHERE w > 0 QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 20),
+half AS (SELECT src, dst, w / 2 AS w FROM near), adj AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM half UNION ALL SELECT dst, src, w FROM half) WHERE src <> dst GROUP BY 1, 2 HAVING sum(w) > 0), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM adj),
+seeds AS (SELECT row_ AS node, CAST(CASE WHEN source = 'positive' THEN 1 ELSE 0 END AS DOUBLE) AS y FROM t), {until_converged('p', 'seeds', '0.9', '1e-6')},
+last AS (SELECT node, s FROM it WHERE i = (SELECT max(i) FROM it)), final AS (SELECT node, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS score FROM last)
+SELECT k AS id, gene1, gene2, round(CAST(score AS DOUBLE), 4) AS driver_score FROM final JOIN t ON node = row_ WHERE source = 'event'"""
+
+
+@query(DRIVER_SQL, "fused")
+def driver_scores(spark, sf_dir):
+    """DOM-27, ML-05 to ML-11: scores of events from known drivers, over the exact graph of nearest neighbours."""
+    df = made(Tables(spark, sf_dir), "fused").withColumn("id", F.col("k").cast("string"))
+    out, _ = scoring.score(df.filter("source = 'event'"), df.filter("source = 'positive'"), CFG)
+    return out.select("id", "gene1", "gene2", F.round(F.col("driver_score").cast("double"), 4).alias("driver_score"))
