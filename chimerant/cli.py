@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chimerant.config import Config
 from chimerant.plans import comparison, events, features, lookups, peptides, retrieval, run as whole, scoring
-from chimerant.sources import tables, writers
+from chimerant.sources import matrix, tables, writers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -70,7 +70,7 @@ def _index(spark, a) -> tuple[DataFrame | None, Config]:
     """The index and the settings of its search; a flat index brings its own metric."""
     if not a.index or not a.metadata:
         return spark.read.parquet(a.index) if a.index else None, Config()
-    return tables.load_index(spark, a.index, a.metadata), Config(metric=tables.index_metric(a.index) or Config().metric)
+    return tables.load_index(spark, a.index, a.metadata), Config(metric=matrix.index_metric(spark, a.index) or Config().metric)
 
 
 def _features(spark, df, a):
@@ -124,9 +124,11 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "stage":
         print(run_stage(spark, a))
     elif a.command in ("gtf-lookups", "fasta-lookups"):
-        made = lookups.gtf_lookups(tables.read_gtf(spark, a.input)) if a.command == "gtf-lookups" else lookups.fasta_lookups(tables.read_fasta(spark, a.input))
-        for name, df in made.items():
-            writers.save_new(df, f"{a.out}/{a.name}_{name}")
+        if a.command == "fasta-lookups":
+            writers.save_outputs(lookups.fasta_outputs(tables.read_fasta(spark, a.input)), "output", a.out, f"{a.name}_")
+        else:
+            for name, df in lookups.gtf_lookups(tables.read_gtf(spark, a.input)).items():
+                writers.save_new(df, f"{a.out}/{a.name}_{name}")
     elif a.command == "compare":
         try:
             left, right = tables.load_table(spark, a.ips, [a.id_col]), tables.load_table(spark, a.faiss, [a.id_col])
@@ -144,7 +146,7 @@ def main(argv: list[str] | None = None) -> int:
         hits = retrieval.merge_hits([tables.read_hits(spark, h) for h in a.hits])
         proteins = tables.with_id(tables.read_fasta(spark, a.proteome)).select("protein_id", "sequence")
         windows = retrieval.domain_windows(hits, proteins)
-        writers.save_vectors(retrieval.build_index(windows, retrieval.kmer_embedder()), a.name, a.out)
+        writers.save_index(retrieval.build_index(windows, retrieval.kmer_embedder()), a.name, a.out)
     return 0
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from chimerant.operators import ranges
 from chimerant.operators.storage import stored
 
-BLOCK, CHUNK, SUMMARIES, DIGITS = 256, 4_096, 1_024, 6
+BLOCK, CHUNK, SUMMARIES, DIGITS = 64, 4_096, 1_024, 6
 SALTS = 64
 _NEAR = pa.schema([("v", pa.int64()), ("blk", pa.int64()), ("other", pa.int64()), ("w", pa.float64())])
 _NEAR_SQL = "v long, blk long, other long, w double"

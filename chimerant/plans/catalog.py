@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chimerant.config import NULL_TOKENS
 from chimerant.functions import text as tx
 from chimerant.functions import vectors as vec
-from chimerant.operators import graph, joins, ranges, sets, windows
+from chimerant.operators import graph, joins, packing, ranges, sets, shuffling, windows
 from chimerant.operators import vectors as search_ops
 from chimerant.plans import scoring
 from chimerant.sources import writers
@@ -448,13 +448,26 @@ def diffusion_bucketed(spark, sf_dir):
     return graph.diffuse_bucketed(graph.row_stochastic(_graph(t)), seeds, 0.5, 12, 1e-3).select("node", F.round("s", 5).alias("s"))
 
 
-@query()
+def shuffled_sql(row: str, n: str, seed: int) -> str:
+    """SQL of shuffling.place() by chained steps: (row_, place)."""
+    steps = [f"z AS (SELECT CAST(1 << CAST(greatest(1, (bits + 1) // 2) AS INT) AS BIGINT) AS size FROM (SELECT length(bin(greatest(1, {n} - 1))) AS bits))", f"h0 AS (SELECT row_, row_ // size AS l, row_ % size AS r, size FROM (SELECT {row} AS row_ FROM numbered), z)"]
+    steps += [f"h{i + 1} AS (SELECT row_, r AS l, xor(l, (r * {a} + {b}) % {shuffling.PRIME} % size) AS r, size FROM h{i})" for i, (a, b) in enumerate(shuffling.keys(seed))]
+    return ", ".join(steps) + f", placed AS (SELECT row_, l * size + r AS place FROM h{shuffling.ROUNDS})"
+
+
+@query(f"WITH numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row FROM labels), {shuffled_sql('row - 1', '(SELECT count(*) FROM labels)', 34)} SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY place) <= greatest(1, CAST(floor((SELECT count(*) FROM labels) * (1 - 0.2::DOUBLE)) AS BIGINT)) THEN 'train' ELSE 'holdout' END AS part FROM numbered JOIN placed ON row - 1 = row_")
 def seed_split(spark, sf_dir):
-    """ML-12: a seeded shuffle of row numbers, which SQL has not."""
-    labels = ranges.numbered(Tables(spark, sf_dir).labels, ["doc_id"], "row")
-    train, hold = scoring.split_holdout(labels.count())
-    parts = spark.createDataFrame([(i + 1, part) for part, rows in (("train", train), ("holdout", hold)) for i in rows], "row long, part string")
-    return labels.join(parts, "row").select("doc_id", "part")
+    """ML-12: a seeded order of row numbers, none of which the driver holds."""
+    return shuffling.split(Tables(spark, sf_dir).labels.select("doc_id"), ["doc_id"], 0.2, 34).select("doc_id", "part")
+
+
+@query("""WITH RECURSIVE r AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS i FROM documents),
+b AS (SELECT doc_id, lang, i, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS held, n_chars AS load FROM r WHERE i = 1 UNION ALL
+SELECT r.doc_id, r.lang, r.i, CASE WHEN held >= 32 OR load + r.n_chars > 20000 THEN batch + 1 ELSE batch END, CASE WHEN held >= 32 OR load + r.n_chars > 20000 THEN 1 ELSE held + 1 END, CASE WHEN held >= 32 OR load + r.n_chars > 20000 THEN r.n_chars ELSE load + r.n_chars END FROM b JOIN r ON r.lang = b.lang AND r.i = b.i + 1)
+SELECT doc_id, lang, batch FROM b""")
+def budgeted_packing(spark, sf_dir):
+    """WIN-10: the batch of each row, longest first, of 32 rows and a budget of length at most."""
+    return packing.packed(Tables(spark, sf_dir).documents.select("doc_id", "lang", "n_chars"), ["lang"], "n_chars", 32, 20_000, "doc_id").select("doc_id", "lang", "batch")
 
 
 RANKED_SQL = """r AS (SELECT doc_id, n_chars AS score, coalesce(quality, 0) AS relevant, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)), c AS (SELECT count(*) AS n, sum(relevant) AS pos FROM r), k AS (SELECT unnest([10, 50, 100]) AS k),

@@ -16,7 +16,7 @@ from chimerant.functions import text as tx
 from chimerant.operators.storage import shared_folder
 from chimerant.plans import assemble, comparison, events, expression, features, lookups, peptides, retrieval, scoring
 from chimerant.plans.catalog import QUERIES, SQL, Tables, until_converged
-from chimerant.sources import tables
+from chimerant.sources import matrix, tables, writers
 from chimerant.sources.writers import FRAGMENTS
 
 CFG = Config()
@@ -448,3 +448,63 @@ def driver_scores(spark, sf_dir):
     df = made(Tables(spark, sf_dir), "fused").withColumn("id", F.col("k").cast("string"))
     out, _ = scoring.score(df.filter("source = 'event'"), df.filter("source = 'positive'"), CFG)
     return out.select("id", "gene1", "gene2", F.round(F.col("driver_score").cast("double"), 4).alias("driver_score"))
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(" SELECT row_number() OVER (PARTITION BY kind ORDER BY vec_id) - 1 AS pos, kind, embedding[1] AS first, embedding[64] AS last, len(embedding)::INT AS width FROM embeddings, (SELECT unnest(['npy', 'ip', 'l2']) AS kind)", "frag")
+def matrix_files(spark, sf_dir):
+    """SRC-22, SNK-07: vectors written as a matrix and as flat indexes of both metrics, in parts, and read by ranges of rows."""
+    e = Tables(spark, sf_dir).embeddings.select((F.col("vec_id") * 3).alias("pos"), F.col("embedding").alias("vec"))
+    found = []
+    for kind in ("npy", "ip", "l2"):
+        path = matrix.save_vectors(e, _folder(spark, f"vectors-{kind}"), kind, rows_per_part=200)
+        found.append(matrix.read_vectors(spark, path, 150).select("pos", F.lit(kind).alias("kind"), F.get("vec", F.lit(0)).alias("first"), F.get("vec", F.lit(63)).alias("last"), F.size("vec").alias("width")))
+    return found[0].union(found[1]).union(found[2])
+
+
+_FA_SQL = """ SELECT 'peptide_lookup' AS output, 'T' || transcript_id AS transcript_id, replace(peptide_sequence, ' ', '') AS peptide_sequence, protein_id, NULL AS value FROM pep WHERE transcript_id % 5 > 0
+UNION ALL SELECT 'protein_lookup', NULL, peptide_sequence, protein_id, NULL FROM pep UNION ALL SELECT 'clean_fasta', NULL, NULL, NULL, '>' || protein_id || chr(10) || peptide_sequence FROM pep"""
+
+
+@query(_FA_SQL, "pep")
+def fasta_outputs(spark, sf_dir):
+    """SNK-04, SRC-11 to SRC-13: headers that hold marks, gzip; three outputs written in one pass and read again."""
+    p = made(Tables(spark, sf_dir), "pep")
+    transcript = F.when(F.col("transcript_id") % 5 > 0, F.concat(F.lit(" transcript:T"), F.col("transcript_id").cast("string"), F.lit(".3"))).otherwise("")
+    record = F.concat(F.lit(">"), "protein_id", F.lit(".1 pep"), transcript, F.lit(" binding A->B > C\r\n"), F.substring("peptide_sequence", 1, 4), F.lit("\n"), F.expr("substring(peptide_sequence, 5)"))
+    source, folder = _folder(spark, "fasta"), _folder(spark, "outputs")
+    p.select(record.alias("value")).write.option("compression", "gzip").text(source)
+    writers.save_outputs(lookups.fasta_outputs(tables.read_fasta(spark, source)), "output", folder, "made_")
+    cells = "transcript_id string, peptide_sequence string, protein_id string, value string"
+    rows = [spark.read.schema(cells).parquet(f"{folder}/made_{name}").withColumn("output", F.lit(name)) for name in lookups.FASTA_OUTPUTS]
+    return rows[0].union(rows[1]).union(rows[2]).select("output", "transcript_id", "peptide_sequence", "protein_id", "value")
+
+
+@query(" SELECT CAST(least((row_number() OVER (ORDER BY protein_id) - 1) // greatest(1, CAST(ceil((SELECT count(*) FROM proteins) / 8.0) AS BIGINT)), 7) AS INT) AS chunk, '>' || protein_id AS header, sequence FROM proteins", "proteins")
+def chunk_files(spark, sf_dir):
+    """SNK-05: records in chunk files, written in one pass and read again."""
+    p = made(Tables(spark, sf_dir), "proteins")
+    path = _folder(spark, "chunks")
+    writers.save_chunks(p.select("protein_id", F.concat(F.lit(">"), "protein_id", F.lit("\t"), "sequence").alias("value")), ["protein_id"], 8, path)
+    cells = F.split("value", "\t")
+    return spark.read.text(path).select(F.col("chunk").cast("int").alias("chunk"), cells[0].alias("header"), cells[1].alias("sequence"))
+
+
+def first_letters(rows):
+    """An annotator for queries: sequences of over 4 letters are hit, by their first letter and their length."""
+    long = rows[rows["sequence"].str.len() > 4]
+    return long.assign(accession="IPR" + long["sequence"].str[0], name="n" + long["sequence"].str.len().astype(str))[["query", "accession", "name"]]
+
+
+_LONG_SQL = " UNION ALL ".join(f"SELECT id, '{c}' AS col, {c} AS s FROM frag" for c in FRAGMENTS)
+_CELL_SQL = ", ".join(f"coalesce(max({cell}) FILTER (WHERE col = '{c}'), '.') AS {c.replace('peptide', kind)}" for kind, cell in (("domains", "'IPR' || substr(s, 1, 1)"), ("domain_names", "'n' || length(s)")) for c in FRAGMENTS)
+
+
+@query(f", l AS (SELECT * FROM ({_LONG_SQL}) WHERE length(s) > 4) SELECT frag.id, {_CELL_SQL} FROM frag LEFT JOIN l USING (id) GROUP BY 1", "frag")
+def annotator_batches(spark, sf_dir):
+    """DOM-05, SRC-23: an annotator over batches of 100 sequences with a ledger."""
+    events_ = made(Tables(spark, sf_dir), "frag")
+    return retrieval.by_annotator(events_, retrieval.batch_annotator(first_letters, _folder(spark, "batches"), 100)).select("id", *CELLS)

@@ -42,12 +42,19 @@ def gtf_lookups(gtf: DataFrame) -> dict[str, DataFrame]:
     return {"all_features_lookup": all_features(gtf), "cds_lookup": cds(gtf), "mane_lookup": mane(gtf), "next_gene_lookup": next_gene(gtf)}
 
 
+#: The columns of each output of a FASTA file.
+FASTA_OUTPUTS = {"peptide_lookup": ["transcript_id", "peptide_sequence", "protein_id"], "protein_lookup": ["protein_id", "peptide_sequence"], "clean_fasta": ["value"]}
+
+
+def fasta_outputs(fasta: DataFrame) -> DataFrame:
+    """(output, transcript_id, peptide_sequence, protein_id, value): the rows of all outputs, from one pass over the records."""
+    rows = with_id(fasta).withColumn("transcript_id", F.nullif(unversioned(F.regexp_extract("header", r"transcript:(\S+)", 1)), F.lit(""))).filter("protein_id <> ''")
+    cells = {"transcript_id": F.col("transcript_id"), "peptide_sequence": F.col("sequence"), "protein_id": F.col("protein_id"), "value": F.concat(F.lit(">"), "protein_id", F.lit("\n"), "sequence")}
+    each = [F.struct(F.lit(name).alias("output"), *(cells[c].alias(c) if c in own else F.lit(None).cast("string").alias(c) for c in cells)) for name, own in FASTA_OUTPUTS.items()]
+    return rows.select(F.inline(F.array(*each))).filter("output <> 'peptide_lookup' OR transcript_id IS NOT NULL")
+
+
 def fasta_lookups(fasta: DataFrame) -> dict[str, DataFrame]:
-    """peptide_lookup by transcript, protein_lookup by protein and the clean records."""
-    rows = with_id(fasta).withColumn("transcript_id", unversioned(F.regexp_extract("header", r"transcript:(\S+)", 1)))
-    rows = rows.filter("protein_id <> ''")
-    return {
-        "peptide_lookup": rows.filter("transcript_id <> ''").select("transcript_id", F.col("sequence").alias("peptide_sequence"), "protein_id"),
-        "protein_lookup": rows.select("protein_id", F.col("sequence").alias("peptide_sequence")),
-        "clean_fasta": rows.select(F.concat(F.lit(">"), "protein_id", F.lit("\n"), "sequence").alias("value")),
-    }
+    """peptide_lookup by transcript, protein_lookup by protein and the clean records, each as a table."""
+    tagged = fasta_outputs(fasta)
+    return {name: tagged.filter(F.col("output") == name).select(*own) for name, own in FASTA_OUTPUTS.items()}

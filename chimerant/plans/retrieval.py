@@ -15,6 +15,7 @@ from chimerant.functions.text import context, present, sliding, unversioned
 from chimerant.functions.vectors import normalised
 from chimerant.operators.sets import union_all
 from chimerant.operators.vectors import first_unique, search
+from chimerant.plans import batches
 from chimerant.sources.writers import FRAGMENTS, fragments
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -103,7 +104,8 @@ def by_annotator(events: DataFrame, annotator: Callable[[DataFrame], DataFrame],
 
     The query is `id|col`; accessions keep the order of their first hit."""
     queries = fragments(events).select(F.concat_ws("|", F.col("id").cast("string"), "col").alias("query"), "sequence")
-    hits = annotator(queries).withColumn("_m", F.monotonically_increasing_id())
+    found = annotator(queries)
+    hits = found.withColumn("_m", F.col("place").cast("long") if "place" in found.columns else F.monotonically_increasing_id())
     parts = F.split("query", r"\|", 2)
     placed = hits.select(parts[0].try_cast("bigint").alias("id"), F.get(parts, F.lit(1)).alias("col"), "accession", "name", "_m").filter(F.col("id").isNotNull() & F.col("col").isin(FRAGMENTS))
     first = placed.groupBy("id", "col", "accession").agg(F.min("_m").alias("at"), F.min_by("name", "_m").alias("name"))
@@ -112,27 +114,14 @@ def by_annotator(events: DataFrame, annotator: Callable[[DataFrame], DataFrame],
     return _wide(cells, events)
 
 
-def command_annotator(command: Callable[[str, str], list[str]]) -> Callable[[DataFrame], DataFrame]:
-    """An annotator that runs an external program on a FASTA file in each task: command(fasta, out) gives its arguments."""
+def batch_annotator(annotate: batches.Annotate, folder: str, size: int = batches.SIZE) -> Callable[[DataFrame], DataFrame]:
+    """An annotator that works in batches with a ledger in `folder`, and goes on where an earlier run was ended."""
+    return lambda queries: batches.annotate_in_batches(queries, annotate, folder, size)
 
-    def annotate(queries: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import subprocess
-            import tempfile
-            from pathlib import Path
 
-            for batch in batches:
-                with tempfile.TemporaryDirectory() as d:  # a task's own scratch, read again by the same task only
-                    fasta, out = Path(d) / "in.fa", Path(d) / "out.tsv"
-                    fasta.write_text("".join(f">{q}\n{s}\n" for q, s in zip(batch["query"], batch["sequence"], strict=True)))
-                    subprocess.run(command(str(fasta), str(out)), check=True)
-                    rows = [line.rstrip("\n").split("\t") for line in out.open() if not line.startswith("#")]
-                    rows = [(r[0].strip(), r[11].strip(), r[12].strip()) for r in rows if len(r) > 12]
-                    yield pd.DataFrame([r for r in rows if r[0] and r[1]], columns=["query", "accession", "name"])
-
-        return queries.mapInPandas(run, "query string, accession string, name string")
-
-    return annotate
+def command_annotator(command: Callable[[str, str], list[str]], folder: str, size: int = batches.SIZE) -> Callable[[DataFrame], DataFrame]:
+    """An annotator that runs an external program on a FASTA file of each batch: command(fasta, out) gives its arguments."""
+    return batch_annotator(batches.command(command), folder, size)
 
 
 def merge_hits(chunks: list[DataFrame], cfg: Config = Config()) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chimerant.config import DOMAIN_COLUMNS, Config
 from chimerant.functions.text import count_tokens, side_tokens
-from chimerant.operators import graph, sparse
+from chimerant.operators import graph, shuffling, sparse
 from chimerant.operators.storage import stored
 from chimerant.operators.ranges import numbered
 from chimerant.sources.tables import require
@@ -78,7 +78,10 @@ def score(events: DataFrame, positives: DataFrame, cfg: Config = Config(), evalu
     """(id, gene1, gene2, driver_score) of the events, and ranking metrics if asked for."""
     spark = events.sparkSession
     known = numbered(aligned(positives, "positive"), ["id", "gene1", "gene2"], "n")
-    if evaluate:
+    if evaluate and not cfg.parity:
+        known = shuffling.split(known.drop("n"), ["id", "gene1", "gene2"], cfg.holdout, cfg.seed, "n")
+        known = known.withColumn("source", F.when(F.col("part") == "holdout", "holdout").otherwise(F.col("source"))).drop("part")
+    elif evaluate:
         known = stored(known, "positives")
         test = spark.createDataFrame([(i + 1, "holdout") for i in split_holdout(known.count(), cfg.holdout, cfg.seed)[1]], "n long, part string")
         known = known.join(test, "n", "left").withColumn("source", F.coalesce("part", "source")).drop("part")

@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from chimerant.config import EVENT_COLUMNS, NULL_TOKENS, TEXT_COLUMNS
 from chimerant.functions.text import nulls, unversioned
+from chimerant.sources.matrix import read_vectors
 
 GTF_SCHEMA = "chr string, source string, feature_type string, start string, end string, score string, strand string, frame string, attributes string"
-# The first four bytes of a flat vector index by metric, and the length of its header.
-FLAT_INDEXES = {b"IxFI": "ip", b"IxF2": "l2"}
-FLAT_HEADER = 45
 ANNOTATOR_SCHEMA = ", ".join(f"c{i} string" for i in range(1, 16))
 
 
@@ -127,56 +125,6 @@ def read_index_metadata(spark: SparkSession, path: str, windows: DataFrame | Non
     return own.unionByName(joined)
 
 
-def _matrix(path: str):
-    """(rows, columns, offset of the first number, metric) of a matrix file: .npy of 32-bit floats, or a flat vector index."""
-    import numpy as np
-
-    with open(path, "rb") as f:
-        start = f.read(6)
-        if start == b"\x93NUMPY":
-            version = tuple(f.read(2))
-            (rows, columns), by_column, kind = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}[version](f)
-            if by_column or kind != np.dtype("<f4"):
-                raise ValueError(f"{path}: only rows of little-endian 32-bit floats can be read")
-            return rows, columns, f.tell(), None
-        if start[:4] not in FLAT_INDEXES:
-            raise ValueError(f"{path}: neither a .npy matrix nor a flat index")
-        f.seek(4)
-        columns, rows = int.from_bytes(f.read(4), "little"), int.from_bytes(f.read(8), "little")
-        f.seek(FLAT_HEADER - 8)
-        if int.from_bytes(f.read(8), "little") != rows * columns:
-            raise ValueError(f"{path}: the header's counts don't agree")
-        return rows, columns, FLAT_HEADER, FLAT_INDEXES[start[:4]]
-
-
-def read_vectors(spark: SparkSession, path: str, rows_per_task: int = 65_536) -> DataFrame:
-    """(pos, vec) of a matrix file in a folder that all executors mount: each task maps its own rows only.
-
-    Reads .npy matrices and flat vector indexes, whose metric index_metric() tells."""
-    rows, columns, offset, _ = _matrix(path)
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        numbers = np.memmap(path, "<f4", "r", offset, (rows, columns)) if rows * columns else np.zeros((rows, columns), "<f4")
-        for batch in batches:
-            for begin in batch.column(0).to_pylist():
-                for at in range(begin, min(begin + rows_per_task, rows), 1_024):
-                    part = np.ascontiguousarray(numbers[at : min(at + 1_024, begin + rows_per_task)])
-                    places = pa.array(np.arange(at, at + len(part)), pa.int64())
-                    ends = pa.array(np.arange(len(part) + 1) * columns, pa.int32())
-                    yield pa.RecordBatch.from_arrays([places, pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], ["pos", "vec"])
-
-    tasks = max(1, -(-rows // rows_per_task))
-    return spark.range(0, rows, rows_per_task, tasks).mapInArrow(run, "pos long, vec array<float>")
-
-
-def index_metric(path: str) -> str | None:
-    """ip or l2 for a flat index, None for a matrix."""
-    return _matrix(path)[3]
-
-
 def load_index(spark: SparkSession, vectors: str, metadata: str, windows: DataFrame | None = None) -> DataFrame:
     """(pos, window_id, ipr_id, ipr_name, vec): the vectors of a matrix or flat index with their metadata."""
     return read_index_metadata(spark, metadata, windows).join(read_vectors(spark, vectors), "pos")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -56,16 +57,43 @@ def wrapped(c, width: int = 60):
 def chunked(df: DataFrame, order: list[str], chunks: int, out: str = "chunk") -> DataFrame:
     """Chunk numbers 0..chunks-1 of ceil(N / chunks) rows each, in order."""
     rows = numbered(df, order, "_rn")
-    per = F.greatest(F.lit(1), F.ceil(F.lit(df.count()) / chunks))
+    per = F.greatest(F.lit(1), F.ceil(F.lit(rows.count()) / chunks))
     return rows.withColumn(out, F.least(F.floor((F.col("_rn") - 1) / per), F.lit(chunks - 1)).cast("int")).drop("_rn")
 
 
+def save_chunks(records: DataFrame, order: list[str], chunks: int, path: str) -> None:
+    """Records (value) in chunk folders `chunk=i`, written in one pass over the records."""
+    chunked(records, order, chunks).select("value", "chunk").repartition("chunk").sortWithinPartitions("chunk").write.partitionBy("chunk").mode("errorifexists").text(path)
+
+
+def save_outputs(tagged: DataFrame, tag: str, folder: str, prefix: str = "") -> list[str]:
+    """Rows of several outputs, told apart by a column, written in one pass: each output becomes the Parquet folder `prefix` + its name.
+
+    Refuses to overwrite: the outputs are written aside and renamed only if none is there yet."""
+    spark = tagged.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    aside = f"{folder}/_outputs-{uuid.uuid4().hex}"
+    store = path(aside).getFileSystem(conf)
+    tagged.write.partitionBy(tag).parquet(aside)
+    try:
+        found = {s.getPath().getName().removeprefix(f"{tag}="): s.getPath() for s in store.listStatus(path(aside)) if s.getPath().getName().startswith(f"{tag}=")}
+        targets = {n: f"{folder}/{prefix}{n}" for n in sorted(found)}
+        if there := [t for t in targets.values() if store.exists(path(t))]:
+            raise FileExistsError(", ".join(there))
+        for n, t in targets.items():
+            store.rename(found[n], path(t))
+        return list(targets.values())
+    finally:
+        store.delete(path(aside), True)
+
+
 def save_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def save_vectors(df: DataFrame, name: str, folder: str) -> str:
-    """An index as Parquet; the name must be a plain file name."""
+def save_index(df: DataFrame, name: str, folder: str) -> str:
+    """An index with its metadata as Parquet; the name must be a plain file name. matrix.save_vectors() writes the vectors alone."""
     if Path(name).name != name or not name:
         raise ValueError(f"{name} is no plain file name")
     df.write.mode("overwrite").parquet(out := f"{folder}/{name}")

@@ -7,7 +7,7 @@ import pytest
 from test_engine import ref  # noqa: F401 - the fixture of lookups
 
 from chimerant import cli
-from chimerant.sources import tables
+from chimerant.sources import matrix, tables
 
 
 def test_stage_commands(spark, ref, tmp_path):  # noqa: F811
@@ -39,14 +39,14 @@ def test_vectors(spark, tmp_path, rows, per_task):
         head = name + struct.pack("<iqqq?iQ", 5, rows, 1 << 20, 1 << 20, True, metric, rows * 5)
         (tmp_path / name.decode()).write_bytes(head + m.tobytes())
     for name, metric in (("m.npy", None), ("IxFI", "ip"), ("IxF2", "l2")):
-        got = tables.read_vectors(spark, str(tmp_path / name), per_task).orderBy("pos").collect()
+        got = matrix.read_vectors(spark, str(tmp_path / name), per_task).orderBy("pos").collect()
         assert [r.pos for r in got] == list(range(rows)) and np.array_equal(np.array([r.vec for r in got], np.float32).reshape(rows, 5), m)
-        assert tables.index_metric(str(tmp_path / name)) == metric
+        assert matrix.index_metric(spark, str(tmp_path / name)) == metric
     (tmp_path / "other").write_bytes(b"IxPQ" + b"\0" * 60)
     np.save(tmp_path / "wide.npy", m.astype(np.float64))
     for bad in ("other", "wide.npy"):
         with pytest.raises(ValueError):
-            tables.read_vectors(spark, str(tmp_path / bad))
+            matrix.read_vectors(spark, str(tmp_path / bad))
 
 
 def test_loaded_index(spark, tmp_path):
