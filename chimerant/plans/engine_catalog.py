@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from chimerant.config import DOMAIN_COLUMNS, Config
 from chimerant.functions import text as tx
+from chimerant.operators.ranges import numbered
 from chimerant.operators.storage import shared_folder
-from chimerant.plans import assemble, comparison, events, expression, features, lookups, peptides, retrieval, scoring
+from chimerant.plans import assemble, comparison, events, expression, features, lookups, peptides, raster, retrieval, scoring
 from chimerant.plans.catalog import QUERIES, SQL, Tables, until_converged
 from chimerant.sources import matrix, tables, writers
 from chimerant.sources.writers import FRAGMENTS
+from chimerant.streaming import intake
 
 CFG = Config()
 STRAND = "CASE WHEN {} % 2 = 0 THEN '+' ELSE '-' END"
@@ -508,3 +510,71 @@ def annotator_batches(spark, sf_dir):
     """DOM-05, SRC-23: an annotator over batches of 100 sequences with a ledger."""
     events_ = made(Tables(spark, sf_dir), "frag")
     return retrieval.by_annotator(events_, retrieval.batch_annotator(first_letters, _folder(spark, "batches"), 100)).select("id", *CELLS)
+
+
+#: A pixel of a generated page by page k, row y and column x: a white gap, markers in the first channel, exons, and light grey.
+_PIXEL = "CASE WHEN x BETWEEN 820 + k % 7 * 10 AND 909 + k % 7 * 10 + k % 40 THEN 16777215 WHEN k % 5 > 0 AND x IN (400 + k % 50, 401 + k % 50, 1250 + k % 90, 1251 + k % 90) THEN 16711680 WHEN ((x - x % 37) + 37 * k) % 111 = 0 AND y >= 334 - (x * 7 + k) % 84 THEN 11250603 ELSE 15132390 END"
+_RASTER_SQL = f""", px AS (SELECT k, y, x, CAST({_PIXEL} AS BIGINT) AS c FROM (SELECT s_suppkey AS k FROM supplier), (SELECT unnest(range(250, 334)) AS y), (SELECT unnest(range(220, 1600)) AS x)),
+ch AS (SELECT k, y, x - 220 AS x, c // 65536 AS b, c // 256 % 256 AS g, c % 256 AS r FROM px), gr AS (SELECT k, y, x, round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0) AS gray, b - (r + g) // 2 AS blue FROM ch),
+prof AS (SELECT k, x, avg(gray) AS mean, max(blue) AS blue, count(*) FILTER (WHERE abs(gray - 171) <= 40) AS height, bool_or(y = 333 AND abs(gray - 171) <= 40) AS bottom FROM gr GROUP BY 1, 2),
+runs AS (SELECT k, min(x) AS low, count(*) AS len FROM (SELECT k, x, x - row_number() OVER (PARTITION BY k ORDER BY x) AS i FROM prof WHERE mean > 240) GROUP BY k, i), gap AS (SELECT k, (2 * low + len) // 2 AS centre FROM runs QUALIFY row_number() OVER (PARTITION BY k ORDER BY len DESC, low) = 1),
+side AS (SELECT k, 1 AS side, x, blue, height, bottom, centre - 33 AS width FROM prof JOIN gap USING (k) WHERE x < centre - 33 UNION ALL SELECT k, 2, x - centre - 33, blue, height, bottom, 1380 - centre - 33 FROM prof JOIN gap USING (k) WHERE x >= centre + 33),
+mark AS (SELECT k, side, coalesce(CAST(floor(avg(x) FILTER (WHERE blue > 100)) AS BIGINT), any_value(width) // 2) AS cut FROM side GROUP BY 1, 2),
+pixels AS (SELECT CAST(k AS VARCHAR) AS page_id, side, CASE WHEN x < cut THEN 'L' ELSE 'R' END AS half, CASE WHEN x < cut THEN x ELSE x - cut - 2 END AS x, bottom, height FROM side JOIN mark USING (k, side) WHERE x < cut OR x >= cut + 2),
+heights AS (SELECT CAST(s_suppkey AS VARCHAR) AS page_id, s_suppkey % 5 * 84 AS max_height FROM supplier),
+run AS (SELECT p.page_id, side, half, x, x - row_number() OVER (PARTITION BY p.page_id, side, half ORDER BY x) AS island, CASE WHEN coalesce(max_height, 0) > 0 THEN height * (max_height / 84.0::DOUBLE) ELSE 0.0::DOUBLE END AS reads FROM pixels p LEFT JOIN heights h ON p.page_id = h.page_id WHERE bottom)
+SELECT page_id, CAST(side AS INT) AS side, half, CAST(min(x) AS INT) AS start_, {half_even("avg(reads)", 2)} AS mean, {half_even("median(reads)", 2)} AS median FROM run GROUP BY page_id, side, half, island"""
+
+
+@query(_RASTER_SQL, "frag")
+def page_raster(spark, sf_dir):
+    """DOM-25, DOM-24, SRC-20: pages as packed image rows, through crop, gap, halves and marker to exons."""
+    s = Tables(spark, sf_dir).supplier.select(F.col("s_suppkey").alias("k")).repartition(64, "k")  # a page is some hundred rows of 1,700 pixels
+    pages = s.withColumn("y", F.explode(F.sequence(F.lit(240), F.lit(340)))).selectExpr("CAST(k AS STRING) AS page_id", "y", f"transform(sequence(0, 1699), x -> CAST({_PIXEL} AS INT)) AS rgb")
+    heights = s.select(F.col("k").cast("string").alias("page_id"), (F.col("k") % 5 * 84).cast("int").alias("max_height"))
+    return expression.exons(raster.pixel_columns(pages), heights).withColumnRenamed("start", "start_")
+
+
+def _event_stream(spark, sf_dir: str, files: int = 6):
+    """Events as a stream of several files in order of time, one file a batch."""
+    instant = F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', CAST(ts AS TIMESTAMP_NTZ)))")  # whatever the session's time zone
+    ev = Tables(spark, sf_dir).events.select("event_id", instant.alias("ts"), "user_id", "event_type", "value")
+    folder = _folder(spark, "events")
+    n = Tables(spark, sf_dir).events.count()
+    files = max(files, n // 1_000_000)
+    parts = numbered(ev, ["ts", "event_id"], "n").withColumn("part", F.floor((F.col("n") - 1) * files / n))
+    for i in range(files):  # written one after the other, so that the stream takes them in that order
+        parts.filter(F.col("part") == i).drop("n", "part").coalesce(1).write.parquet(f"{folder}/p{i}")
+    return intake.table_stream(spark, f"{folder}/*", ev.schema, files=1)
+
+
+_MARK = "(SELECT CAST(epoch_us(max(ts)) // 1000 - 600000 AS BIGINT) AS mark FROM events)"
+
+
+@query(f" SELECT event_type, epoch_ms(date_trunc('hour', ts)) AS start_ms, count(*) AS n FROM events, {_MARK} GROUP BY event_type, date_trunc('hour', ts), mark HAVING epoch_ms(date_trunc('hour', ts)) + 3600000 <= mark", "frag")
+def stream_windows(spark, sf_dir):
+    """ST-03: counts by hour that the watermark has closed, appended once each."""
+    counted = intake.windowed_counts(_event_stream(spark, sf_dir), "ts", "event_type")
+    flat = counted.select("event_type", F.unix_millis(F.col("window.start")).alias("start_ms"), "n")
+    folder = _folder(spark, "windows")
+    intake.append_once(flat, folder, _folder(spark, "checkpoint")).awaitTermination()
+    return intake.appended(spark, folder, flat.schema)
+
+
+@query(f", t AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, CASE WHEN (epoch_us(ts) // 1000) - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) < 1800000 THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS s FROM t) SELECT user_id, min(ms) AS start_ms, max(ms) + 1800000 AS end_ms, count(*) AS n FROM g, {_MARK} GROUP BY user_id, s, mark HAVING max(ms) + 1800000 <= mark", "frag")
+def stream_sessions(spark, sf_dir):
+    """ST-03: sessions as state of each user, emitted once when the watermark has closed them."""
+    found = intake.state_sessions(_event_stream(spark, sf_dir), "ts", "user_id")
+    flat = found.select(F.col("key").alias("user_id"), F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n")
+    folder = _folder(spark, "sessions")
+    intake.append_once(flat, folder, _folder(spark, "checkpoint")).awaitTermination()
+    return intake.appended(spark, folder, flat.schema)
+
+
+@query(" SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1", "frag")
+def stream_latest(spark, sf_dir):
+    """ST-01: the latest event of each user, merged batch by batch."""
+    stream = _event_stream(spark, sf_dir).select("user_id", "ts", "event_id", "event_type")
+    folder = _folder(spark, "latest")
+    intake.keep_latest(stream, folder, ["user_id"], ["ts", "event_id"], _folder(spark, "checkpoint")).awaitTermination()
+    return intake.latest(spark, folder, stream.schema).select("user_id", "event_id", "event_type")

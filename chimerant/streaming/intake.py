@@ -42,3 +42,91 @@ def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     spark = stream.sparkSession
     stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
+
+
+def _table_path(folder: str, batch: int) -> str:
+    return f"{folder}/batch-{batch:012d}"
+
+
+def _complete(spark: SparkSession, folder: str) -> list[str]:
+    """The batches' tables that are whole, in order."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch-*/_SUCCESS")
+    store = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getParent().toString() for s in store.globStatus(found) or [])
+
+
+def append_once(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """A stream's batches as tables of their own numbers: a batch that runs again after a restart replaces itself, so no row comes twice."""
+    return stream.writeStream.outputMode(mode).foreachBatch(lambda rows, i: rows.write.mode("overwrite").parquet(_table_path(folder, i))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def appended(spark: SparkSession, folder: str, schema) -> DataFrame:
+    paths = _complete(spark, folder)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def keep_latest(stream: DataFrame, folder: str, key: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
+    """The latest row of each key, as a table that every batch replaces.
+
+    A batch's table is the one before it merged with the batch's rows, so it depends on nothing that a rerun could change: the
+    batch that was cut off is merged again, with the same table before it, and takes its own place. Later `order` wins, then the
+    larger row. Tables before the last two are removed."""
+    columns = stream.columns
+    rank = F.struct(*order, *[c for c in columns if c not in order])
+
+    def merge(rows: DataFrame, i: int) -> None:
+        spark = rows.sparkSession
+        before = [p for p in _complete(spark, folder) if int(p.rsplit("-", 1)[1]) < i]
+        every = rows.select(*columns).unionByName(spark.read.schema(rows.schema).parquet(before[-1])) if before else rows.select(*columns)
+        every.groupBy(*key).agg(F.max(rank).alias("_row")).select("_row.*").select(*columns).write.mode("overwrite").parquet(_table_path(folder, i))
+        for old in before[:-1]:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, folder: str, schema) -> DataFrame:
+    paths = _complete(spark, folder)
+    return spark.read.schema(schema).parquet(paths[-1]) if paths else spark.createDataFrame([], schema)
+
+
+def _sessions_of(gap_ms: int):
+    """State of a key: the sessions that are still open, as (start, end, rows); end is the last row's time plus the gap."""
+
+    def run(key, batches, state):
+        import pandas as pd
+
+        open_ = list(zip(*state.get, strict=True)) if state.exists else []
+        for batch in batches:
+            for at in batch["_at"].tolist():
+                open_.append((at, at + gap_ms, 1))
+        merged: list[tuple[int, int, int]] = []
+        for start, end, n in sorted(open_):
+            if merged and start < merged[-1][1]:
+                s, e, m = merged[-1]
+                merged[-1] = (s, max(e, end), m + n)
+            else:
+                merged.append((start, end, n))
+        mark = state.getCurrentWatermarkMs()
+        done, open_ = [s for s in merged if s[1] <= mark], [s for s in merged if s[1] > mark]
+        if open_:
+            state.update(tuple(list(c) for c in zip(*open_, strict=True)))
+            state.setTimeoutTimestamp(max(min(e for _, e, _ in open_), mark + 1))
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame([(key[0], pd.Timestamp(s, unit="ms"), pd.Timestamp(e, unit="ms"), n) for s, e, n in done], columns=["key", "start", "end", "n"])
+
+    return run
+
+
+def state_sessions(stream: DataFrame, time: str, key: str, gap_minutes: int = 30, late: str = "10 minutes") -> DataFrame:
+    """(key, start, end, n): sessions that are over, each once, as state that the stream keeps for each key.
+
+    Times are taken in whole milliseconds. A row within the gap after a session's last row, or before its first, belongs to it,
+    and may join two. A session is over when the watermark has reached its end; rows later than the watermark are dropped
+    where they would have to open it again. For output mode append."""
+    kind = dict(stream.dtypes)[key]
+    rows = stream.withWatermark(time, late).select(F.col(key).alias("key"), F.col(time), F.unix_millis(time).alias("_at"))
+    return rows.groupBy("key").applyInPandasWithState(_sessions_of(gap_minutes * 60_000), f"key {kind}, start timestamp, end timestamp, n long", "starts array<long>, ends array<long>, counts array<long>", "append", "EventTimeTimeout")
