@@ -29,7 +29,8 @@ def additive(base: DataFrame, more: DataFrame, key: str = "id", prefer: str = "f
     Repeated keys in `more` are an error of the caller: check with is_unique()."""
     new = [c for c in more.columns if c != key and (c not in base.columns or prefer == "last")]
     kept = base.select(*[f"`{c}`" for c in base.columns if c not in new])
-    return kept.join(more.select(key, *[f"`{c}`" for c in new]), key, "left")
+    # The base's columns keep their order, the key its place.
+    return kept.join(more.select(key, *[f"`{c}`" for c in new]), key, "left").select(*[f"`{c}`" for c in [*kept.columns, *new]])
 
 
 def is_unique(df: DataFrame, key: str = "id") -> bool:

@@ -130,6 +130,18 @@ def load_index(spark: SparkSession, vectors: str, metadata: str, windows: DataFr
     return read_index_metadata(spark, metadata, windows).join(read_vectors(spark, vectors), "pos")
 
 
+PAGE_METRICS = [f"{m}_{k}{s}" for s in (1, 2) for m, k in (("mean", "retained"), ("mean", "lost"), ("median", "retained"), ("median", "lost"))]
+PAGE_RECORD = ", ".join(["gene1 string, gene2 string, transcript_id1 string, transcript_id2 string, chr1 string, chr2 string, breakpoint1 bigint, breakpoint2 bigint, max_height bigint, strand1 string, strand2 string", *(f"{c} double" for c in [*PAGE_METRICS, "coverage1", "coverage2"])])
+
+
+def read_page_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Coverage of pages from JSON lists of records, once each, with the eight keys that events join on.
+
+    Records may hold names twice, in other case; those in lower case count."""
+    rows = spark.read.option("multiLine", True).schema(PAGE_RECORD).json(path)
+    return rows.withColumnsRenamed({"chr1": "chromosome1", "chr2": "chromosome2"}).distinct()
+
+
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.upper(F.trim("value")).alias("symbol")).filter("symbol <> ''").distinct()
 
