@@ -448,7 +448,7 @@ SELECT k AS id, gene1, gene2, round(CAST(score AS DOUBLE), 4) AS driver_score FR
 def driver_scores(spark, sf_dir):
     """DOM-27, ML-05 to ML-11: scores of events from known drivers, over the exact graph of nearest neighbours."""
     df = made(Tables(spark, sf_dir), "fused").withColumn("id", F.col("k").cast("string"))
-    out, _ = scoring.score(df.filter("source = 'event'"), df.filter("source = 'positive'"), CFG)
+    out = scoring.score(df.filter("source = 'event'"), df.filter("source = 'positive'"), CFG)
     return out.select("id", "gene1", "gene2", F.round(F.col("driver_score").cast("double"), 4).alias("driver_score"))
 
 

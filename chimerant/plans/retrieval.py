@@ -16,10 +16,9 @@ from chimerant.functions.vectors import normalised
 from chimerant.operators.sets import union_all
 from chimerant.operators.vectors import first_unique, search
 from chimerant.plans import batches
+from chimerant.plans.embedding import Embedder, width
 from chimerant.sources.writers import FRAGMENTS, fragments
 
-Embedder = Callable[[list[str]], np.ndarray]
-
 
 def kmer_embedder(dim: int = 64, k: int = 3) -> Embedder:
     """A deterministic stand-in for a protein language model: hashed k-mer counts."""
@@ -84,7 +83,11 @@ def _wide(cells: DataFrame, events: DataFrame) -> DataFrame:
 def by_search(events: DataFrame, index: DataFrame, embedder: Embedder, cfg: Config = Config(), skip_missing: bool = False) -> DataFrame:
     """The eight domain columns of each event from the best hits of its fragments.
 
+    An embedder whose vectors are of another width than the index's is refused.
     index: pos, ipr_id, ipr_name, vec. With skip_missing off, fragments that are missing are searched as they are (parity)."""
+    known = index.select(F.size("vec").alias("n")).first()
+    if known and known.n != (own := width(embedder)):
+        raise ValueError(f"the index has vectors of {known.n} components, the embedder gives {own}")
     parts = ", ".join(f"'{c}', coalesce(`{c}`, '')" for c in FRAGMENTS)
     long = events.selectExpr("id", f"stack({len(FRAGMENTS)}, {parts}) AS (col, sequence)")
     if skip_missing:
@@ -148,6 +151,11 @@ def missing_proteins(hits: DataFrame, proteins: DataFrame) -> int:
     return hits.join(proteins, "protein_id", "left_anti").count()
 
 
+def embed_windows(windows: DataFrame, embedder: Embedder, cfg: Config = Config()) -> DataFrame:
+    """(pos, window_id, ipr_id, ipr_name, vec) of windows in order of window_id, vectors as the embedder gives them, not normalised."""
+    return build_index(windows, embedder, cfg)
+
+
 def build_index(windows: DataFrame, embedder: Embedder, cfg: Config = Config()) -> DataFrame:
     """pos, window_id, ipr_id, ipr_name, vec: vectors as the embedder gives them, not normalised."""
     from chimerant.operators.ranges import numbered

@@ -28,6 +28,6 @@ def run(table: DataFrame, lookups: dict[str, DataFrame], positives: DataFrame, r
     domains = stored(retrieve(pep) if retrieve else retrieval.by_search(pep, index, embedder or retrieval.kmer_embedder(), cfg), "domains")
     feats = stored(features.compute(domains, lookups["all_features_lookup"], lookups["mane_lookup"], lookups["cds_lookup"], cfg), "features")
     noted = stored(events.annotate(feats, lookups["all_features_lookup"], lookups["next_gene_lookup"], cfg, expression), "annotated")
-    scores = stored(scoring.score(noted, positives, cfg)[0], "scores")
+    scores = stored(scoring.score(noted, positives, cfg), "scores")
     whole = assemble.complete(pep, domains, feats, noted, scores, expression, "first" if cfg.parity else "last")
     return Result(whole, events.counts(noted, cfg), pep, noted, scores)

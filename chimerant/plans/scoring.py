@@ -74,25 +74,36 @@ def split_holdout(n: int, share: float = 0.2, seed: int = 34) -> tuple[list[int]
     return sorted(order[:cut]), sorted(order[cut:])
 
 
-def score(events: DataFrame, positives: DataFrame, cfg: Config = Config(), evaluate: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """(id, gene1, gene2, driver_score) of the events, and ranking metrics if asked for."""
-    spark = events.sparkSession
-    known = numbered(aligned(positives, "positive"), ["id", "gene1", "gene2"], "n")
-    if evaluate and not cfg.parity:
-        known = shuffling.split(known.drop("n"), ["id", "gene1", "gene2"], cfg.holdout, cfg.seed, "n")
-        known = known.withColumn("source", F.when(F.col("part") == "holdout", "holdout").otherwise(F.col("source"))).drop("part")
-    elif evaluate:
-        known = stored(known, "positives")
-        test = spark.createDataFrame([(i + 1, "holdout") for i in split_holdout(known.count(), cfg.holdout, cfg.seed)[1]], "n long, part string")
-        known = known.join(test, "n", "left").withColumn("source", F.coalesce("part", "source")).drop("part")
-    table = stored(numbered(known.drop("n").unionByName(aligned(events, "event")), ["source", "id", "gene1", "gene2"], "row"), "score-table")
+def _scored(events: DataFrame, known: DataFrame, cfg: Config) -> DataFrame:
+    """(row, source, id, gene1, gene2, score) of all rows; known has the source positive, or holdout for what is held out."""
+    table = numbered(known.unionByName(aligned(events, "event")), ["source", "id", "gene1", "gene2"], "row")
+    table = stored(table, "score-table")
     k = max(1, min(cfg.neighbours, table.count() - 1))
     p = stored(graph.row_stochastic(neighbours(features(table, cfg), k)), "score-graph")
     seeds = table.select(F.col("row").alias("node"), (F.col("source") == "positive").cast("double").alias("y"))
     found = graph.rescale(graph.diffuse(p, seeds, cfg.alpha, cfg.max_iterations, cfg.tolerance))
-    scored = table.join(found.select(F.col("node").alias("row"), "score"), "row", "left").withColumn("driver_score", F.coalesce("score", F.lit(0.0)).cast("float"))
-    out = scored.filter("source = 'event'").select(F.col("id").try_cast("bigint").alias("id"), "gene1", "gene2", "driver_score")
-    if not evaluate:
-        return out, None
+    return table.join(found.select(F.col("node").alias("row"), "score"), "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def _of(scored: DataFrame, source: str) -> DataFrame:
+    return scored.filter(F.col("source") == source).select(F.col("id").try_cast("bigint").alias("id"), "gene1", "gene2", F.col("score").cast("float").alias("driver_score"))
+
+
+def evaluate(events: DataFrame, positives: DataFrame, cfg: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores of events when a share of the positives is held out, scores of those, and how well the ranking of all rows finds them."""
+    known = aligned(positives, "positive")
+    if cfg.parity:
+        rows = stored(numbered(known, ["id", "gene1", "gene2"], "n"), "positives")
+        test = known.sparkSession.createDataFrame([(i + 1, "holdout") for i in split_holdout(rows.count(), cfg.holdout, cfg.seed)[1]], "n long, part string")
+        rows = rows.join(test, "n", "left")
+    else:
+        rows = shuffling.split(known, ["id", "gene1", "gene2"], cfg.holdout, cfg.seed, "n")
+    known = rows.withColumn("source", F.when(F.col("part") == "holdout", "holdout").otherwise(F.col("source"))).drop("part", "n")
+    scored = stored(_scored(events, known, cfg), "scored")
     ranks = graph.ranked(scored.select("row", "score", (F.col("source") == "holdout").cast("int").alias("relevant")), "score", "row")
-    return out, graph.ranking_metrics(ranks, list(cfg.metric_ks))
+    return _of(scored, "event"), _of(scored, "holdout"), graph.ranking_metrics(ranks, list(cfg.metric_ks))
+
+
+def score(events: DataFrame, positives: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(id, gene1, gene2, driver_score) of the events."""
+    return _of(_scored(events, aligned(positives, "positive"), cfg), "event")

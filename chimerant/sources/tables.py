@@ -126,8 +126,9 @@ def read_index_metadata(spark: SparkSession, path: str, windows: DataFrame | Non
 
 
 def load_index(spark: SparkSession, vectors: str, metadata: str, windows: DataFrame | None = None) -> DataFrame:
-    """(pos, window_id, ipr_id, ipr_name, vec): the vectors of a matrix or flat index with their metadata."""
-    return read_index_metadata(spark, metadata, windows).join(read_vectors(spark, vectors), "pos")
+    """(pos, window_id, ipr_id, ipr_name, vec): the vectors of a matrix or flat index with their metadata, JSON or a Parquet table."""
+    named = read_index_metadata(spark, metadata, windows) if metadata.endswith(".json") else spark.read.parquet(metadata).select("pos", "window_id", "ipr_id", "ipr_name")
+    return named.join(read_vectors(spark, vectors), "pos")
 
 
 PAGE_METRICS = [f"{m}_{k}{s}" for s in (1, 2) for m, k in (("mean", "retained"), ("mean", "lost"), ("median", "retained"), ("median", "lost"))]

@@ -80,7 +80,7 @@ def save_outputs(tagged: DataFrame, tag: str, folder: str, prefix: str = "") ->
         found = {s.getPath().getName().removeprefix(f"{tag}="): s.getPath() for s in store.listStatus(path(aside)) if s.getPath().getName().startswith(f"{tag}=")}
         targets = {n: f"{folder}/{prefix}{n}" for n in sorted(found)}
         if there := [t for t in targets.values() if store.exists(path(t))]:
-            raise FileExistsError(", ".join(there))
+            raise FileExistsError(f"exists: {', '.join(there)}")
         for n, t in targets.items():
             store.rename(found[n], path(t))
         return list(targets.values())
@@ -92,12 +92,11 @@ def save_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def save_index(df: DataFrame, name: str, folder: str) -> str:
-    """An index with its metadata as Parquet; the name must be a plain file name. matrix.save_vectors() writes the vectors alone."""
+def plain_name(name: str) -> str:
+    """The name, if it is a plain file name."""
     if Path(name).name != name or not name:
         raise ValueError(f"{name} is no plain file name")
-    df.write.mode("overwrite").parquet(out := f"{folder}/{name}")
-    return out
+    return name
 
 
 def stem_of(name: str) -> str:

@@ -199,8 +199,8 @@ def test_neighbours_and_evaluation(spark, monkeypatch):
     monkeypatch.setattr(graph, "LOCAL_EDGES", 1_000_000)
     cells = "id string, gene1 string, gene2 string, retained_domains1 string, lost_domains1 string, retained_domains2 string, lost_domains2 string, out_of_frame1 string"
     table = lambda a, b: spark.createDataFrame([(str(i), f"A{i}", f"B{i}", f"IPR{i % 4:06}", ".", f"IPR{i % 3:06}", ".", "0") for i in range(a, b)], cells)
-    out, metrics = scoring.score(table(0, 12), table(12, 24), evaluate=True)
-    assert out.count() == 12 and [r.k for r in metrics.collect()] == [10, 24, 24] and all(0 <= r.recall_at_k <= 1 for r in metrics.collect())
+    out, held, metrics = scoring.evaluate(table(0, 12), table(12, 24))
+    assert out.count() == 12 and held.count() == 3 and [r.k for r in metrics.collect()] == [10, 24, 24] and all(0 <= r.recall_at_k <= 1 for r in metrics.collect())
 
 
 def test_graph_properties(spark):
