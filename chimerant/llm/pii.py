@@ -4,18 +4,22 @@ Base spans are the leftmost matches, without overlap, of one pattern per kind. T
 ones do, written so that the engine neither recurses nor scans a run of characters again from each of its places.
 Places come from the pieces between matches, so they count code points.
 
-Information-theoretic part: an entity is a base span's kind and value; a term is a word, anywhere in a text. Over all
-documents, df(t) counts those that hold the term, n(t, e) those that hold the entity too (so also those that hold the
-term beside it). A term discloses an entity if P(e | t) = n(t, e) / df(t) reaches MIN_DISCLOSURE and the pointwise mutual
+Information-theoretic part: an entity is a base span's kind and value; a term is a word, anywhere in a text. Copies are no
+evidence: a rare word of a text that is there twice stands beside the text's entities each time. So all documents are put
+into classes of equal and nearly equal texts (those that share neighbours in a bottom sketch of hashed 5-word runs, and
+what these connect), and one text stands for each class in all counts. Over these N, df(t) counts those that hold the
+term, n(t, e) those that hold the entity too (so also those that hold the term beside it). A term discloses an entity if P(e | t) = n(t, e) / df(t) reaches MIN_DISCLOSURE and the pointwise mutual
 information log2(n(t, e) * N / (df(t) * df(e))) reaches MIN_BITS, with n(t, e) of MIN_SUPPORT at least. All its
 occurrences in all documents become spans of the kind "term". sanitise() puts placeholders in the place of base spans,
 generalises terms that disclose several entities and removes those that disclose one.
 
-Pairs are counted in documents with entities alone; df(t) then only for terms of pairs that may reach the thresholds,
-which a Bloom filter of fixed size picks out of all texts.
+Pairs are counted in documents with entities alone. P(e | t) >= p bounds df(t) by n(t, e) / p <= df(e) / p, so more frequent
+words meet no entity. Entities, and terms, that stand in the same documents are one class there: a page of thousands of
+addresses is one pair of classes, not the product of its words and addresses. df(t) is then counted over all texts for the
+terms of such pairs, which a Bloom filter sized by their number picks out.
 
 Defined results: a null or empty text has no spans (base_sha256 is that of the empty string); repeated rows give
-repeated results and count as documents of their own; an empty table gives an empty table; other columns are not
+repeated results and count as one document; an empty table gives an empty table; other columns are not
 looked at.
 """
 
@@ -26,11 +30,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chimerant.llm.common import cut, join_hot
+from chimerant.llm.common import components, cut, join_hot
 
-MIN_SUPPORT, MIN_DISCLOSURE, MIN_BITS = 2, 0.5, 4.0
-#: Bits used of a word of the filter of terms, its words, and the bits of a term.
-BITS, MARKS, HASHES = 63, 1 << 16, 3
+MIN_SUPPORT, MIN_DISCLOSURE, MIN_BITS = 3, 0.5, 4.0
+#: Bits used of a word of the filter of terms, its least and most words (16 MB), the bits that a term has of its own, and those it sets.
+BITS, LEAST_MARKS, MOST_MARKS, OWN_BITS, HASHES = 63, 1 << 12, 1 << 21, 32, 3
+#: Words of a hashed run, and hashes of a text's sketch.
+RUN, SKETCH = 5, 8
 #: Words of a text whose places are summed up together.
 CHUNK = 500
 
@@ -132,18 +138,22 @@ def _terms(located: DataFrame, marks: DataFrame | None = None) -> DataFrame:
 
 def _bit(term: Column, k: int) -> tuple[Column, Column]:
     """The word of the marks, and the place in it, of a term's bit number k."""
-    at = F.pmod(F.xxhash64(term, F.lit(k)), F.lit(BITS * MARKS))
+    at = F.pmod(F.xxhash64(term, F.lit(k)), F.col("n_marks") * BITS)
     return F.floor(at / BITS).cast("int"), (at % BITS).cast("int")
 
 
 def _marked(terms: DataFrame) -> DataFrame:
-    """One row with `marks`: a Bloom filter of BITS * MARKS bits, HASHES of them for each term. All terms pass, others
-    seldom: it saves work, and decides nothing. Its size is fixed, whatever the number of terms."""
+    """One row with `marks` and their number, `n_marks`: a Bloom filter of OWN_BITS bits for each term, HASHES of which it sets. All
+    terms pass, others seldom: it saves work, and decides nothing. MOST_MARKS bounds what is broadcast."""
+    words = LEAST_MARKS
+    while words < MOST_MARKS and words * BITS < OWN_BITS * terms.count():
+        words *= 2
+    sized = terms.withColumn("n_marks", F.lit(words))
     each = F.array(*(F.struct(word.alias("id"), place.alias("place")) for word, place in (_bit(F.col("term"), k) for k in range(HASHES))))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.place"))
-    set_bits = terms.select(F.explode(each).alias("x")).select("x.id", bit.alias("b")).groupBy("id").agg(F.bit_or("b").alias("b"))
-    every = terms.sparkSession.range(MARKS).join(set_bits, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("all"))
-    return cut(every.select(F.transform("all", lambda x: x["b"]).alias("marks")), "pii-marks")
+    set_bits = sized.select(F.explode(each).alias("x")).select("x.id", bit.alias("b")).groupBy("id").agg(F.bit_or("b").alias("b"))
+    every = terms.sparkSession.range(words).join(set_bits, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("all"))
+    return cut(every.select(F.transform("all", lambda x: x["b"]).alias("marks"), F.lit(words).alias("n_marks")), "pii-marks")
 
 
 def _is_marked(term: Column) -> Column:
@@ -151,22 +161,58 @@ def _is_marked(term: Column) -> Column:
     return reduce(lambda a, b: a & b, bits)
 
 
+def sketch(text: Column, run: int = RUN, size: int = SKETCH) -> Column:
+    """The smallest hashes of a text's runs of words, ascending; shorter texts have fewer, or none."""
+    hashes = F.transform(F.filter(F.split(F.lower(text), SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
+    runs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - run), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(run))))
+    # An array of one, so that the words are hashed once and not in each run again.
+    return F.flatten(F.transform(F.array(hashes), lambda h: F.when(F.size(h) >= run, F.slice(F.array_sort(F.array_distinct(runs(h))), 1, size)).otherwise(F.array().cast("array<bigint>"))))
+
+
+def representatives(located: DataFrame) -> DataFrame:
+    """(uid): one row of each class of equal and nearly equal texts, the one of the smallest hash, whatever copies there are.
+
+    Nearly equal texts share two hashes that are neighbours in their sketches, most of which an edit leaves alone; classes are
+    the components of that. Texts of fewer than two runs are equal or different."""
+    texts = cut(located.groupBy(F.xxhash64("text").alias("th")).agg(F.min("uid").alias("uid")), "pii-texts")
+    sketched = located.join(texts, "uid", "left_semi").select(F.xxhash64("text").alias("th"), sketch(F.col("text")).alias("s"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.xxhash64(F.element_at("s", i), F.element_at("s", i + 1)))
+    bands = cut(sketched.filter(F.size("s") > 1).select("th", F.explode(pairs).alias("band")), "pii-bands")
+    first = cut(bands.groupBy("band").agg(F.min("th").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "pii-first")
+    near = components(join_hot(bands, first, "band", "k").select("a", F.col("th").alias("b")).filter("a <> b").distinct(), "pii-classes")
+    return cut(texts.join(near.filter("node <> comp").select(F.col("node").alias("th")), "th", "left_anti").select("uid"), "pii-representatives")
+
+
+def _same_rows(rows: DataFrame, of: str, *more: Column) -> DataFrame:
+    """Of rows (uid, `of`): (`of`, n, a, b); those with equal n, a and b stand in the same rows."""
+    return rows.groupBy(of).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("uid")).alias("a"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("b"), *more)
+
+
 def disclosing(located: DataFrame, support: int = MIN_SUPPORT, disclosure: float = MIN_DISCLOSURE, bits: float = MIN_BITS) -> DataFrame:
-    """(entity, term, n_t, p, pmi): the pairs that exceed the thresholds, from _located(), stored.
+    """(term, n_t, entities): the terms that exceed the thresholds, the texts that hold them, and how many entities they disclose.
 
-    Pairs are counted first, then the documents of the terms in pairs that may still reach the thresholds."""
+    located: rows of _located(), stored, one for each class of texts."""
     held = located.filter(F.size("base") > 0).select("uid", F.explode("base").alias("s")).select("uid", entity_of(F.col("s")).alias("entity")).distinct()
-    entities = cut(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support), "pii-entities")
-    held = cut(join_hot(held, entities, "entity", "n_e").select("uid", "entity", "n_e"), "pii-held")
+    held = cut(held, "pii-held")
+    entities = cut(_same_rows(held, "entity").filter(F.col("n") >= support), "pii-entities")
+    groups = entities.groupBy("n", "a", "b").agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("entities"))
+    groups = cut(groups.select("entity", F.col("n").alias("n_e"), "entities"), "pii-entity-classes")
+    held = cut(join_hot(held, groups, "entity", "n_e").select("uid", "entity", "n_e", "entities"), "pii-held-classes")
     n = located.count()
     pmi = lambda n_t: F.log2(F.col("n_te") * F.lit(n) / (n_t * F.col("n_e")))
-    near = _terms(located.join(held.select("uid").distinct(), "uid", "left_semi"))
-    counted = near.join(held, "uid").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"))
-    # A term has n_te documents at least.
+    most = (groups.agg(F.max("n_e")).first()[0] or 0) / disclosure
+    near = cut(_terms(located.join(held.select("uid").distinct(), "uid", "left_semi")), "pii-near")
+    terms = cut(_same_rows(near, "term").filter(F.col("n").between(support, most)), "pii-near-terms")
+    classes = cut(terms.groupBy("n", "a", "b").agg(F.min("term").alias("of")), "pii-term-classes")
+    named = cut(terms.join(classes, ["n", "a", "b"]).select("term", "of"), "pii-term-names")
+    rows = near.join(classes.select(F.col("of").alias("term")), "term", "left_semi")
+    counted = rows.join(held, "uid").groupBy("entity", F.col("term").alias("of")).agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"), F.first("entities").alias("entities"))
+    # A term has n_te texts at least.
     counted = cut(counted.filter((F.col("n_te") >= support) & (pmi(F.col("n_te")) >= bits)), "pii-counted")
-    df = cut(_terms(located, _marked(counted.select("term").distinct())).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-df")
-    scored = counted.join(df, "term").withColumns({"p": F.col("n_te") / F.col("n_t"), "pmi": pmi(F.col("n_t"))})
-    return scored.filter((F.col("p") >= disclosure) & (F.col("pmi") >= bits)).select("entity", "term", "n_t", "p", "pmi")
+    wanted = cut(named.join(counted.select("of").distinct(), "of", "left_semi"), "pii-wanted")
+    df = cut(_terms(located, _marked(wanted.select("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-df")
+    scored = counted.join(wanted, "of").join(df, "term").filter((F.col("n_te") / F.col("n_t") >= disclosure) & (pmi(F.col("n_t")) >= bits))
+    return scored.groupBy("term").agg(F.first("n_t").alias("n_t"), F.sum("entities").alias("entities"))
 
 
 def _places(words: Column) -> Column:
@@ -196,7 +242,8 @@ def _occurrences(located: DataFrame, found: DataFrame) -> DataFrame:
     places = rows.select("uid", F.explode(_places(F.col("words"))).alias("x")).select("uid", "x.start", "x.end", "x.term")
     places = cut(places, "pii-places")
     span = F.struct("start", F.lit(4).alias("kind"), "end", "entities")
-    return join_hot(places, found, "term", "n_t").groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    counts = cut(places.groupBy("term").agg(F.count(F.lit(1)).alias("k")).join(found, "term"), "pii-term-places")  # places are of all rows, copies too
+    return join_hot(places, counts, "term", "k").groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame, support: int = MIN_SUPPORT, disclosure: float = MIN_DISCLOSURE, bits: float = MIN_BITS, keyed: bool = False) -> DataFrame:
@@ -204,8 +251,8 @@ def find_personal_data(docs: DataFrame, support: int = MIN_SUPPORT, disclosure:
 
     keyed: docs already has uid, a key."""
     located = cut(_located(docs if keyed else _keyed(docs)), "pii")
-    pairs = disclosing(located, support, disclosure, bits)
-    found = cut(pairs.groupBy("term").agg(F.first("n_t").alias("n_t"), F.count(F.lit(1)).alias("entities")), "pii-terms")
+    once = cut(located.join(representatives(located), "uid", "left_semi"), "pii-once")
+    found = cut(disclosing(once, support, disclosure, bits), "pii-terms")
     terms = _occurrences(located, found)
     return located.select("uid", "doc_id", "base").join(terms, "uid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,entities:bigint>>")))
 
