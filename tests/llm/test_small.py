@@ -280,6 +280,21 @@ def test_components(spark):
     assert {(r.node, r.comp) for r in common.components(e).collect()} == {(3, 3), (4, 3), (5, 3), (9, 3), (7, 7), (8, 7)}
 
 
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default):
+            return None
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster())
+
+
 def test_decontamination_of_a_common_item(spark):
     item = "alpha beta gamma delta eps zeta eta theta iota kappa. The answer is mu."
     own = lambda k, a, b: " ".join(f"d{k}x{i}" for i in range(a, b))
@@ -449,7 +464,7 @@ def _leaks(docs, bench):
 
 @pytest.mark.parametrize("block,rounds", [(256, 4), (3, 1)])
 def test_decontamination_recall(spark, monkeypatch, block, rounds):
-    """Paraphrases against brute force, in one round and in many; the latent search alone finds nine of ten at least."""
+    """Paraphrases against brute force, in one round and in many: the latent search finds nine of ten at least, and nothing else; without it nothing is found."""
     import random
 
     monkeypatch.setattr(decontam, "BLOCK_PASSAGES", block)
@@ -472,10 +487,12 @@ def test_decontamination_recall(spark, monkeypatch, block, rounds):
     want = _leaks([d for d in docs if d[0] != 502], bench)
     table = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1L AS item", "'x' AS answer", "2 AS lcs")
     got = decontam.decontaminate(table, spark.createDataFrame(bench, "item_id long, text string")).collect()
-    assert len(got) == len(docs) and {x.doc_id for x in got if x.contaminated} - {502} == want.keys()
+    hit = {x.doc_id for x in got if x.contaminated} - {502}
+    assert len(got) == len(docs) and hit <= want.keys() and len(hit) >= 0.9 * len(want)
     assert all(x.item_id in want[x.doc_id] for x in got if x.contaminated and x.doc_id != 502)
     hits = [x for x in got if x.contaminated]
-    assert sum(x.cosine >= decontam.MIN_COSINE for x in hits) >= 0.9 * len(hits) > 30
+    assert all(x.cosine >= decontam.MIN_COSINE for x in hits) and len(hits) > 30
+    assert not any(x.contaminated for x in decontam.decontaminate(table, spark.createDataFrame(bench, "item_id long, text string"), min_cosine=9.0).collect())
     empty = decontam.decontaminate(table.limit(0), spark.createDataFrame(bench, "item_id long, text string"))
     assert empty.count() == 0
     kept = decontam.filter_documents(table, spark.createDataFrame(bench, "item_id long, text string"))
