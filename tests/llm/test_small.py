@@ -507,7 +507,8 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
     if not os.path.isdir(sf):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    for t in ("pages", "documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, sf).select(*want.columns)
     rows = by_text(got)
