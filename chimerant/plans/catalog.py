@@ -15,6 +15,7 @@ from chimerant.functions import text as tx
 from chimerant.functions import vectors as vec
 from chimerant.operators import graph, joins, packing, ranges, sets, shuffling, windows
 from chimerant.operators import vectors as search_ops
+from chimerant.operators.storage import stored
 from chimerant.plans import scoring
 from chimerant.sources import writers
 
@@ -409,7 +410,7 @@ STEPS_SQL = GRAPH_SQL + ", s0 AS (SELECT vec_id AS node, CASE WHEN label = 1 THE
 def _diffused(t: Tables) -> DataFrame:
     y = (F.col("label") == 1).cast("double")
     s = t.embeddings.select(F.col("vec_id").alias("node"), y.alias("y"), y.alias("s"))
-    p = graph.row_stochastic(_graph(t))
+    p = stored(graph.row_stochastic(_graph(t)), "graph")  # once, not once for each step
     for _ in range(3):
         s = graph.step(p, s, 0.9)
     return s

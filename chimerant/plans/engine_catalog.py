@@ -15,7 +15,7 @@ from chimerant.config import DOMAIN_COLUMNS, Config
 from chimerant.functions import text as tx
 from chimerant.operators.ranges import numbered
 from chimerant.operators.storage import shared_folder
-from chimerant.plans import assemble, comparison, events, expression, features, lookups, peptides, raster, retrieval, scoring
+from chimerant.plans import assemble, comparison, embedding, events, expression, features, lookups, peptides, raster, retrieval, scoring
 from chimerant.plans.catalog import QUERIES, SQL, Tables, until_converged
 from chimerant.sources import matrix, tables, writers
 from chimerant.sources.writers import FRAGMENTS
@@ -371,7 +371,7 @@ def gtf_reader(spark, sf_dir):
 
 @query(" SELECT 'P' || (transcript_id) AS protein_id, 'T' || (transcript_id) AS transcript_id, peptide_sequence FROM pep", "pep")
 def fasta_reader(spark, sf_dir):
-    """SRC-13, DOM-19: records of several lines written and read as the peptide lookup."""
+    """SRC-11, SRC-12, DOM-19: records of several lines written and read as the peptide lookup."""
     p = made(Tables(spark, sf_dir), "pep")
     record = F.concat(F.lit(">"), "protein_id", F.lit(".1 pep transcript:T"), F.col("transcript_id").cast("string"), F.lit(".3 x\n"), F.substring("peptide_sequence", 1, 4), F.lit("\n"), F.expr("substring(peptide_sequence, 5)"))
     return lookups.fasta_lookups(tables.read_fasta(spark, written(p.select(record.alias("value")), "fasta")))["peptide_lookup"].select("protein_id", "transcript_id", "peptide_sequence")
@@ -390,7 +390,7 @@ def event_reader(spark, sf_dir):
 
 @query(" SELECT 'q' || c_custkey AS query, 'IPR' || (c_custkey % 9) AS accession, c_mktsegment AS name FROM customer WHERE c_custkey % 4 > 0", "frag")
 def annotator_reader(spark, sf_dir):
-    """SRC-17, SRC-23: columns 1, 12 and 13 of an annotator's lines, those without accession left out."""
+    """SRC-16: columns 1, 12 and 13 of an annotator's lines, those without accession left out."""
     c = Tables(spark, sf_dir).customer
     cells = [F.concat(F.lit("q"), "c_custkey"), *(F.lit("x"),) * 10, F.when(F.col("c_custkey") % 4 > 0, F.concat(F.lit(" IPR"), F.col("c_custkey") % 9)).otherwise(""), "c_mktsegment", F.lit("-"), F.lit("-")]
     return tables.read_annotator(spark, written(c.select(F.concat_ws("\t", *cells).alias("value")), "annotator"))
@@ -398,7 +398,7 @@ def annotator_reader(spark, sf_dir):
 
 @query(" SELECT upper(trim(c_mktsegment)) AS symbol FROM customer GROUP BY 1", "frag")
 def symbol_reader(spark, sf_dir):
-    """SRC-24: a list of symbols, in upper case, once each."""
+    """SRC-18: a list of symbols, in upper case, once each."""
     return tables.read_symbols(spark, written(Tables(spark, sf_dir).customer.select(F.concat(F.lit(" "), F.lower("c_mktsegment")).alias("value")), "symbols"))
 
 
@@ -578,3 +578,73 @@ def stream_latest(spark, sf_dir):
     folder = _folder(spark, "latest")
     intake.keep_latest(stream, folder, ["user_id"], ["ts", "event_id"], _folder(spark, "checkpoint")).awaitTermination()
     return intake.latest(spark, folder, stream.schema).select("user_id", "event_id", "event_type")
+
+
+@query(" SELECT 'list' AS layout, row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, NULL AS window_id, CASE s_suppkey % 4 WHEN 0 THEN 'IPR' || s_suppkey WHEN 1 THEN 'ipr' || s_suppkey WHEN 2 THEN 'PF' || s_suppkey ELSE '.' END AS ipr_id, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS ipr_name FROM supplier UNION ALL SELECT 'windows', row_number() OVER (ORDER BY s_suppkey) - 1, 'w' || s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN '.' ELSE 'IPR' || s_nationkey END, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END FROM supplier", "frag")
+def index_metadata(spark, sf_dir):
+    """SRC-17, JSN-01: metadata of an index in both layouts, with their other key names, written as JSON and read."""
+    s = Tables(spark, sf_dir).supplier
+    key, name = F.col("s_suppkey").cast("string"), F.col("s_name")
+    kind, ipr = F.col("s_suppkey") % 4, lambda prefix: F.concat(F.lit(prefix), key)
+    item = F.struct(F.when(kind == 0, ipr("IPR")).alias("IPR"), F.when(kind == 1, ipr("ipr")).alias("ipr"), F.when(kind == 2, ipr("PF")).alias("signature_accession"), F.when(F.col("s_suppkey") % 3 == 1, name).alias("name"), F.when(F.col("s_suppkey") % 3 == 2, name).alias("ipr_desc"))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", c.alias("x")))), lambda e: e["x"])
+    with_case = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        listed = written(s.agg(F.to_json(ordered(item)).alias("value")), "metadata")
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", with_case)
+    object_ = written(s.agg(F.to_json(F.struct(F.lit("m").alias("model"), ordered(F.concat(F.lit("w"), key)).alias("windows"))).alias("value")), "metadata")
+    windows = s.filter("s_suppkey % 5 > 0").select(F.concat(F.lit("w"), key).alias("window_id"), F.concat(F.lit("IPR"), F.col("s_nationkey").cast("string")).alias("ipr_id"), name.alias("ipr_name"))
+    read = lambda path, w: tables.read_index_metadata(spark, path, w).select("pos", "window_id", "ipr_id", "ipr_name")
+    found = read(listed, None).withColumn("layout", F.lit("list")).union(read(object_, windows).withColumn("layout", F.lit("windows")))
+    return found.select("layout", F.col("pos").cast("bigint").alias("pos"), "window_id", "ipr_id", "ipr_name")
+
+
+@query(" SELECT protein_id, CAST(CASE WHEN start_ % 3 = 0 THEN NULL ELSE start_ END AS VARCHAR) AS start_, end_, CASE WHEN ipr_id = '-' THEN NULL ELSE ipr_id END AS ipr_id FROM hits", "hits")
+def hits_table(spark, sf_dir):
+    """SNK-01, SRC-09, SRC-10: a table written with its suffix forced, and read as texts with `.` and `-` as null."""
+    h = made(Tables(spark, sf_dir), "hits").select("protein_id", F.when(F.col("start") % 3 == 0, ".").otherwise(F.col("start").cast("string")).alias("start"), "end", "ipr_id")
+    path = writers.save_table(h, _folder(spark, "hits") + ".csv", single=False)
+    return tables.read_hits(spark, path).withColumn("start", F.col("start").cast("string")).withColumnsRenamed({"start": "start_", "end": "end_"})
+
+
+LETTERS = "ACDEFGHIKL"
+
+
+class LetterModel:
+    """A protein model for queries: a residue's vector marks its letter."""
+
+    def __call__(self, sequences):
+        import numpy as np
+
+        out = np.zeros((len(sequences), max(map(len, sequences), default=0) + 2, len(LETTERS)), np.float32)
+        for i, s in enumerate(sequences):
+            for j, c in enumerate(s):
+                out[i, j + 1, LETTERS.find(c)] = c in LETTERS
+            out[i, len(s) + 1 :] = 9  # what lies behind a sequence must not count
+        return out
+
+
+def _share_sql(s: str) -> str:
+    """SQL of the share of each letter in a sequence."""
+    return f"list_transform(string_split_regex('{LETTERS}', ''), lambda c: (length({s}) - length(replace({s}, c, ''))) / CAST(length({s}) AS DOUBLE))"
+
+
+@query(f", h AS (SELECT split_part(protein_id, '.', 1) AS protein_id, start_, end_, coalesce(signature_accession, 'NA') AS s FROM hits WHERE end_ - start_ + 1 BETWEEN 30 AND 600), w AS (SELECT DISTINCT h.protein_id || ':' || start_ || '-' || end_ || ':' || s AS window_id, substr(sequence, CAST(greatest(1, start_ - 32) AS INT), CAST(least(length(sequence), end_ + 32) - greatest(1, start_ - 32) + 1 AS INT)) AS part FROM h JOIN proteins p ON p.protein_id = h.protein_id WHERE least(length(sequence), end_ + 32) >= greatest(1, start_ - 32)) SELECT window_id, i, round(x, 4) AS x FROM (SELECT window_id, unnest({_share_sql('part')}) AS x, CAST(unnest(range({len(LETTERS)})) AS INT) AS i FROM w)", "hits", "proteins")
+def window_vectors(spark, sf_dir):
+    """ML-02, ML-03, ARR-04: windows embedded by a model of residues, pooled over their own residues, not normalised."""
+    t = Tables(spark, sf_dir)
+    h = made(t, "hits").filter("end - start + 1 BETWEEN 30 AND 600")
+    windows = retrieval.domain_windows(h, made(t, "proteins")).filter("length(sequence) > 0").dropDuplicates(["window_id"])
+    found = retrieval.embed_windows(windows, embedding.Pooled(LetterModel, exact=True))
+    return found.select("window_id", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 4))
+
+
+@query(f", q AS (SELECT c_custkey AS id, repeat('{LETTERS}', CAST(c_custkey % 300 + 1 AS INT)) || repeat('A', CAST(c_nationkey * 20 AS INT)) AS s FROM customer), p AS (SELECT id, s, unnest(CASE WHEN length(s) > 1500 THEN range(0, greatest(0, CAST(ceil((length(s) - 1200) / 800.0) AS BIGINT)) + 1) ELSE [0] END) AS k FROM q), v AS (SELECT id, CASE WHEN length(s) > 1500 THEN substr(s, CAST(k * 800 + 1 AS INT), 1200) ELSE s END AS part FROM p), e AS (SELECT id, unnest({_share_sql('part')}) AS x, unnest(range({len(LETTERS)})) AS i FROM v), m AS (SELECT id, i, avg(x) AS x FROM e GROUP BY ALL) SELECT id, CAST(i AS INT) AS i, round(x / n, 4) AS x FROM m JOIN (SELECT id, sqrt(sum(x * x)) AS n FROM m GROUP BY 1) USING (id)", "frag")
+def whole_vectors(spark, sf_dir):
+    """ML-01, ARR-01, ARR-04: sequences embedded whole, very long ones as the mean of their windows, of unit length."""
+    c = Tables(spark, sf_dir).customer
+    q = c.select(F.col("c_custkey").alias("id"), F.concat(F.repeat(F.lit(LETTERS), (F.col("c_custkey") % 300 + 1).cast("int")), F.repeat(F.lit("A"), (F.col("c_nationkey") * 20).cast("int"))).alias("s"))
+    found = retrieval.embed_whole(q, ["id"], "s", embedding.Pooled(LetterModel, exact=True), CFG)
+    return found.select("id", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 4))
