@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chimerant.config import Config
-from chimerant.operators.storage import shared_folder
+from chimerant.operators import storage
 from chimerant.plans import comparison, embedding, events, features, lookups, peptides, plots, retrieval, run as whole, scoring
 from chimerant.sources import matrix, tables, writers
 
@@ -90,7 +90,7 @@ def _domains(spark, df, a):
         return retrieval.by_annotator(df, lambda _: tables.read_annotator(spark, a.annotations))
     if a.annotator:
         words = shlex.split(a.annotator)
-        ledger = f"{shared_folder(spark)}/annotator-{writers.stem_of(a.input)}"
+        ledger = f"{storage.shared_folder(spark)}/annotator-{writers.stem_of(a.input)}"
         return retrieval.by_annotator(df, retrieval.command_annotator(lambda fasta, out: [w.format(fasta=fasta, out=out) for w in words], ledger))
     if a.ips:
         raise SystemExit("--ips needs --annotations or --annotator")
@@ -166,6 +166,13 @@ def rebuild_index(spark: SparkSession, a: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    try:
+        return execute(spark, a)
+    finally:
+        storage.clear(spark)  # what a command leaves is in its output folder
+
+
+def execute(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "run":
         names = ("peptide_lookup", "cds_lookup", "all_features_lookup", "mane_lookup", "next_gene_lookup")
         found = {n: spark.read.parquet(f"{a.lookups}/{n}") for n in names}

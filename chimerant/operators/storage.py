@@ -18,9 +18,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/chimerant-{spark.sparkContext.applicationId}"
 
 
+#: Paths of the tables that this driver has made and not yet removed.
+_MADE: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table, read again: what follows plans over the table, not over df's own plan."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -32,16 +37,30 @@ def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    path = f"{shared_folder(spark)}/{table}"
+    _MADE.append(path)
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if spark.catalog.tableExists(name := folder.rsplit("/", 1)[1].replace("-", "_")):
+        spark.sql(f"DROP TABLE `{name}`")
+
+
 def removed(df: DataFrame) -> None:
     """Delete the files of a table made here, when nothing will read it again; of a bucketed one the name goes too."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        if spark.catalog.tableExists(name := folder.rsplit("/", 1)[1].replace("-", "_")):
-            spark.sql(f"DROP TABLE `{name}`")
+        _delete(df.sparkSession, folder)
+        _MADE[:] = [m for m in _MADE if m.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that this driver has made and not removed; tells how many. Nothing that reads them may be used after it."""
+    made = list(_MADE)
+    for folder in made:
+        _delete(spark, folder)
+    _MADE.clear()
+    return len(made)

@@ -118,6 +118,37 @@ def test_cosine_lists_equal_brute_force_and_skip(spark, block):
     assert empty.count() == 0
 
 
+def test_stored_tables_are_removed(spark):
+    from pathlib import Path
+
+    from chimerant.operators import storage
+
+    folder = Path(storage.shared_folder(spark).removeprefix("file://"))
+    a, b = storage.stored(spark.range(10), "kept-aside"), storage.bucketed(spark.range(10), "kept-aside", "id")
+    made = [p for p in folder.iterdir() if p.name.startswith(("kept-aside", "kept_aside"))]
+    assert len(made) == 2 and a.count() == b.count() == 10
+    storage.removed(a)
+    assert sum(p.exists() for p in made) == 1
+    assert storage.clear(spark) >= 1 and not any(p.exists() for p in made) and not any(t.name.startswith("kept_aside") for t in spark.catalog.listTables())
+
+
+def test_a_step_moves_no_edges(spark, capsys):
+    """Edges lie where they were put: the only exchange is of partial sums."""
+    from chimerant.operators import storage
+
+    edges = storage.bucketed(spark.range(2_000).selectExpr("id % 97 AS src", "id % 89 AS dst", "0.5D AS w"), "edges", "dst")
+    scores = storage.bucketed(spark.range(97).selectExpr("id AS node", "1D AS y", "1D AS s"), "scores", "node")
+    step = graph.bucketed_step(edges, scores, 0.5)
+    step.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(src") == 1 and "partial_sum" in plan.split("Exchange")[1].split("\n")[1]
+    want = graph.step(edges, scores.select("node", "y", "s"), 0.5).collect()
+    assert sorted((r.node, round(r.s, 9)) for r in step.collect()) == sorted((r.node, round(r.s, 9)) for r in want)
+    local = {r.node: r.s for r in graph._diffuse_local(edges, scores.select("node", "y"), 0.5, 7, 0.0).collect()}
+    far = {r.node: r.s for r in graph.diffuse_bucketed(edges, scores.select("node", "y"), 0.5, 7, 0.0).collect()}
+    assert local.keys() == far.keys() and all(abs(local[n] - far[n]) < 1e-9 for n in local)
+
+
 def test_fasta_marks_inside_headers_and_gzip(spark, tmp_path):
     text = "\n>P1.1 pep transcript:T1.2 description:binding A->B factor\nMK\nLV*\r\n>P2 gene > other transcript:T2\r\nAC\r\n>P3\n>P4 x\nGG"
     (tmp_path / "a.fa").write_bytes(text.encode())
