@@ -174,10 +174,10 @@ def representatives(located: DataFrame) -> DataFrame:
 
     Nearly equal texts share two hashes that are neighbours in their sketches, most of which an edit leaves alone; classes are
     the components of that. Texts of fewer than two runs are equal or different."""
-    texts = cut(located.groupBy(F.xxhash64("text").alias("th")).agg(F.min("uid").alias("uid")), "pii-texts")
-    sketched = located.join(texts, "uid", "left_semi").select(F.xxhash64("text").alias("th"), sketch(F.col("text")).alias("s"))
+    sketched = cut(located.select("uid", F.xxhash64("text").alias("th"), sketch(F.col("text")).alias("s")), "pii-sketches")  # texts themselves don't move
+    texts = cut(sketched.groupBy("th").agg(F.min("uid").alias("uid"), F.first("s").alias("s")), "pii-texts")
     pairs = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.xxhash64(F.element_at("s", i), F.element_at("s", i + 1)))
-    bands = cut(sketched.filter(F.size("s") > 1).select("th", F.explode(pairs).alias("band")), "pii-bands")
+    bands = cut(texts.filter(F.size("s") > 1).select("th", F.explode(pairs).alias("band")), "pii-bands")
     first = cut(bands.groupBy("band").agg(F.min("th").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "pii-first")
     near = components(join_hot(bands, first, "band", "k").select("a", F.col("th").alias("b")).filter("a <> b").distinct(), "pii-classes")
     return cut(texts.join(near.filter("node <> comp").select(F.col("node").alias("th")), "th", "left_anti").select("uid"), "pii-representatives")
@@ -188,20 +188,21 @@ def _same_rows(rows: DataFrame, of: str, *more: Column) -> DataFrame:
     return rows.groupBy(of).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("uid")).alias("a"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("b"), *more)
 
 
-def disclosing(located: DataFrame, support: int = MIN_SUPPORT, disclosure: float = MIN_DISCLOSURE, bits: float = MIN_BITS) -> DataFrame:
+def disclosing(located: DataFrame, once: DataFrame, support: int = MIN_SUPPORT, disclosure: float = MIN_DISCLOSURE, bits: float = MIN_BITS) -> DataFrame:
     """(term, n_t, entities): the terms that exceed the thresholds, the texts that hold them, and how many entities they disclose.
 
-    located: rows of _located(), stored, one for each class of texts."""
-    held = located.filter(F.size("base") > 0).select("uid", F.explode("base").alias("s")).select("uid", entity_of(F.col("s")).alias("entity")).distinct()
-    held = cut(held, "pii-held")
+    located: rows of _located(), stored; once: (uid) of those that are counted."""
+    with_entities = located.filter(F.size("base") > 0)
+    held = with_entities.select("uid", F.explode("base").alias("s")).select("uid", entity_of(F.col("s")).alias("entity")).distinct()
+    held = cut(held.join(once, "uid", "left_semi"), "pii-held")
     entities = cut(_same_rows(held, "entity").filter(F.col("n") >= support), "pii-entities")
     groups = entities.groupBy("n", "a", "b").agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("entities"))
     groups = cut(groups.select("entity", F.col("n").alias("n_e"), "entities"), "pii-entity-classes")
     held = cut(join_hot(held, groups, "entity", "n_e").select("uid", "entity", "n_e", "entities"), "pii-held-classes")
-    n = located.count()
+    n = once.count()
     pmi = lambda n_t: F.log2(F.col("n_te") * F.lit(n) / (n_t * F.col("n_e")))
     most = (groups.agg(F.max("n_e")).first()[0] or 0) / disclosure
-    near = cut(_terms(located.join(held.select("uid").distinct(), "uid", "left_semi")), "pii-near")
+    near = cut(_terms(with_entities.join(held.select("uid").distinct(), "uid", "left_semi")), "pii-near")
     terms = cut(_same_rows(near, "term").filter(F.col("n").between(support, most)), "pii-near-terms")
     classes = cut(terms.groupBy("n", "a", "b").agg(F.min("term").alias("of")), "pii-term-classes")
     named = cut(terms.join(classes, ["n", "a", "b"]).select("term", "of"), "pii-term-names")
@@ -210,7 +211,8 @@ def disclosing(located: DataFrame, support: int = MIN_SUPPORT, disclosure: float
     # A term has n_te texts at least.
     counted = cut(counted.filter((F.col("n_te") >= support) & (pmi(F.col("n_te")) >= bits)), "pii-counted")
     wanted = cut(named.join(counted.select("of").distinct(), "of", "left_semi"), "pii-wanted")
-    df = cut(_terms(located, _marked(wanted.select("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-df")
+    everywhere = _terms(located, _marked(wanted.select("term"))).join(once, "uid", "left_semi")
+    df = cut(everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-df")
     scored = counted.join(wanted, "of").join(df, "term").filter((F.col("n_te") / F.col("n_t") >= disclosure) & (pmi(F.col("n_t")) >= bits))
     return scored.groupBy("term").agg(F.first("n_t").alias("n_t"), F.sum("entities").alias("entities"))
 
@@ -251,8 +253,7 @@ def find_personal_data(docs: DataFrame, support: int = MIN_SUPPORT, disclosure:
 
     keyed: docs already has uid, a key."""
     located = cut(_located(docs if keyed else _keyed(docs)), "pii")
-    once = cut(located.join(representatives(located), "uid", "left_semi"), "pii-once")
-    found = cut(disclosing(once, support, disclosure, bits), "pii-terms")
+    found = cut(disclosing(located, representatives(located), support, disclosure, bits), "pii-terms")
     terms = _occurrences(located, found)
     return located.select("uid", "doc_id", "base").join(terms, "uid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,entities:bigint>>")))
 
