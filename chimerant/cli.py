@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     pages.add_argument("--arriba", "--pages", dest="pages", help="folder of documents of plot pages; needs --renderer and --symbols")
     r.add_argument("--renderer", help="renderer of documents as module:function")
     r.add_argument("--symbols", help="list of gene symbols")
+    r.add_argument("--pictures", action="store_true", help="write pictures of the pages with markers and exons")
     r.add_argument("--out", default="output")
     r.add_argument("--delinter", "--delete-interim", dest="delete_interim", action="store_true")
     g = sub.add_parser("gtf-lookups")
@@ -180,7 +181,7 @@ def execute(spark: SparkSession, a: argparse.Namespace) -> int:
         if a.pages:
             if not a.renderer or not a.symbols:
                 raise SystemExit("plot pages need --renderer and --symbols")
-            coverage, failed = plots.analyse(tables.list_documents(spark, a.pages), embedding.plugin(a.renderer), found["all_features_lookup"], tables.read_symbols(spark, a.symbols))
+            coverage, failed = plots.analyse(tables.list_documents(spark, a.pages), embedding.plugin(a.renderer), found["all_features_lookup"], tables.read_symbols(spark, a.symbols), pictures_in=f"{a.out}/expression/pictures" if a.pictures else None)
             writers.save_table(plots.for_events(coverage), f"{a.out}/expression/coverage.tsv")
             writers.save_json(coverage, f"{a.out}/expression/pages")
             for r in failed.limit(20).collect():
@@ -192,7 +193,7 @@ def execute(spark: SparkSession, a: argparse.Namespace) -> int:
         writers.save_table(result.counts, writers.stage_path(f"{a.out}/final", a.input, "event_counts", "tsv"))
         writers.save_table(result.complete, writers.stage_path(f"{a.out}/final", a.input, "complete_analysis", "tsv"))
         if a.delete_interim:
-            writers.clear_files(f"{a.out}/interim")
+            writers.clear_files(f"{a.out}/interim", spark)
     elif a.command == "stage":
         print(run_stage(spark, a))
     elif a.command in ("gtf-lookups", "fasta-lookups"):

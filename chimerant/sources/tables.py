@@ -53,9 +53,23 @@ def read_strings(spark: SparkSession, path: str, sep: str = "\t", tokens: list[s
     return df.select(*(nulls(F.col(f"`{c}`"), tokens).alias(c) for c in df.columns))
 
 
-def load_table(spark: SparkSession, path: str, required: list[str] | None = None, integers: tuple[str, ...] = ("id", "breakpoint1", "breakpoint2", "start", "end")) -> DataFrame:
+def inferred(df: DataFrame, keep: list[str] = TEXT_COLUMNS) -> DataFrame:
+    """Text columns of which every value is an integer, else a number, else true or false, as such: told by one pass over all rows.
+
+    Columns without values, and those in `keep`, stay text."""
+    texts = [c for c, kind in df.dtypes if kind == "string" and c not in keep]
+    if not texts:
+        return df
+    kinds = ["bigint", "double", "boolean"]
+    fits = lambda c, kind: F.col(f"`{c}`").rlike(r"^(?i:true|false)$") if kind == "boolean" else F.col(f"`{c}`").try_cast(kind).isNotNull() & ~F.col(f"`{c}`").rlike(r"^\s|\s$|[dDfFlL]$")
+    counts = df.agg(*(F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(texts)), *(F.count_if(fits(c, k)).alias(f"{k}{i}") for i, c in enumerate(texts) for k in kinds)).first()
+    chosen = {c: next((k for k in kinds if counts[f"n{i}"] and counts[f"{k}{i}"] == counts[f"n{i}"]), None) for i, c in enumerate(texts)}
+    return df.select(*(F.col(f"`{c}`").try_cast(chosen[c]).alias(c) if chosen.get(c) else F.col(f"`{c}`") for c in df.columns))
+
+
+def load_table(spark: SparkSession, path: str, required: list[str] | None = None, integers: tuple[str, ...] = ("id", "breakpoint1", "breakpoint2", "start", "end"), infer: bool = False) -> DataFrame:
     """A delimited table: separator from the first line (and the other one if that gives a single column), headers in
-    snake case, null tokens, named integer columns, chromosomes as text."""
+    snake case, null tokens, named integer columns, chromosomes as text. infer: all other columns by their values."""
     first = spark.read.text(path).first()
     sep = separator_of(first[0] if first else "")
     df = read_strings(spark, path, sep)
@@ -63,7 +77,7 @@ def load_table(spark: SparkSession, path: str, required: list[str] | None = None
         df = read_strings(spark, path, "," if sep == "\t" else "\t")
     df = df.toDF(*map(snake, df.columns))
     df = df.withColumns({c: F.col(c).try_cast("bigint") for c in integers if c in df.columns and c not in TEXT_COLUMNS})
-    return require(df, required or [])
+    return require(inferred(df) if infer else df, required or [])
 
 
 def load_events(spark: SparkSession, path: str) -> DataFrame:

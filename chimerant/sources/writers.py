@@ -111,9 +111,16 @@ def stage_path(folder: str, name: str, tag: str, suffix: str) -> str:
     return f"{folder}/{bare}_{tag}.{suffix.removeprefix('.')}"
 
 
-def clear_files(folder: str) -> int:
-    """Delete the files below a local folder and keep its folders."""
-    files = [p for p in Path(folder).rglob("*") if p.is_file()]
-    for p in files:
-        p.unlink()
-    return len(files)
+def clear_files(folder: str, spark=None) -> int:
+    """Delete the files below a folder and keep its folders; with a session the folder may be in any store that it reads."""
+    if spark is None:
+        files = [p for p in Path(folder).rglob("*") if p.is_file()]
+        for p in files:
+            p.unlink()
+        return len(files)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store, n = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), 0
+    found = store.listFiles(root, True) if store.exists(root) else None
+    while found is not None and found.hasNext():
+        n += store.delete(found.next().getPath(), False)
+    return n

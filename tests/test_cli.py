@@ -29,6 +29,36 @@ def events(setup):
     return str(setup[0] / "events.csv")
 
 
+def unpng(data):
+    """The pixels of a PNG as it is written here."""
+    import struct
+    import zlib
+
+    assert data.startswith(b"\x89PNG") and data[12:16] == b"IHDR"
+    width, height = struct.unpack(">II", data[16:24])
+    size = struct.unpack(">I", data[33:37])[0]
+    rows = np.frombuffer(zlib.decompress(data[41 : 41 + size]), np.uint8).reshape(height, 1 + 3 * width)
+    assert zlib.crc32(data[37 : 41 + size]) == struct.unpack(">I", data[41 + size : 45 + size])[0] and not rows[:, 0].any()
+    return rows[:, 1:].reshape(height, width, 3)
+
+
+def test_types_are_inferred_from_all_rows(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("Id\tCount\tShare\tflag\ttext\tchromosome1\tempty\tmixed\n1\t5\t0.5\ttrue\tx\t1\tNA\t1\n2\tNA\t1e3\tFALSE\ty\t2\t\t2\n3\t-7\t2\ttrue\t7\t3\tNA\tx1\n")
+    df = tables.load_table(spark, str(tmp_path / "a.tsv"), infer=True)
+    assert dict(df.dtypes) == {"id": "bigint", "count": "bigint", "share": "double", "flag": "boolean", "text": "string", "chromosome1": "string", "empty": "string", "mixed": "string"}
+    assert [tuple(r)[1:4] for r in df.orderBy("id").collect()] == [(5, 0.5, True), (None, 1000.0, False), (-7, 2.0, True)]
+    assert dict(tables.load_table(spark, str(tmp_path / "a.tsv")).dtypes)["count"] == "string"
+
+
+def test_files_of_any_store_are_cleared(spark, tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    for p in ("a/x", "a/b/y"):
+        (tmp_path / p).write_text("z")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.clear.link./in", f"file://{tmp_path}")
+    assert writers.clear_files("viewfs://clear/in/a", spark) == 2 and (tmp_path / "a/b").is_dir() and not list(tmp_path.rglob("[xy]"))
+    assert writers.clear_files(str(tmp_path / "none"), spark) == 0
+
+
 def test_plot_pages_in_a_run(spark, setup, tmp_path):
     d, made, out = setup
     row = tables.load_events(spark, events(setup)).collect()[0]
@@ -46,7 +76,12 @@ def test_plot_pages_in_a_run(spark, setup, tmp_path):
             df = df.replace({"T1": "ENST1", "T2": "ENST2"}, subset=["transcript_id"])
         df.write.parquet(str(tmp_path / "lookups" / name))
     args = ["run", "--input", str(tmp_path / "events.csv"), "--lookups", str(tmp_path / "lookups"), "--positives", str(out / "positives.tsv"), "--ips", "--annotations", str(out / "hits.tsv"), "--out", str(tmp_path / "out")]
-    assert cli.main([*args, "--arriba", str(docs), "--renderer", "tests.opener:pages", "--symbols", str(tmp_path / "symbols.txt"), "--delinter"]) == 0
+    assert cli.main([*args, "--arriba", str(docs), "--renderer", "tests.opener:pages", "--symbols", str(tmp_path / "symbols.txt"), "--delinter", "--pictures"]) == 0
+    pictures = sorted((tmp_path / "out/expression/pictures").glob("*.png"))
+    assert [p.name for p in pictures] == ["a.pdf_0.png", "a.pdf_1.png"]
+    image = unpng(pictures[0].read_bytes())
+    assert image.shape == (84, 597 + 20 + 717, 3)  # both histograms and the gap
+    assert (image[:, 180:182] == (0, 0, 255)).all() and (image[:, 20] == (0, 255, 0)).all() and (image[:, 597:617] == 255).all()
     assert not [p for p in (tmp_path / "out" / "interim").rglob("*") if p.is_file()]
     found = {r.id: r for r in tables.load_table(spark, str(tmp_path / "out/final/events_complete_analysis.tsv")).collect()}
     assert len(found) == 3
