@@ -206,10 +206,10 @@ def disclosing(located: DataFrame, once: DataFrame, support: int = MIN_SUPPORT,
     terms = cut(_same_rows(near, "term").filter(F.col("n").between(support, most)), "pii-near-terms")
     classes = cut(terms.groupBy("n", "a", "b").agg(F.min("term").alias("of")), "pii-term-classes")
     named = cut(terms.join(classes, ["n", "a", "b"]).select("term", "of"), "pii-term-names")
-    rows = near.join(classes.select(F.col("of").alias("term")), "term", "left_semi")
-    counted = rows.join(held, "uid").groupBy("entity", F.col("term").alias("of")).agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"), F.first("entities").alias("entities"))
-    # A term has n_te texts at least.
-    counted = cut(counted.filter((F.col("n_te") >= support) & (pmi(F.col("n_te")) >= bits)), "pii-counted")
+    rows = near.join(classes.select(F.col("of").alias("term"), F.col("n").alias("n_h")), "term")
+    counted = rows.join(held, "uid").groupBy("entity", F.col("term").alias("of")).agg(F.count(F.lit(1)).alias("n_te"), F.first("n_h").alias("n_h"), F.first("n_e").alias("n_e"), F.first("entities").alias("entities"))
+    # A term has n_h texts at least, those with entities; so what fails with these fails with all.
+    counted = cut(counted.filter((F.col("n_te") >= support) & (F.col("n_te") / F.col("n_h") >= disclosure) & (pmi(F.col("n_h")) >= bits)), "pii-counted")
     wanted = cut(named.join(counted.select("of").distinct(), "of", "left_semi"), "pii-wanted")
     everywhere = _terms(located, _marked(wanted.select("term"))).join(once, "uid", "left_semi")
     df = cut(everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-df")
