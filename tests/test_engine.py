@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from chimerant.config import Config
-from chimerant.operators import graph, joins, ranges, sets, sparse, windows
+from chimerant.operators import graph, joins, ranges, sets, sparse
 from chimerant.plans import assemble, comparison, events, expression, features, lookups, peptides, retrieval, run, scoring
 from chimerant.sources import tables, writers
 

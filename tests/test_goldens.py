@@ -17,7 +17,8 @@ from chimerant.plans import assemble, comparison, events, expression, features
 from chimerant.sources import tables, writers
 
 ROOT = Path(os.environ.get("CHIMERANT_GOLDENS", Path(__file__).resolve().parents[2] / "reference" / "output"))
-RUN = "test_file"
+#: The example run is the one whose domains were compared.
+RUN = next((p.name.removesuffix("_comparison_rows.tsv") for p in sorted(ROOT.rglob("*_comparison_rows.tsv"))), "") if ROOT.is_dir() else ""
 pytestmark = pytest.mark.skipif(not ROOT.is_dir(), reason="no folder of published outputs")
 
 
