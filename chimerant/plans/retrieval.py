@@ -14,6 +14,7 @@ from chimerant.config import MISSING, Config
 from chimerant.functions.text import context, present, sliding, unversioned
 from chimerant.functions.vectors import normalised
 from chimerant.operators.sets import union_all
+from chimerant.operators.storage import stored
 from chimerant.operators.vectors import first_unique, search
 from chimerant.plans import batches
 from chimerant.plans.embedding import Embedder, width
@@ -93,7 +94,8 @@ def by_search(events: DataFrame, index: DataFrame, embedder: Embedder, cfg: Conf
     if skip_missing:
         long = long.filter(present(F.col("sequence")))
     long = long.withColumn("query", F.col("id") * 4 + F.element_at(F.create_map(*(x for i, c in enumerate(FRAGMENTS) for x in (F.lit(c), F.lit(i)))), F.col("col")))
-    hits = search(embed_whole(long, ["query"], "sequence", embedder, cfg), index, cfg.top_raw, "query", "pos", metric=cfg.metric, block=cfg.search_block)
+    vectors = stored(embed_whole(long, ["query"], "sequence", embedder, cfg), "fragment-vectors")  # a model runs once over each fragment
+    hits = search(vectors, index, cfg.top_raw, "query", "pos", metric=cfg.metric, block=cfg.search_block)
     named = hits.join(index.select(F.col("pos").alias("item"), "ipr_id", "ipr_name"), "item")
     top = first_unique(named, "ipr_id", cfg.top_unique)
     titles = named.groupBy("query", "ipr_id").agg(F.min_by("ipr_name", "rank").alias("name"))
