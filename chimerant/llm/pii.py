@@ -127,13 +127,20 @@ def _located(docs: DataFrame) -> DataFrame:
     return rows.select("uid", "doc_id", "text", F.array_sort(spans).alias("base"))
 
 
-def _terms(located: DataFrame, marks: DataFrame | None = None) -> DataFrame:
-    """(uid, term) of the words of whole texts that may be terms, each once for a row; with marks only those marked there."""
+def _usable(term: Column) -> Column:
+    return (F.length(term) > 1) & ~term.rlike("[0-9@]")
+
+
+def _terms(located: DataFrame) -> DataFrame:
+    """(uid, term) of the words of whole texts that may be terms, each once for a row."""
     words = F.array_distinct(F.transform(F.split("text", SPACE), term_of))
-    if marks is not None:
-        located = located.join(F.broadcast(marks))
-        words = F.filter(words, _is_marked)
-    return located.select("uid", F.explode(words).alias("term")).filter((F.length("term") > 1) & ~F.col("term").rlike("[0-9@]"))
+    return located.select("uid", F.explode(words).alias("term")).filter(_usable(F.col("term")))
+
+
+def _marked_terms(located: DataFrame, marks: DataFrame) -> DataFrame:
+    """(uid, terms): the marked words of each text, each once, found where the text is."""
+    words = F.filter(F.transform(F.split("text", SPACE), term_of), _is_marked)
+    return located.join(F.broadcast(marks)).select("uid", F.filter(F.array_distinct(words), _usable).alias("terms"))
 
 
 def _bit(term: Column, k: int) -> tuple[Column, Column]:
@@ -211,7 +218,8 @@ def disclosing(located: DataFrame, once: DataFrame, support: int = MIN_SUPPORT,
     # A term has n_h texts at least, those with entities; so what fails with these fails with all.
     counted = cut(counted.filter((F.col("n_te") >= support) & (F.col("n_te") / F.col("n_h") >= disclosure) & (pmi(F.col("n_h")) >= bits)), "pii-counted")
     wanted = cut(named.join(counted.select("of").distinct(), "of", "left_semi"), "pii-wanted")
-    everywhere = _terms(located, _marked(wanted.select("term"))).join(once, "uid", "left_semi")
+    # A row for each text meets the texts that count, not one for each of its words.
+    everywhere = _marked_terms(located, _marked(wanted.select("term"))).join(once, "uid", "left_semi").select(F.explode("terms").alias("term"))
     df = cut(everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "pii-df")
     scored = counted.join(wanted, "of").join(df, "term").filter((F.col("n_te") / F.col("n_t") >= disclosure) & (pmi(F.col("n_t")) >= bits))
     return scored.groupBy("term").agg(F.first("n_t").alias("n_t"), F.sum("entities").alias("entities"))
