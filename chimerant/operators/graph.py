@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chimerant.operators.ranges import numbered, running_totals
-from chimerant.operators.storage import bucketed, removed
+from chimerant.operators.storage import bucketed, removed, stored
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
@@ -38,6 +38,8 @@ def step(p: DataFrame, scores: DataFrame, alpha: float) -> DataFrame:
 
 #: Graphs of so many edges and nodes at most are diffused on the driver: 24 bytes an edge.
 LOCAL_EDGES = 1_000_000
+#: Edges of a bucket of larger ones, as long as there are not more buckets than shuffle partitions.
+BUCKET_EDGES = 500_000
 
 
 def _diffuse_local(p: DataFrame, seeds: DataFrame, alpha: float, max_iterations: int, tolerance: float) -> DataFrame:
@@ -72,6 +74,7 @@ def diffuse(p: DataFrame, seeds: DataFrame, alpha: float = 0.9, max_iterations:
     """Diffusion with restart until the L1 change is below the tolerance: (node, y, s). seeds is (node, y).
 
     Graphs of LOCAL_EDGES at most are diffused on the driver, larger ones by tables."""
+    p = stored(p, "diffusion-graph")  # once, not once for its count and once for its rows
     if p.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES and seeds.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
         return _diffuse_local(p, seeds, alpha, max_iterations, tolerance)
     return diffuse_bucketed(p, seeds, alpha, max_iterations, tolerance)
@@ -80,16 +83,27 @@ def diffuse(p: DataFrame, seeds: DataFrame, alpha: float = 0.9, max_iterations:
 def diffuse_bucketed(p: DataFrame, seeds: DataFrame, alpha: float = 0.9, max_iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """diffuse() by tables: the edges are bucketed once and never move again. Every iterate is a bucketed table in the folder of
     spark.checkpoint.dir, so lineage stays short and lost executors cost one step; the one before it is removed."""
-    edges = bucketed(p.select("src", "dst", "w"), "diffusion_edges", "dst")
-    y = F.col("y").cast("double")
-    scores = bucketed(seeds.select("node", y.alias("y"), y.alias("s")), "diffusion", "node")
-    for _ in range(max_iterations):
-        new = bucketed(bucketed_step(edges, scores, alpha), "diffusion", "node")
-        removed(scores)
-        scores = new
-        if (new.agg(F.sum(F.abs(F.col("s") - F.col("old")))).first()[0] or 0.0) < tolerance:
-            break
-    removed(edges)
+    spark = p.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    p = stored(p.select("src", "dst", "w"), "diffusion-graph")
+    buckets = min(int(before), max(spark.sparkContext.defaultParallelism, -(-p.count() // BUCKET_EDGES)))
+    spark.conf.set("spark.sql.shuffle.partitions", buckets)  # a small graph isn't cut into as many files as a large one
+    try:
+        edges = bucketed(p, "diffusion_edges", "dst")
+        y = F.col("y").cast("double")
+        scores = bucketed(seeds.select("node", y.alias("y"), y.alias("s")), "diffusion", "node")
+        for _ in range(max_iterations):
+            change = Observation()
+            step_ = bucketed_step(edges, scores, alpha).observe(change, F.sum(F.abs(F.col("s") - F.col("old"))).alias("change"))
+            new = bucketed(step_, "diffusion", "node")  # the change is summed as the table is written
+            removed(scores)
+            scores = new
+            if (change.get["change"] or 0.0) < tolerance:
+                break
+        removed(edges)
+        removed(p)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return scores.select("node", "y", "s")
 
 

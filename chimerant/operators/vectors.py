@@ -5,10 +5,13 @@ first: a few pivots are chosen, each vector goes to the cell of its nearest pivo
 distance) into blocks. Of a block only the least and largest distances to each pivot, the largest norm and the number of
 vectors are kept as its summary. By the triangle inequality no vector of a block is nearer to a query than the
 largest gap between the query's own distances to the pivots and the block's; with the norm that bounds inner products too.
-A query is sent to the blocks of the best bounds first, which gives the score that its k-th best has at least, and then to
+A query meets the blocks of the best bounds first, which gives the score that its k-th best has at least, and then
 those that may hold a better one. All others are skipped, which loses nothing.
 
-Blocks are rows of a stored table, queries are sent in chunks, and summaries have a bound in bytes, whatever the index.
+Queries are dealt to a fixed number of chunks and packed blocks to boards; each chunk meets each board in one task, and a
+task keeps k items of a query. So what is moved grows with queries and items, not with their pairs: an index of which bounds
+rule out nothing costs products alone. Only where a chunk or board would have more bytes than a task should hold are there more of
+them. Summaries have a bound in bytes, whatever the index.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from chimerant.operators import ranges
 from chimerant.operators.storage import stored
 
-SHARD_ROWS, BLOCK_ROWS = 16_384, 1_024
+SHARD_ROWS, BLOCK_ROWS, CHUNK_ROWS = 16_384, 1_024, 2_048
 PIVOTS, SUMMARY_BYTES = 32, 64 << 20
+#: The index is sent to so many chunks of queries, as long as a chunk and a board of blocks have no more bytes than these.
+CHUNKS, CHUNK_BYTES, BOARD_BYTES = 24, 64 << 20, 128 << 20
 _HITS = pa.schema([("query", pa.int64()), ("item", pa.int64()), ("score", pa.float64())])
 
 
@@ -34,22 +39,63 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+class _Top:
+    """The k best items of each query so far: best scores first, of equal ones the smaller id."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, k: int, metric: str, exclude_self: bool, digits: int):
+        self.m, self.ids, self.k, self.ip, self.exclude_self, self.digits = vectors, ids, k, metric == "ip", exclude_self, digits
+        self.size = (vectors * vectors).sum(1)
+        self.scores, self.items = np.full((len(vectors), k), -np.inf), np.full((len(vectors), k), np.iinfo(np.int64).max)
+
+    def meet(self, rows: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+        """Queries, by ascending row, meet a block of items."""
+        for at in range(0, len(rows), CHUNK_ROWS):
+            for begin in range(0, len(vectors), BLOCK_ROWS):
+                self._meet(rows[at : at + CHUNK_ROWS], vectors[begin : begin + BLOCK_ROWS], ids[begin : begin + BLOCK_ROWS])
+
+    def _meet(self, rows: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+        found = self.m[rows] @ vectors.T
+        if not self.ip:
+            found *= 2
+            found -= self.size[rows][:, None]
+            found -= (vectors * vectors).sum(1)[None, :]
+        if self.exclude_self:
+            found[self.ids[rows][:, None] == ids[None, :]] = -np.inf
+        least, last = self.scores[rows, -1], self.items[rows, -1]
+        if self.k < len(vectors) and np.isneginf(least).any():  # a block alone has k items: no other can be better
+            with np.errstate(invalid="ignore"):
+                low = np.partition(np.where(np.isfinite(found), found, -np.inf), -self.k, axis=1)[:, -self.k]
+        else:
+            low = least
+        i, j = np.nonzero(found >= (np.maximum(least, low) - 10.0**-self.digits)[:, None])
+        score = np.round(found[i, j], self.digits) + 0.0
+        good = np.isfinite(score) & ((score > least[i]) | ((score == least[i]) & (ids[j] < last[i])))
+        i, j, score = i[good], j[good], score[good]
+        if not len(i):
+            return
+        own = np.unique(i)
+        row = np.concatenate([np.repeat(own, self.k), i])
+        score = np.concatenate([self.scores[rows[own]].ravel(), score])
+        item = np.concatenate([self.items[rows[own]].ravel(), ids[j]])
+        order = np.lexsort((item, -score, row))
+        place = np.arange(len(order)) - np.repeat(np.searchsorted(row[order], own), np.bincount(row[order])[own])
+        kept = order[place < self.k]
+        self.scores[rows[own]], self.items[rows[own]] = score[kept].reshape(-1, self.k), item[kept].reshape(-1, self.k)
+
+    def table(self) -> pa.Table:
+        there = np.isfinite(self.scores)
+        return pa.table([np.repeat(self.ids, there.sum(1)), self.items[there], self.scores[there]], schema=_HITS)
+
+
 def _best(k: int, metric: str, exclude_self: bool, digits: int):
     """The k best items of a block for each query of a chunk."""
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return _HITS.empty_table()
-        m, n = _matrix(a.column("vec")), _matrix(b.column("vec"))
-        qi, xi = a.column("id").to_numpy(), b.column("id").to_numpy()
-        scores = m @ n.T if metric == "ip" else 2 * (m @ n.T) - (m * m).sum(1)[:, None] - (n * n).sum(1)[None, :]
-        scores = np.round(scores, digits) + 0.0
-        if exclude_self:
-            scores[qi[:, None] == xi[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(xi, scores.shape), -scores), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(qi)), order.shape[1])
-        keep = np.isfinite(scores[rows, order.ravel()])
-        return pa.table([qi[rows][keep], xi[order.ravel()][keep], scores[rows, order.ravel()][keep]], schema=_HITS)
+        top = _Top(_matrix(a.column("vec")), a.column("id").to_numpy(), k, metric, exclude_self, digits)
+        top.meet(np.arange(a.num_rows), _matrix(b.column("vec")), b.column("id").to_numpy())
+        return top.table()
 
     return run
 
@@ -69,10 +115,15 @@ def search(queries: DataFrame, index: DataFrame, k: int, query_id: str, index_id
     x = index.filter(F.col(index_vec).isNotNull()).select(F.col(index_id).cast("long").alias("id"), F.col(index_vec).cast("array<double>").alias("vec"))
     if x.count() > SHARD_ROWS:
         return bounded_search(q, x, k, metric, exclude_self, block, digits)[0]
-    chunks = max(1, -(-q.count() // block))
+    chunks = _chunks(q.count(), block, 0)
     left = q.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
     right = x.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    return _top(left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(_best(k, metric, exclude_self, digits), _FOUND), k)
+    return _top(stored(left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(_best(k, metric, exclude_self, digits), _FOUND), "search-hits"), k)
+
+
+def _chunks(asked: int, block: int, width: int) -> int:
+    """Chunks of about `block` queries, CHUNKS at most unless these would be too large for a task."""
+    return max(1, min(-(-asked // block), max(CHUNKS, -(-asked * max(64, width) * 8 // CHUNK_BYTES))))
 
 
 def _distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -107,41 +158,55 @@ class _Summary:
         self.blk, self.n, self.norm = (rows[c].to_numpy() for c in ("blk", "n", "norm"))
         self.lo, self.hi, self.pivots = rows[[f"lo{i}" for i in at]].to_numpy(), rows[[f"hi{i}" for i in at]].to_numpy(), pivots
 
-    def bounds(self, v: np.ndarray, metric: str) -> np.ndarray:
-        """No vector of a block has a better score than this, for each query and block; a hair is added for rounding."""
-        far, gap = _distances(v, self.pivots), np.zeros((len(v), len(self.blk)))
+    def bounds(self, v: np.ndarray, metric: str, here: np.ndarray) -> np.ndarray:
+        """No vector of a block has a better score than this, for each query and each block of a mask; a hair is added for rounding."""
+        lo, hi, norm = self.lo[here], self.hi[here], self.norm[here]
+        far, gap = _distances(v, self.pivots), np.zeros((len(v), len(norm)))
         for i in range(len(self.pivots)):
             d = far[:, i, None]
-            np.maximum(gap, np.maximum(d - self.hi[None, :, i], self.lo[None, :, i] - d), out=gap)
+            np.maximum(gap, np.maximum(d - hi[None, :, i], lo[None, :, i] - d), out=gap)
         size = np.sqrt((v * v).sum(1))[:, None]
-        hair = 1e-9 * (size + self.norm) ** 2 + 1e-12
+        hair = 1e-9 * (size + norm) ** 2 + 1e-12
         near = gap * gap
-        return (-near if metric != "ip" else np.minimum((size * size + self.norm * self.norm - near) / 2, size * self.norm)) + hair
+        return (-near if metric != "ip" else np.minimum((size * size + norm * norm - near) / 2, size * norm)) + hair
 
 
-def _pairs(q: DataFrame, summary: _Summary, k: int, metric: str, digits: int, exclude_self: bool) -> DataFrame:
-    """(id, vec, blk) of the blocks that a query goes to: without a column `least` those of the best bounds that hold k vectors
-    (first = true); with it all others whose bound reaches it."""
-    second = "least" in q.columns
+def _pack(table: pa.Table) -> pa.Table:
+    """A block as one row."""
+    v, ids = _matrix(table.column("vec")), table.column("id").to_numpy()
+    return pa.table([[table.column("blk")[0].as_py()], [ids.tobytes()], [v.tobytes()]], schema=pa.schema([("blk", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary())]))
+
+
+def _by_bounds(summary: _Summary, k: int, metric: str, exclude_self: bool, digits: int):
+    """The k best items of a board of blocks for each query of a chunk, and a row without query: how many pairs were looked at."""
     want, unit = k + exclude_self, 10.0**-digits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                bound = summary.bounds(_matrix(part.column(1)), metric)
-                order = np.argsort(-bound, axis=1, kind="stable")
-                held = np.cumsum(summary.n[order], 1)
-                first = np.zeros(bound.shape, bool)
-                np.put_along_axis(first, order, np.concatenate([np.zeros((len(held), 1)), held[:, :-1]], 1) < want, 1)
-                chosen = first
-                if second:
-                    least = part.column(2).to_numpy(zero_copy_only=False).astype(float)
-                    chosen = ~first & (bound >= (np.where(np.isnan(least), -np.inf, least) - unit)[:, None])
-                i, b = np.nonzero(chosen)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i)), pa.array(summary.blk[b]), pa.array(summary.n[b])], ["id", "vec", "blk", "n"])
-
-    return q.mapInArrow(run, "id long, vec array<double>, blk long, n long")
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return _HITS.empty_table()
+        held = {blk: (np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(v.as_buffer(), np.float64)) for blk, ids, v in zip(b.column("blk").to_pylist(), b.column("ids"), b.column("vecs"), strict=True)}
+        blocks = [(ids, v.reshape(len(ids), -1)) for _, (ids, v) in sorted(held.items())]
+        here = np.isin(summary.blk, list(held))
+        sizes, seen, out = summary.n[here], 0, []
+        for at in range(0, a.num_rows, CHUNK_ROWS):
+            part = a.slice(at, CHUNK_ROWS)
+            v = _matrix(part.column("vec"))
+            top = _Top(v, part.column("id").to_numpy(), k, metric, exclude_self, digits)
+            bound = summary.bounds(v, metric, here)
+            order = np.argsort(-bound, axis=1, kind="stable")
+            before = np.cumsum(sizes[order], 1) - sizes[order]
+            first = np.zeros(bound.shape, bool)
+            np.put_along_axis(first, order, before < want, 1)
+            for second in (False, True):
+                for i, (ids, vectors) in enumerate(blocks):
+                    rows = np.flatnonzero(~first[:, i] & (bound[:, i] >= top.scores[:, -1] - unit) if second else first[:, i])
+                    seen += len(rows) * len(ids)
+                    if len(rows):
+                        top.meet(rows, vectors, ids)
+            out.append(top.table())
+        return pa.concat_tables([*out, pa.table([pa.array([None], pa.int64()), pa.array([seen], pa.int64()), pa.array([None], pa.float64())], schema=_HITS)])
+
+    return run
 
 
 def bounded_search(q: DataFrame, x: DataFrame, k: int, metric: str = "ip", exclude_self: bool = False, chunk: int = 2048, digits: int = 6, rows: int = BLOCK_ROWS, n_pivots: int = PIVOTS) -> tuple[DataFrame, dict[str, int]]:
@@ -153,18 +218,17 @@ def bounded_search(q: DataFrame, x: DataFrame, k: int, metric: str = "ip", exclu
     rows = max(rows, n * 16 * (len(pivots) + 1) // SUMMARY_BYTES)
     table = _laid_out(x, pivots, rows, max(1, min(2_000, n // rows)))
     summary = _Summary(table, pivots)
-
-    def visit(pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
-        pairs = stored(pairs.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(max(1, -(-asked // chunk))))), f"{name}-pairs")
-        items = pairs.select("blk", "chunk").distinct().join(table.select("blk", "id", "vec"), "blk").toDF("blk", "chunk", "id", "vec")
-        hits = pairs.groupBy("blk", "chunk").cogroup(items.groupBy("blk", "chunk")).applyInArrow(_best(k, metric, exclude_self, digits), _FOUND)
-        return stored(_top(hits, k).drop("rank"), name), pairs.agg(F.sum("n")).first()[0] or 0
-
-    some, seen = visit(_pairs(q, summary, k, metric, digits, exclude_self), "search-first")
-    least = some.groupBy("query").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("held")).filter(F.col("held") >= k)
-    known = q.join(least.select(F.col("query").alias("id"), "least"), "id", "left").select("id", "vec", "least")
-    more, also = visit(_pairs(known, summary, k, metric, digits, exclude_self), "search-more")
-    return _top(some.union(more), k), {"pairs": n * asked, "visited": int(seen + also)}
+    width = pivots.shape[1]
+    chunks = _chunks(asked, chunk, width)
+    boards = max(1, -(-n * width * 8 // BOARD_BYTES), min(-(-CHUNKS // chunks), len(summary.blk) // 64))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = q.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(chunks)).cast("int")).withColumn("board", every(boards))
+    packed = table.select("blk", "id", "vec").groupBy("blk").applyInArrow(_pack, "blk long, ids binary, vecs binary")
+    right = packed.withColumn("board", F.pmod(F.xxhash64("blk"), F.lit(boards)).cast("int")).withColumn("chunk", every(chunks))
+    hits = left.groupBy("chunk", "board").cogroup(right.groupBy("chunk", "board")).applyInArrow(_by_bounds(summary, k, metric, exclude_self, digits), _FOUND)
+    hits = stored(hits, "search-hits")
+    seen = hits.filter("query IS NULL").agg(F.sum("item")).first()[0] or 0
+    return _top(hits.filter("query IS NOT NULL"), k), {"pairs": n * asked, "visited": int(seen)}
 
 
 def first_unique(hits: DataFrame, label: str, k: int, by: str = "query") -> DataFrame:
