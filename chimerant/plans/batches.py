@@ -19,6 +19,8 @@ from chimerant.operators.ranges import numbered
 #: Takes (query, sequence) and returns (query, accession, name).
 Annotate = Callable[[pd.DataFrame], pd.DataFrame]
 SIZE, WAVE, TRIES = 5_000, 64, 2
+#: Each wave is a job that reads the ledger, so a run of very many batches has larger waves, not more of them.
+WAVES = 8
 _ROWS = "batch long, query string, accession string, name string, place int, error string"
 
 
@@ -48,13 +50,14 @@ def ledger(queries: DataFrame, folder: str) -> DataFrame | None:
 def _run(annotate: Annotate):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         batch = int(key[0])
-        done = {"batch": batch, "query": None, "accession": None, "name": None, "place": -1, "error": None}
+        columns = ["query", "accession", "name"]
         try:
-            hits = annotate(rows[["query", "sequence"]].sort_values("query", ignore_index=True))
+            hits = annotate(rows[["query", "sequence"]].sort_values("query", ignore_index=True))[columns]
+            cells, error = [hits[c].tolist() for c in columns], None
         except Exception as e:  # noqa: BLE001 - a failed batch is noted and tried again, whatever it was
-            return pd.DataFrame([done | {"error": f"{type(e).__name__}: {e}"[:1000]}])
-        found = hits[["query", "accession", "name"]].assign(batch=batch, place=range(len(hits)), error=None)
-        return pd.concat([pd.DataFrame([done]), found], ignore_index=True)[["batch", "query", "accession", "name", "place", "error"]]
+            cells, error = [[]] * 3, f"{type(e).__name__}: {e}"[:1000]
+        n = len(cells[0])
+        return pd.DataFrame({"batch": [batch] * (n + 1), **{c: [None, *x] for c, x in zip(columns, cells, strict=True)}, "place": range(-1, n), "error": [error] * (n + 1)})
 
     return run
 
@@ -65,6 +68,7 @@ def annotate_in_batches(queries: DataFrame, annotate: Annotate, folder: str, siz
     Each call works on the batches that the ledger lacks. Batches that failed `tries` times in this call end it with an error,
     and stay open for the next call."""
     rows = numbered_queries(queries, folder, size)
+    wave = max(wave, -(-((rows.agg(F.max("batch")).first()[0] or 0) + 1) // WAVES))
     failed: dict[int, tuple[int, str]] = {}
     while True:
         known = ledger(queries, folder)
@@ -72,14 +76,16 @@ def annotate_in_batches(queries: DataFrame, annotate: Annotate, folder: str, siz
         if known is not None:
             open_ = open_.join(known.filter("query IS NULL AND error IS NULL").select("batch"), "batch", "left_anti")
         spent = [b for b, (n, _) in failed.items() if n >= tries]  # batches that have failed here, not data
-        todo = [r.batch for r in (open_.filter(~F.col("batch").isin(spent)) if spent else open_).orderBy("batch").limit(wave).collect()]
-        if not todo:
+        todo = (open_.filter(~F.col("batch").isin(spent)) if spent else open_).orderBy("batch").limit(wave)
+        n, low, high = todo.agg(F.count(F.lit(1)), F.min("batch"), F.max("batch")).first()
+        if not n:
             break
+        own = rows.filter(F.col("batch").between(low, high))  # a wave's batches lie together in the table, which is in order
         number = 0
         while _exists(queries, f"{folder}/wave-{number:06d}"):
             number += 1
         path = f"{folder}/wave-{number:06d}"
-        rows.filter(F.col("batch").isin(todo)).groupBy("batch").applyInPandas(_run(annotate), _ROWS).write.parquet(path)
+        (own if n == high - low + 1 else own.join(F.broadcast(todo), "batch", "left_semi")).groupBy("batch").applyInPandas(_run(annotate), _ROWS).write.parquet(path)
         for r in queries.sparkSession.read.parquet(path).filter("error IS NOT NULL").select("batch", "error").collect():  # a wave's batches at most
             failed[r.batch] = (failed.get(r.batch, (0, ""))[0] + 1, r.error)
     if spent := {b: e for b, (n, e) in failed.items() if n >= tries}:
