@@ -156,7 +156,7 @@ def rebuild_index(spark: SparkSession, a: argparse.Namespace) -> None:
         found = retrieval.domain_windows(retrieval.merge_hits([tables.read_hits(spark, h) for h in a.hits]), proteins)
         found.write.mode("overwrite").parquet(f"{a.out}/windows")
     if not a.index:
-        vectors = retrieval.embed_windows(spark.read.parquet(f"{a.out}/windows"), _embedder(a, True))
+        vectors = retrieval.build_index(spark.read.parquet(f"{a.out}/windows"), _embedder(a, True))
         vectors.write.mode("overwrite").parquet(f"{a.out}/vectors")
         vectors = spark.read.parquet(f"{a.out}/vectors").withColumn("pos", F.col("pos") - 1)  # a matrix counts its rows from 0
         vectors.drop("vec").write.mode("overwrite").parquet(f"{a.out}/metadata")

@@ -660,7 +660,7 @@ def window_vectors(spark, sf_dir):
 @query(f", q AS (SELECT c_custkey AS id, repeat('{LETTERS}', CAST(c_custkey % 300 + 1 AS INT)) || repeat('A', CAST(c_nationkey * 20 AS INT)) AS s FROM customer), p AS (SELECT id, s, unnest(CASE WHEN length(s) > 1500 THEN range(0, greatest(0, CAST(ceil((length(s) - 1200) / 800.0) AS BIGINT)) + 1) ELSE [0] END) AS k FROM q), v AS (SELECT id, CASE WHEN length(s) > 1500 THEN substr(s, CAST(k * 800 + 1 AS INT), 1200) ELSE s END AS part FROM p), e AS (SELECT id, unnest({_share_sql('part')}) AS x, unnest(range({len(LETTERS)})) AS i FROM v), m AS (SELECT id, i, avg(x) AS x FROM e GROUP BY ALL) SELECT id, CAST(i AS INT) AS i, round(x / n, 4) AS x FROM m JOIN (SELECT id, sqrt(sum(x * x)) AS n FROM m GROUP BY 1) USING (id)", "frag")
 def whole_vectors(spark, sf_dir):
     """ML-01, ARR-01, ARR-04: sequences embedded whole, very long ones as the mean of their windows, of unit length."""
-    c = Tables(spark, sf_dir).customer
+    c = Tables(spark, sf_dir).customer.select("c_custkey", "c_nationkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")  # a small file makes long sequences
     q = c.select(F.col("c_custkey").alias("id"), F.concat(F.repeat(F.lit(LETTERS), (F.col("c_custkey") % 300 + 1).cast("int")), F.repeat(F.lit("A"), (F.col("c_nationkey") * 20).cast("int"))).alias("s"))
     found = retrieval.embed_whole(q, ["id"], "s", embedding.Pooled(LetterModel, exact=True), CFG)
     return found.select("id", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 4))
