@@ -559,6 +559,8 @@ def _event_stream(spark, sf_dir: str, files: int = 6):
     n = Tables(spark, sf_dir).events.count()
     files = max(files, n // 1_000_000)
     parts = numbered(ev, ["ts", "event_id"], "n").withColumn("part", F.floor((F.col("n") - 1) * files / n))
+    dealt = _folder(spark, "dealt")
+    parts.drop("n").write.partitionBy("part").parquet(dealt)  # one pass deals all rows; each file below reads its own alone
     for i in range(files):  # written one after the other, so that the stream takes them in that order
         parts.filter(F.col("part") == i).drop("n", "part").coalesce(1).write.parquet(f"{folder}/p{i}")
     return intake.table_stream(spark, f"{folder}/*", ev.schema, files=1)
