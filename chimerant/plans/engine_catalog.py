@@ -562,7 +562,8 @@ def _event_stream(spark, sf_dir: str, files: int = 6):
     dealt = _folder(spark, "dealt")
     parts.drop("n").write.partitionBy("part").parquet(dealt)  # one pass deals all rows; each file below reads its own alone
     for i in range(files):  # written one after the other, so that the stream takes them in that order
-        parts.filter(F.col("part") == i).drop("n", "part").coalesce(1).write.parquet(f"{folder}/p{i}")
+        rows = spark.read.schema(ev.schema).parquet(f"{dealt}/part={i}") if n else ev
+        rows.coalesce(1).write.parquet(f"{folder}/p{i}")
     return intake.table_stream(spark, f"{folder}/*", ev.schema, files=1)
 
 
@@ -628,6 +629,7 @@ def hits_table(spark, sf_dir):
 
 
 LETTERS = "ACDEFGHIKL"
+LETTER_CODES = [ord(c) for c in LETTERS]
 
 
 class LetterModel:
@@ -638,8 +640,8 @@ class LetterModel:
 
         out = np.zeros((len(sequences), max(map(len, sequences), default=0) + 2, len(LETTERS)), np.float32)
         for i, s in enumerate(sequences):
-            for j, c in enumerate(s):
-                out[i, j + 1, LETTERS.find(c)] = c in LETTERS
+            own = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+            out[i, 1 : len(s) + 1] = own[:, None] == LETTER_CODES
             out[i, len(s) + 1 :] = 9  # what lies behind a sequence must not count
         return out
 
@@ -653,8 +655,8 @@ def _share_sql(s: str) -> str:
 def window_vectors(spark, sf_dir):
     """ML-02, ML-03, ARR-04: windows embedded by a model of residues, pooled over their own residues, not normalised."""
     t = Tables(spark, sf_dir)
-    h = made(t, "hits").filter("end - start + 1 BETWEEN 30 AND 600")
-    windows = retrieval.domain_windows(h, made(t, "proteins")).filter("length(sequence) > 0").dropDuplicates(["window_id"])
+    h = made(t, "hits").filter("end - start + 1 BETWEEN 30 AND 600").dropDuplicates(["protein_id", "start", "end", "signature_accession"])  # a window each; sequences don't move for it
+    windows = retrieval.domain_windows(h, made(t, "proteins")).filter("length(sequence) > 0")
     found = retrieval.embed_windows(windows, embedding.Pooled(LetterModel, exact=True))
     return found.select("window_id", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 4))
 
