@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -38,12 +42,13 @@ def step(p: DataFrame, scores: DataFrame, alpha: float) -> DataFrame:
 
 #: Graphs of so many edges and nodes at most are diffused on the driver: 24 bytes an edge.
 LOCAL_EDGES = 1_000_000
-#: Edges of a bucket of larger ones, as long as there are not more buckets than shuffle partitions.
+#: Larger graphs of so many nodes at most are diffused over packed edges, with one number for each node on the driver: 8 bytes a node.
+LOCAL_NODES, PIECE_EDGES = 8_000_000, 250_000
+#: Edges of a bucket of still larger ones, as long as there are not more buckets than shuffle partitions.
 BUCKET_EDGES = 500_000
 
 
 def _diffuse_local(p: DataFrame, seeds: DataFrame, alpha: float, max_iterations: int, tolerance: float) -> DataFrame:
-    import numpy as np
     import pandas as pd
 
     e, s0 = p.select("src", "dst", "w").toPandas(), seeds.select("node", "y").toPandas()
@@ -73,13 +78,90 @@ def bucketed_step(edges: DataFrame, scores: DataFrame, alpha: float) -> DataFram
 def diffuse(p: DataFrame, seeds: DataFrame, alpha: float = 0.9, max_iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """Diffusion with restart until the L1 change is below the tolerance: (node, y, s). seeds is (node, y).
 
-    Graphs of LOCAL_EDGES at most are diffused on the driver, larger ones by tables."""
+    Graphs of LOCAL_EDGES at most are diffused on the driver, larger ones of LOCAL_NODES at most over packed edges, others by tables."""
     p = stored(p, "diffusion-graph")  # once, not once for its count and once for its rows
-    if p.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES and seeds.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+    n_edges, n_nodes = p.count(), seeds.count()
+    if n_edges <= LOCAL_EDGES and n_nodes <= LOCAL_EDGES:
         return _diffuse_local(p, seeds, alpha, max_iterations, tolerance)
+    if n_nodes <= LOCAL_NODES:
+        return _diffuse_packed(p, seeds, alpha, max_iterations, tolerance, n_edges)
     return diffuse_bucketed(p, seeds, alpha, max_iterations, tolerance)
 
 
+def _pack(at):
+    """(src, dst, w) to pieces of about PIECE_EDGES, `at` being the broadcast nodes in order: places of their sources, where each one's edges begin, places of their ends, weights."""
+
+    def piece(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nodes = at.value
+        src, dst, w = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(3))
+        i, j = (np.minimum(np.searchsorted(nodes, x), len(nodes) - 1) for x in (src, dst))
+        known = (nodes[i] == src) & (nodes[j] == dst)
+        i, j, w = i[known], j[known], w[known]
+        order = np.argsort(i, kind="stable")
+        rows, first = np.unique(i[order], return_index=True)
+        columns = [rows.astype(np.int32), first.astype(np.int32), j[order].astype(np.int32), w[order].astype(np.float64)]
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["rows", "first", "dst", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PIECE_EDGES:
+                yield piece(held)
+                held, n = [], 0
+        if n:
+            yield piece(held)
+
+    return run
+
+
+def _diffuse_packed(p: DataFrame, seeds: DataFrame, alpha: float, max_iterations: int, tolerance: float, n_edges: int) -> DataFrame:
+    """The edges are packed once; a step is one job without an exchange: tasks get the scores by broadcast and send back a sum for each source."""
+    sc = p.sparkSession.sparkContext
+    seeds = stored(seeds.select(F.col("node").cast("long").alias("node"), F.col("y").cast("double").alias("y")), "diffusion-seeds")
+    s0 = seeds.toArrow()
+    nodes, y = s0.column("node").to_numpy(), s0.column("y").to_numpy()
+    order = np.argsort(nodes)
+    nodes, y = nodes[order], y[order]
+    parts = max(sc.defaultParallelism, -(-n_edges // (4 * PIECE_EDGES)))
+    at = sc.broadcast(nodes)
+    pieces = stored(p.select("src", "dst", "w").repartition(parts, "src").mapInArrow(_pack(at), "rows binary, first binary, dst binary, w binary"), "diffusion-pieces")
+    removed(p)
+
+    def step_over(s: np.ndarray) -> np.ndarray:
+        sent, total = sc.broadcast(s), np.zeros(len(s))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sums = []
+                for first, dst, w in zip(*(batch.column(c) for c in ("first", "dst", "w")), strict=True):
+                    first, dst, w = np.frombuffer(first.as_buffer(), np.int32), np.frombuffer(dst.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float64)
+                    sums.append((np.add.reduceat(w * sent.value[dst], first) if len(first) else np.zeros(0)).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("rows"), pa.array(sums, pa.binary())], ["rows", "sums"])
+
+        for r in pieces.mapInArrow(run, "rows binary, sums binary").collect():
+            total[np.frombuffer(r["rows"], np.int32)] += np.frombuffer(r["sums"], np.float64)  # a source stands once in a piece
+        sent.destroy()
+        return total
+
+    s = y
+    for _ in range(max_iterations):
+        new = alpha * step_over(s) + (1 - alpha) * y
+        change, s = np.abs(new - s).sum(), new
+        if change < tolerance:
+            break
+    removed(pieces)
+    last = sc.broadcast(s)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = last.value[np.searchsorted(at.value, batch.column(0).to_numpy(zero_copy_only=False))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], ["node", "y", "s"])
+
+    return seeds.mapInArrow(scored, "node long, y double, s double")
+
+
 def diffuse_bucketed(p: DataFrame, seeds: DataFrame, alpha: float = 0.9, max_iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """diffuse() by tables: the edges are bucketed once and never move again. Every iterate is a bucketed table in the folder of
     spark.checkpoint.dir, so lineage stays short and lost executors cost one step; the one before it is removed."""
