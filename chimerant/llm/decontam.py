@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval, then longest common subsequence and answer checks.
 
 1. Words (lower case, hashed into SLOTS) get the weight ln(1 + N / (1 + df)) from the document frequencies of the whole corpus.
-2. Randomised SVD: the rows are the benchmark's passages of PASSAGE words and those of a bounded sample of the corpus
-   (SAMPLE_DOCS documents, SAMPLE_PASSAGES passages each, chosen by hash), the columns the benchmark's words, since no
-   other word moves a cosine's numerator. A range finder and one projection, each a sum over distributed rows, give the
-   latent basis, whose rank stays below half the number of passages: words that stand in the same passages share
-   dimensions. The sample fits the basis alone; frequencies cover the whole corpus, and every document is searched.
+2. Randomised SVD: the rows are all passages of PASSAGE words, the benchmark's and those of all documents, the columns the
+   benchmark's words, since no other word moves a cosine's numerator. One pass, a sum over distributed rows, gives a random
+   sketch of their Gram matrix, and Nystroem's method from that one latent basis, whose rank stays below half the number of passages: words that stand in the same
+   passages share dimensions. The benchmark's rows are scaled to weigh as much together as the documents', or the few would
+   have no dimensions beside the many. Words are hashed once, into a stored table that the frequencies and the fit read.
 3. Every window of WINDOW words, half of it apart, is projected, and the items that have a latent cosine of MIN_COSINE or
    more with it in a passage are candidates there. The cosine is taken over the words that the benchmark knows, so neither
    the words around a passage nor the passage's own frequency in the corpus keep it from being found. No other search finds any: what the basis doesn't bring near is not found
@@ -35,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chimerant.llm.common import cut
+from chimerant.llm.common import cut, drop_table
 
 SLOTS, SLICES = 1 << 18, 64
 WINDOW, PASSAGE = 32, 64
 RANK, EXTRA = 192, 16
 BLOCK_PASSAGES, ROUND = 256, 4
-SAMPLE_DOCS, SAMPLE_PASSAGES = 1_000, 4
+#: Passages of which the fit makes one matrix, and bytes of all partial sums of it.
+TOGETHER, PARTIAL_BYTES = 256, 4 << 30
 MIN_COSINE, MIN_LCS, PARAPHRASE = 0.25, 0.8, 0.6
 
 
@@ -104,60 +105,81 @@ def _slices(v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "v"])
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+def slots_table(texts: DataFrame) -> DataFrame:
+    """(text) to (slots): the slots of each text's words, packed as int32."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [slots_of(words_of(value.as_py())).astype(np.int32).tobytes() for value in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["slots"])
+
+    return texts.select("text").mapInArrow(run, "slots binary")
+
+
+def document_frequencies(slots: DataFrame) -> tuple[np.ndarray, int]:
     """How many documents hold a word of each slot, and how many documents there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(SLOTS + 1), 0
         for batch in batches:
             for value in batch.column(0):
-                found = np.unique(slots_of(words_of(value.as_py())))
-                df[found] += 1
+                df[np.unique(np.frombuffer(value.as_buffer(), np.int32))] += 1
                 n += 1
         df[SLOTS] = n
         yield _slices(df)
 
-    sums = _packed_sum(docs.select("text").mapInArrow(run, "slice int, v binary"), SLOTS + 1)
+    sums = _packed_sum(slots.mapInArrow(run, "slice int, v binary"), SLOTS + 1)
     return sums[:SLOTS], int(sums[SLOTS])
 
 
-def fit_basis(passages: DataFrame, column: np.ndarray, weight: np.ndarray, n_columns: int, rank: int = RANK) -> np.ndarray:
-    """Randomised SVD of the passages (text) over the columns that `column` gives each slot (-1: none): columns x rank."""
+def passage_rows(batch: pa.RecordBatch, column: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(slots, scale) to (columns, rows): weighted passages, of length `scale`, TOGETHER at a time, over the columns that stand in them."""
+    texts, scale = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+    sizes = np.array([len(t) // 4 for t in texts], np.int64)
+    slots = np.frombuffer(b"".join(texts), np.int32)
+    n = -(-sizes // PASSAGE)
+    place = np.arange(len(slots)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row = np.repeat(np.cumsum(n) - n, sizes) + place // PASSAGE
+    w = weight[slots]
+    length = np.sqrt(np.bincount(row, w * w, int(n.sum())))
+    known = (column[slots] >= 0) & (w > 0)
+    row, used, w = row[known], column[slots[known]], w[known]
+    x = (w / length[row] * np.repeat(scale, n)[row]).astype(np.float32)
+    ends = np.searchsorted(row, np.arange(0, int(n.sum()) + TOGETHER, TOGETHER))
+    for k, (begin, end) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        if begin < end:
+            columns, at = np.unique(used[begin:end], return_inverse=True)
+            rows = np.zeros(TOGETHER * len(columns), np.float32)
+            np.add.at(rows, (row[begin:end] - k * TOGETHER) * len(columns) + at, x[begin:end])
+            yield columns, rows.reshape(TOGETHER, -1)
+
+
+def fit_basis(slots: DataFrame, column: np.ndarray, weight: np.ndarray, n_columns: int, rank: int = RANK) -> np.ndarray:
+    """Latent basis of all passages of the texts (slots, scale) over the columns that `column` gives each slot (-1: none): columns x rank.
+
+    G being the product of the transposed passages with themselves and W random, one pass gives Y = G W, and the leading
+    eigenvectors of Y inv(W' Y) Y', Nystroem's approximation of G, are the basis; where r is n_columns it is G itself."""
     r = min(rank + EXTRA, n_columns)
-    sc = passages.sparkSession.sparkContext
-    omega = np.random.default_rng(0).standard_normal((n_columns, r)).astype(np.float32)
-    shared = sc.broadcast((column, weight))
+    sc = slots.sparkSession.sparkContext
+    sketch = np.linalg.qr(np.random.default_rng(0).standard_normal((n_columns, r)))[0].astype(np.float32)
+    shared = sc.broadcast((column, weight, sketch))
+    dealt = slots.coalesce(max(1, PARTIAL_BYTES // (8 * n_columns * r)))  # each task sends a partial sum
 
-    def pass_over(basis: np.ndarray, square: bool) -> np.ndarray:
-        sent = sc.broadcast(basis)
-        size = r * r if square else n_columns * r
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (col, w, b), total = shared.value, np.zeros((n_columns, r))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_024):
+                for columns, rows in passage_rows(batch.slice(at, 1_024), col, w):
+                    total[columns] += rows.T @ (rows @ b[columns])
+        yield _slices(total.ravel())
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (col, w), b = shared.value, sent.value
-            total = np.zeros((r, r) if square else (n_columns, r))
-            for batch in batches:
-                for value in batch.column(0):
-                    s = slots_of(words_of(value.as_py()))
-                    size = np.sqrt((w[s] ** 2).sum())
-                    s = s[col[s] >= 0]
-                    if not len(s) or not size:
-                        continue
-                    x = w[s] / size
-                    y = x @ b[col[s]]
-                    if square:
-                        total += np.outer(y, y)
-                    else:
-                        np.add.at(total, col[s], x[:, None] * y)
-            yield _slices(total.ravel())
-
-        out = _packed_sum(passages.select("text").mapInArrow(run, "slice int, v binary"), size)
-        sent.destroy()
-        return out.reshape((r, r) if square else (n_columns, r))
-
-    q = np.linalg.qr(pass_over(omega, False))[0].astype(np.float32)
-    values, vectors = np.linalg.eigh(pass_over(q, True))
-    top = np.argsort(values)[::-1][:rank]
-    return (q @ vectors[:, top[values[top] > 1e-9]]).astype(np.float32)
+    y = _packed_sum(dealt.mapInArrow(run, "slice int, v binary"), n_columns * r).reshape(n_columns, r)
+    shared.destroy()
+    inner = sketch.T.astype(float) @ y
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    good = values > 1e-6 * max(values.max(), 1e-9)  # what is left below comes from rounding
+    left, sizes, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+    return left[:, :rank][:, sizes[:rank] ** 2 > 1e-9].astype(np.float32)
 
 
 class Searcher:
@@ -247,23 +269,6 @@ def _passages(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", F.posexplode(steps).alias("place", "text"))
 
 
-def _sample(plain: DataFrame) -> DataFrame:
-    """(text): a bounded sample of the corpus's passages, stored."""
-    chosen = plain.select("text", F.xxhash64("doc_id", "text").alias("h")).filter("text IS NOT NULL").orderBy("h").limit(SAMPLE_DOCS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for value, h in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = words_of(value.as_py())
-                places = range(0, len(words), PASSAGE)
-                for i in np.random.default_rng(h & 0xFFFFFFFF).permutation(len(places))[:SAMPLE_PASSAGES]:
-                    out.append(b" ".join(words[places[i] : places[i] + PASSAGE]).decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
-
-    return cut(chosen.mapInArrow(run, "text string"), "lsa-sample")
-
-
 def search(docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, paraphrase: float = PARAPHRASE) -> DataFrame:
     """docs with four more columns: item, lcs, cosine, answer (null where clean)."""
     spark = docs.sparkSession
@@ -271,10 +276,18 @@ def search(docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, min_co
     passages = _passages(benchmark)
     count = passages.count()
     n_blocks = -(-count // BLOCK_PASSAGES)
-    df, n_docs = document_frequencies(plain) if count else (np.zeros(SLOTS), 0)
-    weight = np.log1p(n_docs / (1.0 + df)).astype(np.float32)
-    sample = _sample(plain) if count else None
-    n_sample = sample.count() if count else 0
+    if count:
+        corpus, bench = cut(slots_table(plain), "leak-slots"), slots_table(passages)
+        df, n_docs = document_frequencies(corpus)
+        weight = np.log1p(n_docs / (1.0 + df)).astype(np.float32)
+        known = np.flatnonzero(document_frequencies(bench)[0])
+        columns = np.full(SLOTS, -1, np.int32)
+        columns[known] = np.arange(len(known))
+        n_passages = corpus.agg(F.sum(F.ceil(F.length("slots") / (4 * PASSAGE)))).first()[0] or 0
+        even = float(np.sqrt(max(1, int(n_passages)) / count))
+        rows = corpus.withColumn("scale", F.lit(1.0)).union(bench.withColumn("scale", F.lit(even)))
+        basis = fit_basis(rows, columns, weight, len(known), min(RANK, max(1, (count + int(n_passages)) // 2)))
+        drop_table(corpus)
     at, names = docs.columns.index(text), ["item", "lcs", "cosine", "answer"]
     out = docs.withColumns({n: F.lit(None).cast(t) for n, t in zip(names, ("long", "double", "double", "boolean"), strict=True)})
     schema = T.StructType([*docs.schema.fields, T.StructField("item", T.LongType()), T.StructField("lcs", T.DoubleType()), T.StructField("cosine", T.DoubleType()), T.StructField("answer", T.BooleanType())])
@@ -302,9 +315,7 @@ def search(docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, min_co
             used = np.unique(slots_of([w for _, _, t in block for w in words_of(t)]))
             column = np.full(SLOTS, -1, np.int32)
             column[used] = np.arange(len(used))
-            rank = min(RANK, (len(block) + n_sample) // 2)
-            basis = fit_basis(own.select("text").repartition(4).union(sample), column, weight, len(used), rank)
-            sent.append(spark.sparkContext.broadcast((block, column, weight, basis)))
+            sent.append(spark.sparkContext.broadcast((block, column, weight, basis[columns[used]])))
         done = pass_over(out, sent)
         out = done if begin + ROUND >= n_blocks else cut(done, "leaks")  # the next round's blocks take the place of these
     return out
