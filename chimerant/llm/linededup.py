@@ -9,10 +9,13 @@ is a duplicate of it. The steps:
    leaves one of the two whole. Only lines that share such a half with another line can have a near duplicate. (Lines
    whose length is a power of two, or one less, emit the halves of the neighbouring class as well.) This is a lossless
    filter, without which every line would emit as many variants as it has words.
-3. These lines emit all variants within the bound as hashed keys: themselves and themselves without each one word.
-   Equal variants meet by aggregation, whatever their number: per key the earliest whole line, and per key and place
-   of the deletion the earliest line. A line's partners are the earliest of those that the bound allows.
-4. The edit distance of each line and its partner is verified on the words. If hashes have collided, the line stays.
+3. These lines emit the hashes of themselves without each of GAPS stretches of words, once for the length of the longer
+   line of a pair being their own and once for its being one more: an edit lies in one of the stretches, and all around
+   it is equal. Only lines that share such a hash stay, and only a stretch that is shared can hold the edit (lossless too).
+4. What is left emits the variants within the bound as hashed keys: the line, and the line without each one word of its
+   shared stretches. Equal variants meet by aggregation, whatever their number: per key the earliest whole line, and per
+   key and place of the deletion the earliest line. A line's partners are the earliest of those that the bound allows.
+5. The edit distance of each line and its partner is verified on the words. If hashes have collided, the line stays.
 
 Defined results: lines without words stay as they are and are duplicates of nothing; null texts stay null; rows without
 doc_id stay as they are and remove nothing; rows that share a doc_id are one document with several texts, ordered by
@@ -23,6 +26,7 @@ input stay, whatever their names; filter_documents() sets the text and, where th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,9 @@ from pyspark.sql import types as T
 from chimerant.llm.common import cut, drop_table
 
 MIN_WORDS = 10
+GAPS = 8
+#: Variants in one Arrow batch, but for those of the last line.
+TOGETHER = 1 << 16
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -62,6 +69,26 @@ def halves(words: list[bytes]) -> list[int]:
     return out
 
 
+def gaps(n: int) -> list[tuple[int, int]]:
+    """The stretches (begin, end) that n words are cut in."""
+    cuts = [n * j // GAPS for j in range(GAPS + 1)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
+def gap_keys(words: list[bytes]) -> list[tuple[int, int]]:
+    """(gap, hash of the words around it): of the line's own stretches, then, as gap -1, of those of a line with one word more."""
+    import xxhash
+
+    n, whole = len(words), b" ".join(words)
+    begins = [0, *accumulate(len(w) + 1 for w in words)]
+    out = []
+    for m in (n, n + 1):
+        for j, (a, b) in enumerate(gaps(m)):
+            around = whole[: begins[a]] + b"\n" + whole[begins[n - m + b] :]
+            out.append((j if m == n else -1, _signed(xxhash.xxh3_64_intdigest(around, m * GAPS + j))))
+    return out
+
+
 def variants(words: list[bytes]) -> np.ndarray:
     """Keys of the line and of the line without word 0, 1, ...: polynomial hashes, all in time linear in the words."""
     import xxhash
@@ -91,12 +118,17 @@ def _lines(docs: DataFrame) -> DataFrame:
         target = pa.schema([("doc", pa.int64()), ("row", pa.int32()), ("line", pa.int32()), ("hash", pa.binary()), ("n", pa.int32()), ("halves", pa.list_(pa.int64()))])
         for batch in batches:
             out: list[list] = [[] for _ in target]
+            docs_out, rows_out, places, hashes, sizes, both = out
             for doc, row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 for i, line in enumerate((value.as_py() or "").encode().split(b"\n")):
-                    words = line.split()
-                    if words:
-                        for column, x in zip(out, (doc, row, i, xxhash.xxh3_128_digest(b" ".join(words)), len(words), halves(words) if len(words) >= MIN_WORDS else []), strict=True):
-                            column.append(x)
+                    if words := line.split():
+                        n = len(words)
+                        docs_out.append(doc)
+                        rows_out.append(row)
+                        places.append(i)
+                        hashes.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                        sizes.append(n)
+                        both.append(halves(words) if n >= MIN_WORDS else [])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
     return docs.mapInArrow(run, schema)
@@ -117,17 +149,43 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted.hint("merge"), ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(run, "doc long, row int, line int, words string")
 
 
-def _variant_rows(lines: DataFrame) -> DataFrame:
-    """Variants of lines: the key of the whole line (at -1) and of the line without the word `at`."""
+def _gap_rows(lines: DataFrame) -> DataFrame:
+    """(doc, row, line, gap, key): what gap_keys gives for each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, row, line, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys = variants(words.encode().split())
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc)), pa.array(np.full(n, row, np.int32)), pa.array(np.full(n, line, np.int32)), pa.array(np.arange(-1, n - 1, dtype=np.int32)), pa.array(keys)], ["doc", "row", "line", "at", "key"])
+            found = [gap_keys(value.as_py().encode().split()) for value in batch.column(3)]
+            own = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+            flat = [pa.array([x[k] for rows in found for x in rows], t) for k, t in ((0, pa.int32()), (1, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in range(3)), *flat], ["doc", "row", "line", "gap", "key"])
 
-    return lines.select("doc", "row", "line", "words").mapInArrow(run, "doc long, row int, line int, at int, key long")
+    return lines.select("doc", "row", "line", "words").mapInArrow(run, "doc long, row int, line int, gap int, key long")
+
+
+def _variant_rows(lines: DataFrame) -> DataFrame:
+    """Variants of lines: the key of the whole line (at -1) and of the line without the word `at`, for the words in its gaps."""
+
+    def packed(rows: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(r[3]) for r in rows]
+        places = [pa.array(np.repeat(np.array([r[k] for r in rows], t), sizes)) for k, t in enumerate((np.int64, np.int32, np.int32))]
+        return pa.RecordBatch.from_arrays([*places, *(pa.array(np.concatenate([r[k] for r in rows])) for k in (3, 4))], ["doc", "row", "line", "at", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, n = [], 0
+            for doc, row, line, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = text.encode().split()
+                keys, parts = variants(words), gaps(len(words))
+                at = np.concatenate([[-1], *(np.arange(*parts[g]) for g in own if g >= 0)]).astype(np.int32)
+                rows.append((doc, row, line, at, keys[at + 1]))
+                n += len(at)
+                if n >= TOGETHER:
+                    yield packed(rows)
+                    rows, n = [], 0
+            if rows:
+                yield packed(rows)
+
+    return lines.select("doc", "row", "line", "words", "gaps").mapInArrow(run, "doc long, row int, line int, at int, key long")
 
 
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -141,7 +199,11 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
     wanted = half.join(shared, "half", "left_semi").groupBy("doc", "row").agg(F.collect_set("line").alias("wanted"))
     texts = cut(_wanted_lines(docs, wanted), "lines-texts")
-    keys = cut(_variant_rows(texts), "lines-variants")
+    around = cut(_gap_rows(texts), "lines-gaps")
+    met = around.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    own = around.join(met, "key", "left_semi").groupBy("doc", "row", "line").agg(F.collect_set("gap").alias("gaps"))
+    keys = cut(_variant_rows(texts.join(own, ["doc", "row", "line"])), "lines-variants")
+    drop_table(around)
 
     # Whole lines (at = -1) meet deletions of any place; deletions meet those of the same place, which is a replaced word.
     by_place = keys.groupBy("key", "at").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("k")).filter("k > 1 AND at >= 0")
