@@ -10,11 +10,13 @@
    more with it in a passage are candidates there. The cosine is taken over the words that the benchmark knows, so neither
    the words around a passage nor the passage's own frequency in the corpus keep it from being found. No other search finds any: what the basis doesn't bring near is not found
    (tests hold the recall against a search of all stretches of all documents). Items of which a document
-   holds fewer words than any accepted alignment has are not compared with it, which loses nothing.
+   or the region around its windows holds fewer words than any accepted alignment has are not compared with it, which loses nothing.
 4. For candidates, the words around are aligned with the item's: a document is contaminated if the longest common
    subsequence has MIN_LCS of the item's words, or if it has PARAPHRASE of them and the answer (the item's last
    sentence) stands there word for word.
 
+Words are hashed from the bytes of whole Arrow columns; only texts with candidates are split into words.
+
 The benchmark is read in blocks of about BLOCK_PASSAGES passages, ROUND blocks at a time, so what is sent to executors is
 bounded whatever its size; more than one round means a pass over the documents for each.
 
@@ -54,6 +56,50 @@ def slots_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & (SLOTS - 1)
 
 
+#: Bytes as words are told apart by: lower case, all white space a blank; the CRC-32 of each last byte; longer words go one by one.
+FOLDED = bytes(0x20 if bytes([i]).isspace() else bytes([i]).lower()[0] for i in range(256))
+CRC = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.int64)
+LONG_WORD, TEXTS = 32, 128
+
+
+def _joined_slots(texts: pa.Array) -> list[np.ndarray]:
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[0] == ends[-1]:
+        return [np.zeros(0, np.int32)] * len(texts)
+    data = np.frombuffer(bytes(texts.buffers()[2][int(ends[0]) : int(ends[-1])]).translate(FOLDED), np.uint8)
+    ends = ends - ends[0]
+    word = data != 0x20
+    edge = np.empty(len(data) + 1, bool)
+    edge[0], edge[-1] = word[0], word[-1]
+    np.not_equal(word[1:], word[:-1], out=edge[1:-1])
+    bounds = np.flatnonzero(edge)
+    inner = ends[(ends > 0) & (ends < len(data))]
+    if len(touch := np.unique(inner[word[inner] & word[inner - 1]])):  # a text ends with a word and the next begins with one
+        bounds = np.sort(np.concatenate([bounds, touch, touch]))
+    begins, sizes = bounds[::2], bounds[1::2] - bounds[::2]
+    short = np.minimum(sizes, LONG_WORD + 1).astype(np.uint8)
+    order = np.argsort(short, kind="stable")
+    at, upto = begins[order], np.cumsum(np.bincount(short, minlength=LONG_WORD + 1))
+    crc = np.full(len(at), 0xFFFFFFFF, np.int64)
+    for j in range(int(short.max(initial=0))):
+        left = crc[upto[j] :]  # of the words with more than j bytes
+        last = (left ^ data[at[upto[j] :] + j]) & 0xFF
+        left >>= 8
+        left ^= CRC[last]
+    slots = np.empty(len(at), np.int32)
+    slots[order] = ~crc & (SLOTS - 1)
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        slots[i] = zlib.crc32(data[begins[i] : begins[i] + sizes[i]]) & (SLOTS - 1)
+    cuts = np.searchsorted(begins, ends)
+    return [slots[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def text_slots(texts: pa.Array) -> Iterator[np.ndarray]:
+    """slots_of(words_of(text)) as int32 for each text of the column, made from the bytes of TEXTS texts at a time."""
+    for at in range(0, len(texts), TEXTS):
+        yield from _joined_slots(texts.slice(at, TEXTS).cast(pa.large_string()).fill_null(""))
+
+
 def lcs_length(a: list, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel over a."""
     places: dict = {}
@@ -61,10 +107,9 @@ def lcs_length(a: list, b: list) -> int:
         places[x] = places.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
     row = full
-    for y in b:
-        if p := places.get(y):
-            u = row & p
-            row = ((row + u) | (row - u)) & full
+    for p in filter(None, map(places.get, b)):
+        u = row & p
+        row = ((row + u) | (row - u)) & full
     return len(a) - row.bit_count()
 
 
@@ -110,8 +155,7 @@ def slots_table(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [slots_of(words_of(value.as_py())).astype(np.int32).tobytes() for value in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["slots"])
+            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in text_slots(batch.column(0))], pa.binary())], ["slots"])
 
     return texts.select("text").mapInArrow(run, "slots binary")
 
@@ -120,10 +164,13 @@ def document_frequencies(slots: DataFrame) -> tuple[np.ndarray, int]:
     """How many documents hold a word of each slot, and how many documents there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(SLOTS + 1), 0
+        df, n, last = np.zeros(SLOTS + 1), 0, np.zeros(SLOTS, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                df[np.unique(np.frombuffer(value.as_buffer(), np.int32))] += 1
+                slots = np.frombuffer(value.as_buffer(), np.int32)
+                place = np.arange(len(slots))
+                last[slots] = place  # the last place of each slot, so every slot is counted there alone
+                df[slots[last[slots] == place]] += 1
                 n += 1
         df[SLOTS] = n
         yield _slices(df)
@@ -146,9 +193,14 @@ def passage_rows(batch: pa.RecordBatch, column: np.ndarray, weight: np.ndarray)
     row, used, w = row[known], column[slots[known]], w[known]
     x = (w / length[row] * np.repeat(scale, n)[row]).astype(np.float32)
     ends = np.searchsorted(row, np.arange(0, int(n.sum()) + TOGETHER, TOGETHER))
+    place = np.zeros(int(column.max(initial=-1)) + 1, np.int64)
     for k, (begin, end) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
         if begin < end:
-            columns, at = np.unique(used[begin:end], return_inverse=True)
+            held = np.zeros(len(place), bool)
+            held[used[begin:end]] = True
+            columns = np.flatnonzero(held)
+            place[columns] = np.arange(len(columns))
+            at = place[used[begin:end]]
             rows = np.zeros(TOGETHER * len(columns), np.float32)
             np.add.at(rows, (row[begin:end] - k * TOGETHER) * len(columns) + at, x[begin:end])
             yield columns, rows.reshape(TOGETHER, -1)
@@ -209,23 +261,34 @@ class Searcher:
             np.add.at(self.counts[:, k], column[slots_of(item)], 1)
         self.need = np.array([least_of(min(paraphrase, min_lcs), len(item)) for item in self.words], np.int64)
 
-    def candidates(self, words: list[bytes]) -> dict[int, tuple[float, list[tuple[int, int]]]]:
-        """Item to its best cosine and the regions (begin, end) to align, for all items that the document may hold."""
-        slots = slots_of(words)
+    def common(self, rows: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """How many words of each item stand among these, repeats included: no alignment with them is longer."""
+        own = np.bincount(rows, minlength=len(self.counts))
+        held = np.flatnonzero(own)
+        return np.minimum(own[held, None], self.counts[np.ix_(held, items)]).sum(axis=0)
+
+    def candidates(self, slots: np.ndarray) -> dict[int, tuple[float, list[tuple[int, int]]]]:
+        """Item to its best cosine and the regions (begin, end) to align, for all items that the document of these slots may hold."""
         rows = self.column[slots]
         used = np.flatnonzero(rows >= 0)
-        able = np.flatnonzero(self.counts[np.unique(rows[used])].sum(axis=0) >= self.need)
-        if not len(able):
+        held = np.zeros(len(self.counts), bool)
+        held[rows[used]] = True
+        able = self.counts.take(np.flatnonzero(held), axis=0).sum(axis=0, dtype=np.int32) >= self.need
+        if able.any():
+            items = np.flatnonzero(able)
+            able[items] = self.common(rows[used], items) >= self.need[items]
+        if not able.any():
             return {}
         w = self.weight[slots]
-        n = len(words)
+        n = len(slots)
         starts = np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
         ends = np.minimum(starts + WINDOW, n)
-        energy = np.r_[0.0, np.cumsum(np.where(rows >= 0, w * w, 0.0), dtype=float)]  # of the words that the block knows
+        energy = np.zeros(n + 1)  # of the words that the block knows
+        np.cumsum(np.where(rows >= 0, w * w, 0.0), dtype=float, out=energy[1:])
         whole = np.maximum(energy[ends] - energy[starts], 1e-18)
         first, last = np.searchsorted(used, starts), np.searchsorted(used, ends)
-        columns = np.flatnonzero(np.isin(self.item_of, able))
-        cosines, near = dict.fromkeys(able.tolist(), 0.0), {}
+        columns = np.flatnonzero(able[self.item_of])
+        cosines, near = dict.fromkeys(np.flatnonzero(able).tolist(), 0.0), {}
         for at in range(0, len(starts), 128):
             own = slice(at, at + 128)
             low, high = int(first[own][0]), int(last[own][-1])
@@ -236,19 +299,25 @@ class Searcher:
             for k, best in enumerate(cosine.max(axis=0)):
                 i = int(self.item_of[columns[k]])
                 cosines[i] = max(cosines[i], float(best))
-            for j, k in zip(*np.nonzero(cosine >= self.min_cosine), strict=True):
-                i, begin, end = int(self.item_of[columns[k]]), int(starts[at + j]), int(ends[at + j])
+            hits = cosine >= self.min_cosine
+            for k in np.flatnonzero(hits.any(axis=0)):
+                j = np.flatnonzero(hits[:, k])
+                i, begin, end = int(self.item_of[columns[k]]), int(starts[at + j[0]]), int(ends[at + j[-1]])
                 a, b = near.get(i, (begin, end))
                 near[i] = (min(a, begin), max(b, end))
-        return {i: (cosines[i], [(max(0, begin - len(self.words[i])), end + len(self.words[i]))]) for i, (begin, end) in near.items()}
+        out = {}
+        for i, (begin, end) in near.items():
+            begin, end = max(0, begin - len(self.words[i])), end + len(self.words[i])
+            if self.common(rows[begin:end][rows[begin:end] >= 0], np.array([i]))[0] >= self.need[i]:
+                out[i] = (cosines[i], [(begin, end)])
+        return out
 
-    def best(self, text: str | None) -> tuple[int, float, float, bool] | None:
-        """(item, share of its words aligned, cosine, answer found) of the best contamination, or None."""
-        words = words_of(text)
-        if not words or not self.ids:
+    def best(self, text: pa.StringScalar, slots: np.ndarray) -> tuple[int, float, float, bool] | None:
+        """(item, share of its words aligned, cosine, answer found) of the best contamination, or None; slots are the text's."""
+        if not len(slots) or not self.ids or not (found := self.candidates(slots)):
             return None
-        out = None
-        for i, (cosine, regions) in self.candidates(words).items():
+        words, out = words_of(text.as_py()), None
+        for i, (cosine, regions) in found.items():
             item = self.words[i]
             for begin, end in regions:
                 region = words[begin:end]
@@ -297,8 +366,8 @@ def search(docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, min_co
             finders = [Searcher(*b.value, min_cosine, min_lcs, paraphrase) for b in sent]
             for batch in batches:
                 best = []
-                for value, *before in zip(batch.column(at), *(c.to_pylist() for c in batch.columns[-4:]), strict=True):
-                    found = [x for f in finders if (x := f.best(value.as_py()))] + ([tuple(before)] if before[0] is not None else [])
+                for value, slots, *before in zip(batch.column(at), text_slots(batch.column(at)), *(c.to_pylist() for c in batch.columns[-4:]), strict=True):
+                    found = [x for f in finders if (x := f.best(value, slots))] + ([tuple(before)] if before[0] is not None else [])
                     best.append(max(found, key=lambda x: (x[1], -x[0])) if found else (None,) * 4)
                 columns = list(zip(*best, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], schema.names)
